@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import decontaminate, line_dedup, mixing, secrets
+from weftline.llm import chat_format, decontaminate, line_dedup, mixing, secrets
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_scan_secrets": secrets.op1_scan_secrets,
         "op2_dedup_lines": line_dedup.op2_dedup_lines,
         "op4_find_benchmark_leaks": decontaminate.op4_find_benchmark_leaks,
+        "op6_format_chat": chat_format.op6_format_chat,
         "op7_mix_sources": mixing.op7_mix_sources,
     }
 
@@ -18,5 +19,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_dedup_lines": line_dedup.ORACLE_SQL,
         "op4_find_benchmark_leaks": decontaminate.ORACLE_SQL,
+        "op6_format_chat": chat_format.ORACLE_SQL,
         "op7_mix_sources": mixing.ORACLE_SQL,
     }
