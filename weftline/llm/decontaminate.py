@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACES_RE, cut, table
+from weftline.llm.common import SPACE, SPACES_RE, UPPER, cut, table
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -29,7 +29,7 @@ BLOCK = 1 << 20
 
 
 def with_shingles(df: DataFrame, *keep: str) -> DataFrame:
-    words = F.split(F.btrim(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(" \t\n\x0b\x0c\r")), SPACES_RE)
+    words = F.split(F.btrim(F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, UPPER.lower()), F.lit(SPACE)), SPACES_RE)
     at = ", ".join(f"w[i + {k}]" for k in range(WORDS))
     grams = F.expr(f"if(size(w) < {WORDS}, cast(array() as array<bigint>), transform(sequence(0, size(w) - {WORDS}), i -> xxhash64({at})))")
     return df.select(*keep, words.alias("w")).select(*keep, grams.alias("grams"))
@@ -86,9 +86,9 @@ def op4_find_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH words AS (
-  SELECT 'd' AS side, doc_id AS id, string_split_regex(trim(lower(text), E' \t\n\x0b\x0c\r'), '[\x20\x09-\x0D]+') AS w FROM documents
+  SELECT 'd' AS side, doc_id AS id, string_split_regex(trim(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), E' \t\n\x0b\x0c\r'), '[\x20\x09-\x0D]+') AS w FROM documents
   UNION ALL
-  SELECT 'i', item_id, string_split_regex(trim(lower(text), E' \t\n\x0b\x0c\r'), '[\x20\x09-\x0D]+') FROM benchmark),
+  SELECT 'i', item_id, string_split_regex(trim(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), E' \t\n\x0b\x0c\r'), '[\x20\x09-\x0D]+') FROM benchmark),
 grams AS (
   SELECT DISTINCT side, id, g FROM (
     SELECT side, id, unnest([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) AS g FROM words)),

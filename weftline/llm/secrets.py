@@ -71,23 +71,26 @@ def matches(text: str, pattern: str, keep: str = "true") -> str:
 
 
 def entropy_reach(value: str, alphabet: str, window: int, threshold: float) -> str:
-    """SQL for struct<first,last>: first and last window end (1-based) with enough entropy in a string; first is 0 if there is none."""
-    code = f"instr({sql_text(alphabet)}, substring({value}, {{at}}, 1))"
+    """SQL for struct<first,last>: first and last window end (1-based) with enough entropy in a string; first is 0 if there is none.
+
+    The string is split into an array once, so that a step costs the alphabet's size however long the string is.
+    """
+    code = f"instr({sql_text(alphabet)}, element_at(cs, {{at}}))"
     weigh = lambda x: f"if({x} <= 1, 0D, {x} * log2(cast({x} as double)))"
     enters, leaves = "z.enters", "z.leaves"
     out = f"if({leaves} = 0, 0, element_at(acc.counts, greatest({leaves}, 1)))"
     into = f"(element_at(acc.counts, {enters}) - if({leaves} = {enters}, 1, 0))"
     total = f"acc.total - {weigh(out)} + {weigh(f'({out} - 1)')} - {weigh(into)} + {weigh(f'({into} + 1)')}"
     return f"""
-    aggregate(
-      transform(sequence(1, char_length({value})), i -> named_struct('i', i, 'enters', {code.format(at="i")}, 'leaves', if(i > {window}, {code.format(at=f"i - {window}")}, 0))),
+    element_at(transform(array(split({value}, '')), cs -> aggregate(
+      transform(sequence(1, size(cs)), i -> named_struct('i', i, 'enters', {code.format(at="i")}, 'leaves', if(i > {window}, {code.format(at=f"i - {window}")}, 0))),
       named_struct('counts', array_repeat(0, {len(alphabet)}), 'total', 0D, 'first', 0, 'last', 0),
       (acc, z) -> named_struct(
         'counts', transform(acc.counts, (c, j) -> c + if(j + 1 = {enters}, 1, 0) - if(j + 1 = {leaves}, 1, 0)),
         'total', {total},
         'first', if(acc.first = 0 and z.i >= {window} and log2({window}D) - ({total}) / {window} >= {threshold}D, z.i, acc.first),
         'last', if(z.i >= {window} and log2({window}D) - ({total}) / {window} >= {threshold}D, z.i, acc.last)),
-      acc -> named_struct('first', acc.first, 'last', acc.last))"""
+      acc -> named_struct('first', acc.first, 'last', acc.last))), 1)"""
 
 
 def entropy_spans(text: str) -> str:
