@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +50,62 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x ^= x >> np.uint64(shift)
         x *= np.uint64(factor)
     return x ^ (x >> np.uint64(31))
+
+
+class Words(dict):
+    """Numbers for words as they come up, kept between texts: words[w] is w's number, order[i] the word with number i."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.order: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.order)
+        self.order.append(word)
+        return number
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """Batches cut between rows so that a piece has about `most` bytes of text in column number `text`; a longer text is a piece of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter(map(digest, words), np.uint64, len(words))
+
+
+def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Positions start, start + 1, ... of all runs, one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def probe_rows(shards: int, hashes: np.ndarray, docs: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+    """(shard, hashes, rows) as packed bytes, one entry for each shard that has any."""
+    shard = (hashes % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    at = np.searchsorted(shard[order], np.arange(shards + 1))
+    return [(k, hashes[part].tobytes(), docs[part].astype(np.int32).tobytes()) for k in range(shards) if len(part := order[at[k] : at[k + 1]])]
+
+
+def look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, none: float = 0) -> np.ndarray:
+    """Values of the asked keys in sorted keys; `none` for those not among them."""
+    if not len(keys):
+        return np.full(len(asked), none, dtype=values.dtype)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[at], none)
+
+
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat_format, decontaminate, line_dedup, mixing, secrets
+from weftline.llm import chat_format, decontaminate, jaccard_join, language_id, line_dedup, mixing, secrets
 
 
 def queries() -> dict:
@@ -10,8 +10,10 @@ def queries() -> dict:
         "op1_scan_secrets": secrets.op1_scan_secrets,
         "op2_dedup_lines": line_dedup.op2_dedup_lines,
         "op4_find_benchmark_leaks": decontaminate.op4_find_benchmark_leaks,
+        "op5_identify_language": language_id.op5_identify_language,
         "op6_format_chat": chat_format.op6_format_chat,
         "op7_mix_sources": mixing.op7_mix_sources,
+        "op8_join_near_duplicates": jaccard_join.op8_join_near_duplicates,
     }
 
 
@@ -21,4 +23,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_find_benchmark_leaks": decontaminate.ORACLE_SQL,
         "op6_format_chat": chat_format.ORACLE_SQL,
         "op7_mix_sources": mixing.ORACLE_SQL,
+        "op8_join_near_duplicates": jaccard_join.ORACLE_SQL,
     }
