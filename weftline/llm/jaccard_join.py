@@ -152,9 +152,9 @@ def open_pieces(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
     """Links between the queries and the members of one piece: one for each pair of query and member found, the first per query and group."""
     links: list[tuple[int, int]] = []
     if len(queries) and len(members):
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in members["tokens"]]
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in members["member_tokens"]]
         sizes = np.array([len(s) for s in sets])
-        keys = members["key"].to_numpy()
+        keys = members["member"].to_numpy()
         every = np.concatenate(sets)
         order = np.argsort(every, kind="stable")
         owners = np.repeat(np.arange(len(sets)), sizes)[order]
@@ -182,7 +182,6 @@ def few(df: DataFrame) -> DataFrame:
 
 def try_pieces(trials: DataFrame, pieces: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) among trials (key, piece): matrix bound first, then the qualifying pieces are opened. pieces: piece, key."""
-    cells = lambda part: F.expr(f"conv('1', 10, {part})")  # noqa: E731,F841
     about = classes.select("key", "n", "bins")
     row = pieces.join(about, "key").groupBy("piece").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("size"), F.collect_list("bins").alias("bins"))
     row = row.select("piece", "low", "high", F.pandas_udf(most_in_bins, "binary")("bins").alias("most"))
@@ -195,8 +194,9 @@ def try_pieces(trials: DataFrame, pieces: DataFrame, classes: DataFrame, texts:
     sets = cut(some.select("text").mapInArrow(sets_of, "key long, tokens binary"))
     slices = left.groupBy("piece").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(SLICE))).cast("long").alias("slices"))
     queries = left.join(slices, "piece").select("key", "piece", F.pmod(F.xxhash64("key"), "slices").alias("slice")).join(sets, "key")
-    members = inside.join(slices, "piece").select("key", "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice")).join(sets, "key")
-    return queries.groupBy("piece", "slice").cogroup(members.groupBy("piece", "slice")).applyInPandas(open_pieces, "a long, b long")
+    member_sets = sets.select(F.col("key").alias("member"), F.col("tokens").alias("member_tokens"))
+    members = inside.join(slices, "piece").select(F.col("key").alias("member"), F.col("piece").alias("member_piece"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("member_slice")).join(member_sets, "member")
+    return queries.groupBy("piece", "slice").cogroup(members.groupBy("member_piece", "member_slice")).applyInPandas(open_pieces, "a long, b long")
 
 
 def most_in_bins(bins: pd.Series) -> pd.Series:
@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     led = shared.join(leaders, "token").filter("key <> leader")
     nodes = classes.select("key")
     alone = nodes.select(F.col("key").alias("piece"), "key")
-    stars = cut(try_pieces(led.select("key", F.col("leader").alias("piece")).distinct(), alone.join(leaders.select(F.col("leader").alias("key")).distinct(), "key"), classes, single_texts(texts)))
+    stars = cut(try_pieces(led.select("key", F.col("leader").alias("piece")).distinct(), alone.join(leaders.select(F.col("leader").alias("key")).distinct(), "key"), classes, texts))
     groups = cut(connected(nodes, stars))
 
     sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     targets = known.select("token", "piece", F.col("group").alias("to_group"), F.col("size").alias("to_size")).distinct()
     smaller = (F.col("size") < F.col("to_size")) | ((F.col("size") == F.col("to_size")) & (F.col("group") < F.col("to_group")))
     across = known.drop("piece").join(targets, "token").filter(smaller).select("key", "piece").distinct()
-    more = try_pieces(cut(across), placed.select("piece", "key"), classes, single_texts(texts))
+    more = try_pieces(cut(across), placed.select("piece", "key"), classes, texts)
     whole = connected(nodes, stars.unionByName(more))
 
     named = classes.join(whole, "key").select("key", "n", "group", "doc_id")
@@ -266,17 +266,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def single_texts(texts: DataFrame) -> DataFrame:
-    return texts
-
-
 def op8_join_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 ORACLE_SQL = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 grams AS (
   SELECT DISTINCT doc_id, g FROM (
     SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)] END) AS g FROM words)),
