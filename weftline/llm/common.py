@@ -91,14 +91,6 @@ def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def probe_rows(shards: int, hashes: np.ndarray, docs: np.ndarray) -> list[tuple[int, bytes, bytes]]:
-    """(shard, hashes, rows) as packed bytes, one entry for each shard that has any."""
-    shard = (hashes % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    at = np.searchsorted(shard[order], np.arange(shards + 1))
-    return [(k, hashes[part].tobytes(), docs[part].astype(np.int32).tobytes()) for k in range(shards) if len(part := order[at[k] : at[k + 1]])]
-
-
 def look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, none: float = 0) -> np.ndarray:
     """Values of the asked keys in sorted keys; `none` for those not among them."""
     if not len(keys):
