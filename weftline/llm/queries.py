@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat_format, decontaminate, jaccard_join, kneser_ney, language_id, line_dedup, mixing, secrets
+from weftline.llm import attention_lm, chat_format, decontaminate, jaccard_join, kneser_ney, language_id, line_dedup, mixing, secrets
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_format_chat": chat_format.op6_format_chat,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_join_near_duplicates": jaccard_join.op8_join_near_duplicates,
+        "op9_score_language_model": attention_lm.op9_score_language_model,
         "op10_classify_quality": kneser_ney.op10_classify_quality,
     }
 
