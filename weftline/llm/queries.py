@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from weftline.llm import attention_lm, chat_format, decontaminate, jaccard_join, kneser_ney, language_id, line_dedup, mixing, secrets
+from weftline.llm import attention_lm, chat_format, decontaminate, jaccard_join, kneser_ney, language_id, line_dedup, mixing, search, secrets
 
 
 def queries() -> dict:
     return {
         "op1_scan_secrets": secrets.op1_scan_secrets,
         "op2_dedup_lines": line_dedup.op2_dedup_lines,
+        "op3_search_bm25": search.op3_search_bm25,
         "op4_find_benchmark_leaks": decontaminate.op4_find_benchmark_leaks,
         "op5_identify_language": language_id.op5_identify_language,
         "op6_format_chat": chat_format.op6_format_chat,
@@ -22,6 +23,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_dedup_lines": line_dedup.ORACLE_SQL,
+        "op3_search_bm25": search.ORACLE_SQL,
         "op4_find_benchmark_leaks": decontaminate.ORACLE_SQL,
         "op6_format_chat": chat_format.ORACLE_SQL,
         "op7_mix_sources": mixing.ORACLE_SQL,
