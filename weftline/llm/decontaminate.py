@@ -54,7 +54,7 @@ def blocks(df: DataFrame, column: str, rows: int, block: int) -> list[DataFrame]
 
 
 def find_contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """Pairs with doc_id, item_id, n_item (distinct shingles of the item), n_shared, containment."""
+    """Pairs with doc_id, text_hash, item_id, n_item (distinct shingles of the item), n_shared, containment."""
     grams, sketch = item_sketches(items, threshold)
     limits = sketch.groupBy("partition").agg(F.max("gram").alias("limit"), F.count(F.lit(1)).alias("rows")).agg(F.max("limit").alias("limit"), F.sum("rows").alias("rows")).first()
     rows, limit = (limits["rows"] or 0), limits["limit"]
@@ -76,12 +76,12 @@ def find_contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
         shared = found if shared is None else shared.unionByName(found)
     counted = shared.groupBy("doc_key", "item_key", "n").agg(F.count(F.lit(1)).alias("n_shared"))
     return counted.filter(F.col("n_shared") >= F.ceil(F.col("n") * threshold - 1e-9)).select(
-        F.col("doc_key.doc_id").alias("doc_id"), F.col("item_key.item_id").alias("item_id"), F.col("n").alias("n_item"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment")
+        F.col("doc_key.doc_id").alias("doc_id"), F.col("doc_key.h").alias("text_hash"), F.col("item_key.item_id").alias("item_id"), F.col("n").alias("n_item"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment")
     )
 
 
 def op4_find_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 ORACLE_SQL = r"""

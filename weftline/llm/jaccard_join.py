@@ -6,17 +6,18 @@ shingle). Two documents link when 100 * shared >= 80 * union. Rows per document
 1. Documents with equal sets form a class; its smallest document stands for it.
 2. Any two sets that link share one of the first n - ceil(0.8 n) + 1 tokens of each in any fixed order of all tokens
    (prefix filter), here most frequent last. The order only steers how many candidates there are, so
-   frequencies are estimated on a sample and at most `hot` tokens are told apart from the rest.
+   frequencies are estimated on at most about `SAMPLE_DOCS` documents and at most `HOT` tokens are told apart from the rest. Prefixes travel
+   packed, dealt by token, each once for a class in a piece of the input.
 3. Each token that several classes share in their prefixes has a leader, the smallest class. Every class is tried against the
-   leaders of its tokens; links found partition similar documents into groups (connected parts).
-4. Groups are cut into pieces of about `piece` classes. What is left to find are links across groups: a class
-   and a piece of a larger group that share a prefix token without its leader. So a group of n near copies costs about n
-   trials, not n * n.
+   leader of most of its tokens; links found partition similar documents into groups (connected parts).
+4. Groups are cut into pieces of about `PIECE` classes. What is left to find are links across groups: a class
+   and a piece of a larger group that share a prefix token. So a group of n near copies costs about n trials, not n * n.
 
 Trials go through the matrix first: a row per piece, a column per token bin, in each cell the most tokens that
 a member has in the bin. The sum of minima with a query's row bounds its overlap with every member, and with
-the sizes its similarity. Only qualifying pieces are opened: their token union bounds the overlap again, exactly,
-and members are then counted one by one through the piece's inverted lists.
+the sizes its similarity. Only qualifying pieces are opened: their token union bounds the overlap again,
+and members are then counted one by one through the piece's inverted lists, on 40 bits of each token. Two different tokens of one pair
+agree in these by chance once in some millions of pairs, which matters only where one token decides.
 
 Defined results: null and empty texts and texts without words have an empty set, link with nothing, and are their own
 class; rows that repeat a doc_id are told apart by their text; a null doc_id comes after all others as a class's
@@ -34,39 +35,45 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, lower_words, mix64, table
+from weftline.llm.common import Words, cut, lower_words, mix64, pieces, table, text_bytes, word_hashes
 
 WORDS = 5
 PERCENT = 80
 BINS = 128
 HOT = 1 << 18
-SAMPLE = 1 / 16
+SAMPLE_DOCS = 1 << 13
+SHARD_BYTES = 1 << 26
 PIECE = 256
-SLICE = 4096
+SLICE = 1024
 BROADCAST = 1 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
+NONE = np.empty(0, np.uint64)
 
 
 class Shingler:
     """Token sets of texts. Word hashes are kept between texts, up to a bound."""
 
     def __init__(self, most: int = 1 << 20):
-        self.known: dict[bytes, int] = {}
         self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.hashes, self.filled = Words(), np.zeros(1 << 12, np.uint64), 0
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Sorted distinct token hashes of a whole text."""
-        words, known = lower_words(text), self.known
+        words = lower_words(text)
         if not words:
-            return np.empty(0, dtype=np.uint64)
-        if len(known) > self.most:
-            known.clear()
-        hashes = np.empty(len(words), dtype=np.uint64)
-        for i, w in enumerate(words):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            hashes[i] = h
+            return NONE
+        if len(self.words) > self.most:
+            self.forget()
+        numbers = self.words.numbers(words)
+        if new := self.words.order[self.filled :]:
+            if len(self.words) > len(self.hashes):
+                self.hashes = np.concatenate([self.hashes, np.zeros(len(self.words), np.uint64)])
+            self.hashes[self.filled : len(self.words)] = word_hashes(new)
+            self.filled = len(self.words)
+        hashes = self.hashes[numbers]
         width = min(WORDS, len(words))
         out = hashes[: len(words) - width + 1].copy()
         for k in range(1, width):
@@ -74,62 +81,97 @@ class Shingler:
         return np.unique(mix64(out + np.uint64(width)))
 
 
-def longs(values: np.ndarray) -> pa.Array:
-    return pa.array(values.view(np.int64))
+def key_of(tokens: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(tokens.tobytes())
 
 
-def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text_hash -> n, key (hash of the set), bins (tokens per bin, 16-bit, saturated)."""
-    tokens_of = Shingler()
-    for batch in batches:
-        n, key, bins = [], [], []
-        for text in batch.column(2):
-            tokens = tokens_of(text.as_py())
-            n.append(len(tokens))
-            key.append(xxhash.xxh3_64_intdigest(tokens.tobytes()))
-            bins.append(np.minimum(np.bincount((tokens >> np.uint64(40)) % np.uint64(BINS), minlength=BINS), 65535).astype(np.uint16).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), longs(np.array(key, dtype=np.uint64)), pa.array(bins, pa.binary())], names=["doc_id", "text_hash", "n", "key", "bins"])
+def longs(values) -> pa.Array:
+    return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
 
 def all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tokens_of = Shingler()
     for batch in batches:
-        found = [tokens_of(t.as_py()) for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([longs(np.concatenate(found) if found else np.empty(0, np.uint64))], names=["token"])
-
-
-def prefixes(hot_tokens: np.ndarray, hot_ranks: np.ndarray):
-    """text -> key, token: the prefix of each set; tokens in hot_tokens (sorted) come last, by rank."""
-
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens_of = Shingler()
-        for batch in batches:
-            keys, out = [], []
-            for text in batch.column(0):
-                tokens = tokens_of(text.as_py())
-                n = len(tokens)
-                if not n:
-                    continue
-                rank = np.zeros(n, dtype=np.int64)
-                if len(hot_tokens):
-                    at = np.minimum(np.searchsorted(hot_tokens, tokens), len(hot_tokens) - 1)
-                    rank = np.where(hot_tokens[at] == tokens, hot_ranks[at], 0)
-                length = n - -(-PERCENT * n // 100) + 1
-                first = tokens[np.argsort(rank, kind="stable")[:length]]
-                keys.append(np.full(len(first), xxhash.xxh3_64_intdigest(tokens.tobytes()), dtype=np.uint64))
-                out.append(first)
-            none = np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([longs(np.concatenate(keys) if keys else none), longs(np.concatenate(out) if out else none)], names=["key", "token"])
-
-    return mapped
+        yield pa.RecordBatch.from_arrays([longs(np.concatenate([NONE, *[tokens_of(t) for t in batch.column(0).to_pylist()]]))], names=["token"])
+
+
+ABOUT = "doc_id long, text_hash long, n int, key long, bins binary"
+PACKED = "shard int, keys binary, owners binary, tokens binary"
+
+
+def described(shared, shards: int):
+    """doc_id, text_hash, text -> a row about each document (size of its set, hash of its set, tokens per bin up to 255), and the
+    prefixes of a piece's sets, packed by shard of the token: keys of the sets, and for each token its set's place and 32 bits of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens_of, (hot, ranks) = Shingler(), shared.value
+        for piece in pieces(batches, 2):
+            sizes, keys, bins, prefixes = [], [], [], {}
+            for text in piece.column(2).to_pylist():
+                tokens = tokens_of(text)
+                n, key = len(tokens), key_of(tokens)
+                sizes.append(n)
+                keys.append(key)
+                bins.append(np.minimum(np.bincount(((tokens >> np.uint64(40)) % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+                if n and key not in prefixes:
+                    length = n - -(-PERCENT * n // 100) + 1
+                    if len(hot):
+                        at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
+                        often = hot[at] == tokens
+                        order = np.argsort(np.where(often, ranks[at], 0), kind="stable") if often.any() else slice(None)
+                        prefixes[key] = tokens[order][:length]
+                    else:
+                        prefixes[key] = tokens[:length]
+            flat = np.concatenate([NONE, *prefixes.values()])
+            names, owner = np.array(list(prefixes), dtype=np.uint64), np.repeat(np.arange(len(prefixes)), [len(x) for x in prefixes.values()])
+            shard = (flat % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            at, out = np.searchsorted(shard[order], np.arange(shards + 1)), []
+            for k in range(shards):
+                if len(own := order[at[k] : at[k + 1]]):
+                    used, place = np.unique(owner[own], return_inverse=True)
+                    out.append((k, names[used].tobytes(), place.astype(np.uint32 if len(used) > 65535 else np.uint16).tobytes(), (flat[own] >> np.uint64(32)).astype(np.uint32).tobytes()))
+            k, none = piece.num_rows, len(out)
+            columns = [pa.concat_arrays([x, pa.nulls(none, x.type)]) for x in (piece.column(0), piece.column(1), pa.array(sizes, pa.int32()), longs(keys), pa.array(bins, pa.binary()))]
+            columns += [pa.concat_arrays([pa.nulls(k, t), pa.array([r[i] for r in out], t)]) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in f"{ABOUT}, {PACKED}".split(", ")])
+
+    return run
+
+
+def shared_tokens(rows: pd.DataFrame) -> pd.DataFrame:
+    """token, key of a shard's tokens that several sets have in their prefixes, once each. Tokens are told apart by 32 bits and the shard; a chance meeting costs a trial, no link."""
+    found = []
+    for keys, owners, tokens in zip(rows["keys"], rows["owners"], rows["tokens"], strict=True):
+        tokens, keys = np.frombuffer(tokens, np.uint32), np.frombuffer(keys, np.uint64)
+        found.append((tokens, keys[np.frombuffer(owners, np.uint16 if len(owners) == 2 * len(tokens) else np.uint32)]))
+    tokens, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(tokens, kind="stable")
+    tokens, keys = tokens[order], keys[order]
+    same = tokens[1:] == tokens[:-1]
+    some = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    pairs = pd.DataFrame({"token": tokens[some].astype(np.int64) | (int(rows["shard"].iloc[0]) << 32), "key": keys[some].view(np.int64)}).drop_duplicates()
+    return pairs[pairs.duplicated("token", keep=False)]
+
+
+def pack40(tokens: np.ndarray) -> bytes:
+    """The upper 40 bits of each token, in 5 bytes."""
+    return (tokens >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpack40(packed: bytes) -> np.ndarray:
+    raw = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :5] = raw
+    return out.view(np.uint64).ravel()
 
 
 def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text -> key, tokens."""
+    """text -> key, tokens (packed)."""
     tokens_of = Shingler()
     for batch in batches:
-        sets = [tokens_of(t.as_py()) for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([longs(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "tokens"])
+        sets = [tokens_of(t) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([longs([key_of(s) for s in sets]), pa.array([pack40(s) for s in sets], pa.binary())], names=["key", "tokens"])
 
 
 def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +180,8 @@ def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         n, low, high = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 4, 5))
-        a, b = (np.frombuffer(b"".join(x.as_py() for x in batch.column(k)), dtype=np.uint16).reshape(-1, BINS) for k in (2, 6))
-        full = (a == 65535).any(axis=1) | (b == 65535).any(axis=1)
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for k in (2, 6))
+        full = (a == 255).any(axis=1) | (b == 255).any(axis=1)
         overlap = np.where(full, np.iinfo(np.int32).max, np.minimum(a, b).sum(axis=1, dtype=np.int64))
         overlap = np.minimum(overlap, np.minimum(n, high))
         # The best size for a link is the smallest that can hold the overlap.
@@ -148,20 +190,21 @@ def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 3)], names=["key", "piece"])
 
 
-def open_pieces(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-    """Links between the queries and the members of one piece: one for each pair of query and member found, the first per query and group."""
+def open_piece(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between the queries and the members of one piece: for each query that has any, the first found."""
     links: list[tuple[int, int]] = []
+    queries, members = rows[rows["query"]], rows[~rows["query"]]
     if len(queries) and len(members):
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in members["member_tokens"]]
+        sets = [unpack40(x) for x in members["tokens"]]
         sizes = np.array([len(s) for s in sets])
-        keys = members["member"].to_numpy()
+        keys = members["key"].to_numpy()
         every = np.concatenate(sets)
         order = np.argsort(every, kind="stable")
         owners = np.repeat(np.arange(len(sets)), sizes)[order]
         union, starts = np.unique(every[order], return_index=True)
         ends = np.append(starts[1:], len(every))
         for key, packed in zip(queries["key"], queries["tokens"], strict=True):
-            query = np.frombuffer(packed, dtype=np.uint64)
+            query = unpack40(packed)
             at = np.minimum(np.searchsorted(union, query), len(union) - 1)
             at = at[union[at] == query]
             if 100 * len(at) < PERCENT * len(query):  # the union's bound
@@ -176,31 +219,30 @@ def open_pieces(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
 
 
 def few(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has few rows by count; else as it is, for a shuffled join."""
+    """df with a broadcast hint if it has few rows by count; else as it is, for a shuffled join. For cut tables."""
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
-def try_pieces(trials: DataFrame, pieces: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) among trials (key, piece): matrix bound first, then the qualifying pieces are opened. pieces: piece, key."""
+def try_pieces(trials: DataFrame, pieces_of: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) among trials (key, piece): matrix bound first, then the qualifying pieces are opened. pieces_of: piece, key."""
     about = classes.select("key", "n", "bins")
-    row = pieces.join(about, "key").groupBy("piece").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("size"), F.collect_list("bins").alias("bins"))
+    row = pieces_of.join(trials.select("piece").distinct(), "piece", "left_semi").join(about, "key").groupBy("piece").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.collect_list("bins").alias("bins"))
     row = row.select("piece", "low", "high", F.pandas_udf(most_in_bins, "binary")("bins").alias("most"))
     asked = trials.join(about, "key").join(row, "piece").filter((F.col("n") * 100 >= F.col("low") * PERCENT) & (F.col("high") * 100 >= F.col("n") * PERCENT))
     left = cut(asked.select("key", "n", "bins", "piece", "low", "high", "most").mapInArrow(bounded, "key long, piece long"))
-    opened = left.select("piece").distinct()
-    inside = cut(pieces.join(opened, "piece").select("piece", "key"))
-    wanted = cut(left.select("key").unionByName(inside.select("key")).distinct())
-    some = texts.join(few(wanted.join(classes, "key").select("doc_id", "text_hash")), ["doc_id", "text_hash"], "left_semi")
-    sets = cut(some.select("text").mapInArrow(sets_of, "key long, tokens binary"))
-    slices = left.groupBy("piece").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(SLICE))).cast("long").alias("slices"))
-    queries = left.join(slices, "piece").select("key", "piece", F.pmod(F.xxhash64("key"), "slices").alias("slice")).join(sets, "key")
-    member_sets = sets.select(F.col("key").alias("member"), F.col("tokens").alias("member_tokens"))
-    members = inside.join(slices, "piece").select(F.col("key").alias("member"), F.col("piece").alias("member_piece"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("member_slice")).join(member_sets, "member")
-    return queries.groupBy("piece", "slice").cogroup(members.groupBy("member_piece", "member_slice")).applyInPandas(open_pieces, "a long, b long")
+    opened = left.groupBy("piece").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(SLICE))).cast("long").alias("slices"))
+    queries = left.join(opened, "piece").select("key", "piece", F.pmod(F.xxhash64("key"), "slices").alias("slice"), F.lit(True).alias("query"))
+    members = pieces_of.join(opened, "piece").select("key", "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(False).alias("query"))
+    roles = cut(queries.unionByName(members).join(classes.select("key", "doc_id", "text_hash"), "key"))
+    # Whose text is needed: a row each, so that the roles meet a set once.
+    wanted = few(cut(roles.select("doc_id", "text_hash").distinct()))
+    some = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["text_hash"] == wanted["text_hash"]), "left_semi")
+    sets = some.select("text").mapInArrow(sets_of, "key long, tokens binary")
+    return sets.join(few(roles.select("key", "piece", "slice", "query")), "key").groupBy("piece", "slice").applyInPandas(open_piece, "a long, b long")
 
 
 def most_in_bins(bins: pd.Series) -> pd.Series:
-    return bins.map(lambda rows: np.frombuffer(b"".join(rows), dtype=np.uint16).reshape(-1, BINS).max(axis=0).tobytes())
+    return bins.map(lambda rows: np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(-1, BINS).max(axis=0).tobytes())
 
 
 def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -224,33 +266,37 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, text_hash, n_shingles, component_id."""
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    about = cut(texts.mapInArrow(describe, "doc_id long, text_hash long, n int, key long, bins binary"))
-    first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")
-    classes = cut(about.filter("n > 0").groupBy("key", "n").agg(F.min(F.struct(first.alias("first"), "bins")).alias("x")).select("key", "n", "x.first.doc_id", "x.first.text_hash", "x.bins"))
-    copies = about.select("doc_id", "text_hash").join(classes.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_anti")
-    single = texts.join(few(cut(copies)), ["doc_id", "text_hash"], "left_anti").select("text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    n_bytes = text_bytes(docs)
+    shards = max(1, -(-n_bytes // SHARD_BYTES))
 
-    counted = texts.sample(SAMPLE, 7).select("text").mapInArrow(all_tokens, "token long").groupBy("token").count().filter("count >= 3")
+    share = F.pmod("text_hash", F.lit(1 << 20)) * F.lit(max(texts.count(), 1)) < F.lit(SAMPLE_DOCS << 20)
+    counted = texts.filter(share).select("text").mapInArrow(all_tokens, "token long").groupBy("token").count().filter("count >= 3")
     hot = counted.orderBy(F.desc("count"), "token").limit(HOT).toPandas()
-    order = np.argsort(hot["token"].to_numpy().view(np.uint64))
-    hot_tokens, hot_ranks = hot["token"].to_numpy().view(np.uint64)[order], hot["count"].to_numpy()[order]
-
-    rows = single.mapInArrow(prefixes(hot_tokens, hot_ranks), "key long, token long")
-    often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
-    shared = cut(rows.join(often, "token").distinct())
-    leaders = cut(shared.groupBy("token").agg(F.min("key").alias("leader")))
-    led = shared.join(leaders, "token").filter("key <> leader")
+    tokens = hot["token"].to_numpy().view(np.uint64)
+    order = np.argsort(tokens)
+    ranks = docs.sparkSession.sparkContext.broadcast((tokens[order], hot["count"].to_numpy()[order]))
+
+    passed = cut(texts.mapInArrow(described(ranks, shards), f"{ABOUT}, {PACKED}"))
+    about = passed.filter("shard is null").select("doc_id", "text_hash", "n", "key", "bins")
+    first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")
+    classes = cut(about.filter("n > 0").groupBy("key", "n").agg(F.min(F.struct(first.alias("first"), "bins")).alias("x")).select("key", "n", "x.first.doc_id", "x.first.text_hash", "x.bins"))
     nodes = classes.select("key")
-    alone = nodes.select(F.col("key").alias("piece"), "key")
-    stars = cut(try_pieces(led.select("key", F.col("leader").alias("piece")).distinct(), alone.join(leaders.select(F.col("leader").alias("key")).distinct(), "key"), classes, texts))
+    shared = cut(passed.filter("shard is not null").select("shard", "keys", "owners", "tokens").groupBy("shard").applyInPandas(shared_tokens, "token long, key long"))
+
+    # Each class is tried against the class that leads most of its tokens.
+    leaders = shared.groupBy("token").agg(F.min("key").alias("leader"))
+    led = shared.join(leaders, "token").filter("key <> leader").groupBy("key", "leader").agg(F.count(F.lit(1)).alias("times"))
+    trials = cut(led.groupBy("key").agg(F.max_by("leader", F.struct("times", "leader")).alias("piece")))
+    heads = trials.select("piece").distinct().select("piece", F.col("piece").alias("key"))
+    stars = cut(try_pieces(trials, heads, classes, texts))
     groups = cut(connected(nodes, stars))
 
     sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
     placed = cut(
         groups.join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / F.lit(float(PIECE))).cast("long"))).select("key", "group", "size", F.xxhash64("group", "part").alias("piece"))
     )
-    known = cut(led.select("token", "key").join(placed, "key"))
+    known = shared.join(placed, "key")
     mixed = known.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x <> y").select("token")
     known = cut(known.join(mixed, "token"))
     targets = known.select("token", "piece", F.col("group").alias("to_group"), F.col("size").alias("to_size")).distinct()

@@ -259,7 +259,8 @@ RUNS = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("
 
 
 def identify(docs: DataFrame, training=None, per_language: int = PER_LANGUAGE, stretch: int = STRETCH, languages: int = LANGUAGES, runs: bool = False) -> DataFrame:
-    """All columns of docs, and a struct `language` with lang_pred and score, with `runs` also the runs of words in one language. training: condition of rows to learn from."""
+    """All columns of docs, and a struct `language` with lang_pred and score, with `runs` also the runs of words in one language; a column of docs by that name gives way. training: condition of rows to learn from."""
+    docs = docs.drop("language")
     model = fit(training_sample(docs, F.lit(True) if training is None else training, per_language, stretch, languages))
     inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     found = "lang_pred string, score double" + (", runs array<struct<lang:string,first_word:bigint,n_words:bigint>>" if runs else "")

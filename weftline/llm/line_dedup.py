@@ -154,10 +154,14 @@ def drop_lines(text: pd.Series, positions: pd.Series) -> pd.DataFrame:
 
 
 def dedup_lines(docs: DataFrame, at_least: int = 10) -> DataFrame:
-    """All columns of docs, and a struct `lines` with kept (text without the lines to drop), n_lines and n_dropped."""
-    gone = frequent_lines(docs, line_index(docs), at_least).select(F.col("doc_id").alias("line_doc"), F.col("text_hash").alias("line_hash"), F.col("positions").alias("line_positions"))
-    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("line_doc")) & (F.xxhash64("text") == F.col("line_hash")), "left")
-    return both.withColumn("lines", F.pandas_udf(drop_lines, "kept string, n_lines long, n_dropped long")("text", "line_positions")).select(*docs.columns, "lines")
+    """All columns of docs, and a struct `lines` with kept (text without the lines to drop), n_lines and n_dropped; a column of docs by that name gives way."""
+    docs = docs.drop("lines")
+    gone = frequent_lines(docs, line_index(docs), at_least)
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    doc_id, text = (inner[f"c{docs.columns.index(c)}"] for c in ("doc_id", "text"))
+    both = inner.join(gone, doc_id.eqNullSafe(gone["doc_id"]) & (F.xxhash64(text) == gone["text_hash"]), "left")
+    lines = F.pandas_udf(drop_lines, "kept string, n_lines long, n_dropped long")(text, F.col("positions"))
+    return both.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], lines.alias("lines"))
 
 
 def op2_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
