@@ -41,8 +41,11 @@ def probe_rows(shards: int, slices: int, base: int, hashes: np.ndarray, rows: np
     return [(k, part, base, hashes[own].tobytes(), rows[own].astype(np.int32).tobytes()) for k in range(shards) if len(own := order[at[k] : at[k + 1]])]
 
 
+ANSWER = "base long, rows binary, totals binary, hits binary"
+
+
 def answer(probes: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    """Sum and number of hits by document, of the probes of one shard and slice."""
+    """Sums and numbers of hits by document, packed by piece, of the probes of one shard and slice."""
     found = []
     if len(probes) and len(index):
         keys, values = np.frombuffer(index["index_keys"].iloc[0], np.uint64), np.frombuffer(index["index_values"].iloc[0], np.float64)
@@ -52,12 +55,21 @@ def answer(probes: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
             if len(rows):
                 hits, sums = np.bincount(rows), np.bincount(rows, got[hit])
                 some = np.flatnonzero(hits)
-                found.append(pd.DataFrame({"number": base + some, "total": sums[some], "hits": hits[some]}))
-    return pd.concat(found) if found else pd.DataFrame({"number": pd.Series(dtype="int64"), "total": pd.Series(dtype="float64"), "hits": pd.Series(dtype="int64")})
+                found.append((base, some.astype(np.int32).tobytes(), sums[some].tobytes(), hits[some].astype(np.int32).tobytes()))
+    return pd.DataFrame(found, columns=["base", "rows", "totals", "hits"]).astype({"base": "int64"})
+
+
+def merged(answers: pd.DataFrame) -> pd.DataFrame:
+    """One row for each document of a piece, from the answers of all shards."""
+    rows = np.concatenate([np.frombuffer(x, np.int32) for x in answers["rows"]])
+    totals = np.bincount(rows, np.concatenate([np.frombuffer(x, np.float64) for x in answers["totals"]]))
+    hits = np.bincount(rows, np.concatenate([np.frombuffer(x, np.int32) for x in answers["hits"]])).astype(np.int64)
+    some = np.flatnonzero(hits)
+    return pd.DataFrame({"number": int(answers["base"].iloc[0]) + some, "total": totals[some], "hits": hits[some]})
 
 
 def sums(probes: DataFrame, index: DataFrame, slices: int = 1) -> DataFrame:
     """number, total, hits for each document with a hit. index: one row per shard with shard, keys (sorted u64) and values (f64)."""
     copies = index.select(F.col("shard").alias("index_shard"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("index_slice"), F.col("keys").alias("index_keys"), F.col("values").alias("index_values"))
-    answers = probes.groupBy("shard", "slice").cogroup(copies.groupBy("index_shard", "index_slice")).applyInPandas(answer, "number long, total double, hits long")
-    return answers.groupBy("number").agg(F.sum("total").alias("total"), F.sum("hits").alias("hits"))
+    answers = probes.groupBy("shard", "slice").cogroup(copies.groupBy("index_shard", "index_slice")).applyInPandas(answer, ANSWER)
+    return answers.groupBy("base").applyInPandas(merged, "number long, total double, hits long")
