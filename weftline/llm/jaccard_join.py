@@ -5,10 +5,10 @@ shingle). Two documents link when 100 * shared >= 80 * union. Rows per document
 
 1. Documents with equal sets form a class; its smallest document stands for it.
 2. Any two sets that link share one of the first n - ceil(0.8 n) + 1 tokens of each in any fixed order of all tokens
-   (prefix filter), here most frequent last. The order only steers how many candidates there are, so
-   frequencies are estimated on at most about `SAMPLE_DOCS` documents and at most `HOT` tokens are told apart from the rest. Prefixes travel
-   packed, dealt by token, each once for a class in a piece of the input.
-3. Each token that several classes share in their prefixes has a leader, the smallest class. Every class is tried against the
+   (prefix filter). Prefixes travel packed, dealt by token, each once for a class in a piece of the input. A first order by hash
+   shows which tokens are frequent in prefixes; these (at most `HOT` of them) go to the end of the order, and the prefixes that had one are made
+   anew. The order only steers how many candidates there are.
+3. Each token that several classes share in their prefixes has a leader, the class with most shared tokens. Every class is tried against the
    leader of most of its tokens; links found partition similar documents into groups (connected parts).
 4. Groups are cut into pieces of about `PIECE` classes. What is left to find are links across groups: a class
    and a piece of a larger group that share a prefix token. So a group of n near copies costs about n trials, not n * n.
@@ -40,8 +40,8 @@ from weftline.llm.common import Words, cut, lower_words, mix64, pieces, table, t
 WORDS = 5
 PERCENT = 80
 BINS = 128
-HOT = 1 << 18
-SAMPLE_DOCS = 1 << 13
+FREQUENT = 8
+HOT = 1 << 20
 SHARD_BYTES = 1 << 26
 PIECE = 256
 SLICE = 1024
@@ -89,22 +89,21 @@ def longs(values) -> pa.Array:
     return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
 
-def all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokens_of = Shingler()
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([longs(np.concatenate([NONE, *[tokens_of(t) for t in batch.column(0).to_pylist()]]))], names=["token"])
-
-
 ABOUT = "doc_id long, text_hash long, n int, key long, bins binary"
 PACKED = "shard int, keys binary, owners binary, tokens binary"
 
 
-def described(shared, shards: int):
+def reduced(tokens: np.ndarray, shards: int) -> np.ndarray:
+    """What tells tokens apart in the prefix filter: 32 bits and the shard. A chance meeting costs a trial, no link."""
+    return (tokens >> np.uint64(32)) | ((tokens % np.uint64(shards)) << np.uint64(32))
+
+
+def described(hot: np.ndarray, shards: int):
     """doc_id, text_hash, text -> a row about each document (size of its set, hash of its set, tokens per bin up to 255), and the
-    prefixes of a piece's sets, packed by shard of the token: keys of the sets, and for each token its set's place and 32 bits of it."""
+    prefixes of a piece's sets, packed by shard of the token: keys of the sets, and for each token its set's place and 32 bits of it. Tokens in hot come last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens_of, (hot, ranks) = Shingler(), shared.value
+        tokens_of, late = Shingler(), hot.value
         for piece in pieces(batches, 2):
             sizes, keys, bins, prefixes = [], [], [], {}
             for text in piece.column(2).to_pylist():
@@ -115,11 +114,9 @@ def described(shared, shards: int):
                 bins.append(np.minimum(np.bincount(((tokens >> np.uint64(40)) % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
                 if n and key not in prefixes:
                     length = n - -(-PERCENT * n // 100) + 1
-                    if len(hot):
-                        at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
-                        often = hot[at] == tokens
-                        order = np.argsort(np.where(often, ranks[at], 0), kind="stable") if often.any() else slice(None)
-                        prefixes[key] = tokens[order][:length]
+                    if len(late):
+                        often = among(reduced(tokens, shards), late)
+                        prefixes[key] = np.concatenate([tokens[~often][:length], tokens[often][: max(0, length - np.count_nonzero(~often))]])
                     else:
                         prefixes[key] = tokens[:length]
             flat = np.concatenate([NONE, *prefixes.values()])
@@ -139,19 +136,45 @@ def described(shared, shards: int):
     return run
 
 
-def shared_tokens(rows: pd.DataFrame) -> pd.DataFrame:
-    """token, key of a shard's tokens that several sets have in their prefixes, once each. Tokens are told apart by 32 bits and the shard; a chance meeting costs a trial, no link."""
-    found = []
-    for keys, owners, tokens in zip(rows["keys"], rows["owners"], rows["tokens"], strict=True):
-        tokens, keys = np.frombuffer(tokens, np.uint32), np.frombuffer(keys, np.uint64)
-        found.append((tokens, keys[np.frombuffer(owners, np.uint16 if len(owners) == 2 * len(tokens) else np.uint32)]))
+def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values if len(ordered) else np.zeros(len(values), bool)
+
+
+def pairs_of(rows: pd.DataFrame, late: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (reduced token, key) of a shard's rows, by token. Rows of the first pass leave out tokens in `late`."""
+    shard, found = np.uint64(int(rows["shard"].iloc[0]) << 32), [(NONE, NONE)]
+    for keys, owners, tokens, again in zip(rows["keys"], rows["owners"], rows["tokens"], rows["again"], strict=True):
+        tokens, keys = np.frombuffer(tokens, np.uint32).astype(np.uint64) | shard, np.frombuffer(keys, np.uint64)
+        keys = keys[np.frombuffer(owners, np.uint16 if len(owners) == 2 * len(tokens) else np.uint32)]
+        if not again and len(late):
+            keep = ~among(tokens, late)
+            tokens, keys = tokens[keep], keys[keep]
+        found.append((tokens, keys))
     tokens, keys = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(tokens, kind="stable")
+    order = np.lexsort((keys, tokens))
     tokens, keys = tokens[order], keys[order]
-    same = tokens[1:] == tokens[:-1]
-    some = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    pairs = pd.DataFrame({"token": tokens[some].astype(np.int64) | (int(rows["shard"].iloc[0]) << 32), "key": keys[some].view(np.int64)}).drop_duplicates()
-    return pairs[pairs.duplicated("token", keep=False)]
+    new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])]) if len(tokens) else np.zeros(0, bool)
+    return tokens[new], keys[new]
+
+
+def frequent_tokens(rows: pd.DataFrame) -> pd.DataFrame:
+    """token, times of a shard's tokens that FREQUENT sets or more have in their prefixes; and key of these sets."""
+    tokens, keys = pairs_of(rows, NONE)
+    values, starts, times = np.unique(tokens, return_index=True, return_counts=True)
+    often = times >= FREQUENT
+    affected = np.unique(keys[np.repeat(often, times)])
+    return pd.concat([pd.DataFrame({"token": pd.Series(values[often].view(np.int64), dtype="Int64"), "times": pd.Series(times[often], dtype="Int64")}), pd.DataFrame({"key": pd.Series(affected.view(np.int64), dtype="Int64")})])[["token", "times", "key"]]
+
+
+def shared_tokens(hot):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """token, key of a shard's tokens that several sets have in their prefixes."""
+        tokens, keys = pairs_of(rows, hot.value)
+        same = tokens[1:] == tokens[:-1]
+        some = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(tokens) else np.zeros(0, bool)
+        return pd.DataFrame({"token": tokens[some].view(np.int64), "key": keys[some].view(np.int64)})
+
+    return run
 
 
 def pack40(tokens: np.ndarray) -> bytes:
@@ -270,24 +293,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     n_bytes = text_bytes(docs)
     shards = max(1, -(-n_bytes // SHARD_BYTES))
 
-    share = F.pmod("text_hash", F.lit(1 << 20)) * F.lit(max(texts.count(), 1)) < F.lit(SAMPLE_DOCS << 20)
-    counted = texts.filter(share).select("text").mapInArrow(all_tokens, "token long").groupBy("token").count().filter("count >= 3")
-    hot = counted.orderBy(F.desc("count"), "token").limit(HOT).toPandas()
-    tokens = hot["token"].to_numpy().view(np.uint64)
-    order = np.argsort(tokens)
-    ranks = docs.sparkSession.sparkContext.broadcast((tokens[order], hot["count"].to_numpy()[order]))
-
-    passed = cut(texts.mapInArrow(described(ranks, shards), f"{ABOUT}, {PACKED}"))
+    context, packed = docs.sparkSession.sparkContext, ("shard", "keys", "owners", "tokens")
+    passed = cut(texts.mapInArrow(described(context.broadcast(NONE), shards), f"{ABOUT}, {PACKED}"))
     about = passed.filter("shard is null").select("doc_id", "text_hash", "n", "key", "bins")
     first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")
     classes = cut(about.filter("n > 0").groupBy("key", "n").agg(F.min(F.struct(first.alias("first"), "bins")).alias("x")).select("key", "n", "x.first.doc_id", "x.first.text_hash", "x.bins"))
     nodes = classes.select("key")
-    shared = cut(passed.filter("shard is not null").select("shard", "keys", "owners", "tokens").groupBy("shard").applyInPandas(shared_tokens, "token long, key long"))
 
-    # Each class is tried against the class that leads most of its tokens.
-    leaders = shared.groupBy("token").agg(F.min("key").alias("leader"))
-    led = shared.join(leaders, "token").filter("key <> leader").groupBy("key", "leader").agg(F.count(F.lit(1)).alias("times"))
-    trials = cut(led.groupBy("key").agg(F.max_by("leader", F.struct("times", "leader")).alias("piece")))
+    # Tokens frequent in prefixes come last in the order. That changes only the prefixes that have one; these are made anew.
+    plain = passed.filter("shard is not null").select(*packed, F.lit(False).alias("again"))
+    frequent = cut(plain.groupBy("shard").applyInPandas(frequent_tokens, "token long, times long, key long"))
+    late = frequent.filter("token is not null").orderBy(F.desc("times"), "token").limit(HOT).select("token").toPandas()["token"].to_numpy()
+    hot = context.broadcast(np.sort(late.astype(np.int64).view(np.uint64)))
+    affected = few(cut(frequent.filter("key is not null").select("key").distinct().join(classes, "key").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))))
+    anew = texts.join(affected, texts["doc_id"].eqNullSafe(affected["d"]) & (texts["text_hash"] == affected["h"]), "left_semi").mapInArrow(described(hot, shards), f"{ABOUT}, {PACKED}")
+    both = plain.unionByName(anew.filter("shard is not null").select(*packed, F.lit(True).alias("again")))
+    shared = cut(both.groupBy("shard").applyInPandas(shared_tokens(hot), "token long, key long"))
+
+    # Each class is tried against the class that leads most of its tokens. A token's leader is the class with most shared tokens: of a text and its edited copies, the text.
+    weights = shared.groupBy("key").agg(F.count(F.lit(1)).alias("weight"))
+    weighed = shared.join(weights, "key")
+    leaders = weighed.groupBy("token").agg(F.max(F.struct("weight", "key")).alias("x")).select("token", F.col("x.key").alias("leader"), F.col("x.weight").alias("lead"))
+    led = shared.join(leaders, "token").filter("key <> leader").groupBy("key", "leader", "lead").agg(F.count(F.lit(1)).alias("times"))
+    trials = cut(led.groupBy("key").agg(F.max_by("leader", F.struct("times", "lead", "leader")).alias("piece")))
     heads = trials.select("piece").distinct().select("piece", F.col("piece").alias("key"))
     stars = cut(try_pieces(trials, heads, classes, texts))
     groups = cut(connected(nodes, stars))
