@@ -1,0 +1,126 @@
+"""Operators that SQL doesn't check, against brute force, and files and streams by round trips."""
+
+import random
+from datetime import date, datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from weftline.operators import events, ledger, relational, search, similarity
+from weftline.plans.expression import ExpressionError, expression_hash, parse, required_history, validate
+from weftline.sources import files
+from weftline.streaming import telemetry
+
+FIELDS = ("open", "close", "vol")
+
+
+def test_cooldown_is_greedy(spark):
+    rng = random.Random(5)
+    data = [(code, i) for code in range(4) for i in sorted(rng.sample(range(200), 60))]
+    want, last = [], {}
+    for code, i in data:
+        if code not in last or i - last[code] > 7:
+            want.append((code, i))
+            last[code] = i
+    got = events.cooldown(spark.createDataFrame(data, "ts_code long, calendar_idx int").repartition(5), 7)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_asof_join_counts_equal_times(spark):
+    left = spark.createDataFrame([("a", 1), ("a", 5), ("b", 3)], "k string, t int")
+    right = spark.createDataFrame([("a", 5, 2.0), ("a", 2, 1.0), ("c", 1, 9.0)], "k string, t int, v double")
+    assert sorted(map(tuple, relational.asof_join(left, right, "k", "t", "v").collect()), key=str) == [("a", 1, None), ("a", 5, 2.0), ("b", 3, None)]
+
+
+def test_range_join_is_complete(spark):
+    ranges = [(i, lo, lo + w) for i, (lo, w) in enumerate([(0, 3), (2, 25), (10, 0), (9, 11)])]
+    got = relational.range_join(spark.range(30).withColumnRenamed("id", "x"), spark.createDataFrame(ranges, "r int, low int, high int"), "x", "low", "high", 7)
+    assert sorted((row.x, row.r) for row in got.collect()) == sorted((x, r) for x in range(30) for r, lo, hi in ranges if lo <= x <= hi)
+
+
+def test_clusters_are_components(spark):
+    ids = spark.createDataFrame([(i,) for i in range(7)], "id long")
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (4, 5)], "a long, b long")
+    assert {r.id: r.cluster for r in similarity.clusters(spark, ids, pairs).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4, 6: 6}
+
+
+def test_simplex_adds_up():
+    grid = search.simplex(3, 4)
+    assert len(grid) == len(set(grid)) == 15
+    assert all(abs(sum(w) - 1) < 1e-12 and min(w) >= 0 for w in grid)
+
+
+def test_bootstrap_does_not_depend_on_partitions(spark):
+    series = [0.01, -0.02, 0.03, 0.0, 0.01]
+    a, b = (sorted(map(tuple, search.block_bootstrap(spark, series, 50, 2, 3).collect())) for _ in range(2))
+    assert a == b and len(a) == 50
+
+
+def test_risk_budget_is_equal_for_equal_risks(spark):
+    cov = spark.createDataFrame([(0, 0, 0.04), (0, 1, 0.0), (1, 1, 0.04)], "a int, b int, cov double").toPandas()
+    weights = search.risk_budget(cov, cap=0.9)
+    assert weights[0] == pytest.approx(0.5) and sum(weights.values()) == pytest.approx(1)
+
+
+def test_ledger_keeps_its_books(spark):
+    rng, day = random.Random(3), date(2020, 1, 1)
+    data = [(code, day + timedelta(i), p, p * 1.01, 1e4, rng.random(), code + 1) for code in range(6) for i in range(40) for p in [10 + code + rng.random()]]
+    panel = spark.createDataFrame(data, "ts_code long, trade_date date, open double, close double, vol double, factor double, univ_rank int")
+    runs = [ledger.Run("a", positions=3), ledger.Run("b", positions=2, stop_loss=0.02)]
+    found = {r.run_id: r for r in ledger.integrity(ledger.run_ledgers(spark, panel, runs)).collect()}
+    assert set(found) == {"a", "b"}
+    assert all(r.repeated == 0 and r.least_cash >= -1e-6 and r.gap < 1e-6 for r in found.values())
+    fills = ledger.run_ledgers(spark, panel, runs, fills=True)
+    held = fills.groupBy("run_id", "ts_code").agg(F.sum(F.when(F.col("side") == "buy", F.col("quantity")).otherwise(-F.col("quantity"))).alias("q"))
+    assert held.filter("q < 0").count() == 0
+
+
+def test_language_refuses_what_it_does_not_allow():
+    for text in ("close-close", "ts_corr(close,vol,5)", "f(close)", "__import__('os')", "close**2", "ts_mean(close,0)", "nothing"):
+        assert validate(text, FIELDS)
+    assert validate("rank(ts_mean(close,5))", FIELDS) == ""
+    with pytest.raises(ExpressionError):
+        parse("close" + "+close" * 2000, FIELDS)
+
+
+def test_hash_ignores_the_outer_sign_and_history_nests():
+    assert expression_hash(parse("-rank(close)", FIELDS)) == expression_hash(parse("rank(close)", FIELDS))
+    assert required_history(parse("ts_mean(ts_mean(close,5),10)", FIELDS)) == 13
+
+
+def test_files_come_back(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"a,{i}") for i in range(50)], "seq int, name string")
+    files.write_csv(rows, f"{tmp_path}/c", "seq", gzip=True)
+    assert sorted(map(tuple, files.read_csv(spark, f"{tmp_path}/c", "seq int, name string").collect())) == sorted(map(tuple, rows.collect()))
+    files.write_ledger(rows.limit(0), f"{tmp_path}/empty")
+    assert spark.read.parquet(f"{tmp_path}/empty").columns == ["seq", "name"]
+    for version in (1, 2):
+        files.append_results(rows.limit(3).withColumn("v", F.lit(version)), f"{tmp_path}/log")
+    last = files.latest_results(spark, f"{tmp_path}/log", "seq int, name string, v int", ["seq"], "v")
+    assert [r.v for r in last.collect()] == [2, 2, 2]
+    before = files.identity(spark, f"{tmp_path}/log")
+    assert before == files.identity(spark, f"{tmp_path}/log")
+    files.append_results(rows, f"{tmp_path}/log")
+    assert before != files.identity(spark, f"{tmp_path}/log")
+    assert files.manifest(spark, f"{tmp_path}/c").filter("length(sha256) = 64").count() > 0
+
+
+def test_daily_bars_follow_new_files(spark, tmp_path):
+    source, target, state = f"{tmp_path}/in", f"{tmp_path}/bars", f"{tmp_path}/state"
+    start = datetime(2024, 1, 1, 9)
+    schema = "ts timestamp, user_id long, value double"
+    spark.createDataFrame([(start, 1, 1.0), (start + timedelta(days=1), 1, 5.0)], schema).write.parquet(source)
+    telemetry.keep_daily_bars(spark, source, target, state).awaitTermination()
+    spark.createDataFrame([(start + timedelta(hours=1), 1, 3.0)], schema).write.mode("append").parquet(source)
+    telemetry.keep_daily_bars(spark, source, target, state).awaitTermination()
+    assert sorted((str(r.day), r.n, r.total) for r in spark.read.parquet(target).collect()) == [("2024-01-01", 2, 4.0), ("2024-01-02", 1, 5.0)]
+
+
+def test_latency_runs_on_a_stream(spark, tmp_path):
+    schema = "ts timestamp, kind string, value double"
+    rows = spark.createDataFrame([(datetime(2024, 1, 1, 0, i), "a", float(i)) for i in range(10)], schema)
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = telemetry.latency(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "ts", "value", ["kind"], late="10 minutes")
+    stream.writeStream.format("memory").queryName("latency").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    key = lambda r: (str(r.start), r.n, r.p50)
+    assert sorted(map(key, spark.table("latency").collect())) == sorted(map(key, telemetry.latency(rows, "ts", "value", ["kind"]).collect()))
