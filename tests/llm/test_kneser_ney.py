@@ -88,3 +88,12 @@ def test_odd_rows(spark):
     assert sorted(r["keep"] for r in got if r["doc_id"] == 7 and not r["n_words"]) == [False, False]
     assert kn.classify(docs.limit(0), labels).count() == 0
     assert all(r["keep"] == bool(r["n_words"]) for r in kn.classify(docs, labels.limit(0)).collect())
+
+
+def test_the_model_learns_from_all_trusted_documents(spark):
+    docs = spark.createDataFrame([(i, "en", f"w{i} x{i % 7} y{i % 11}", "x") for i in range(1600)], DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1600)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["perplexity"] for r in kn.classify(docs, labels).collect()}
+    trusted = docs.filter("pmod(xxhash64(5, doc_id), 4) <> 0")
+    assert trusted.count() > 1100
+    assert got == pytest.approx({r["doc_id"]: r["perplexity"] for r in kn.perplexities(docs, trusted).collect()})

@@ -1,7 +1,7 @@
 """Quality classifier: interpolated modified Kneser-Ney n-grams of trusted text, perplexity by sharded count joins.
 
-The model is fitted on a bounded sample of labelled rows: at most `trusted_docs` documents, drawn by hash among those
-whose label says good quality and not toxic. Their n-grams are counted by Spark; continuation counts, discounts
+The model is fitted on all documents whose label says good quality and not toxic, but for a quarter by hash that is held
+out for the thresholds. Their n-grams are counted by Spark; continuation counts, discounts
 (three for each order), context totals and back-off weights come from joins and groupings of the count table.
 
 Written in back-off form, the log probability of a text is a sum over its n-grams of one value each: a word has the log of
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from weftline.llm import probes
 from weftline.llm.common import Words, cut, look_up, lower_words, mix64, pieces, table, text_bytes, word_hashes
+from weftline.llm.jaccard_join import few
 
 ORDER = 3
-TRUSTED_DOCS = 1024
 QUANTILE = 0.995
 FEWEST = 20
 HOT = 1 << 18
@@ -107,9 +107,15 @@ def model_values(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, float
     """gram, value, a (adjusted count) for every n-gram of the texts; and the log probability of an unknown word."""
     raw = texts.select("text").mapInArrow(counted(order), "n int, gram long, context long, suffix long, starts boolean, c long")
     counts = raw.groupBy("n", "gram").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.first("starts").alias("starts"), F.sum("c").alias("c"))
-    before = counts.filter("n > 1").groupBy((F.col("n") - 1).alias("n"), F.col("suffix").alias("gram")).agg(F.count(F.lit(1)).alias("before"))
-    adjusted = counts.join(before, ["n", "gram"], "left")
-    adjusted = cut(adjusted.withColumn("a", F.when((F.col("n") == order) | F.col("starts") & (F.col("n") > 1), F.col("c")).otherwise(F.coalesce("before", "c"))).select("n", "gram", "context", "suffix", "a"))
+    # An n-gram also counts once before its suffix: one grouping of both rows instead of a join, so that the texts are read once.
+    own = F.struct("n", "gram", "context", "suffix", "starts", "c", F.lit(0).cast("long").alias("before"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("context", "long"), ("suffix", "long"), ("starts", "boolean"), ("c", "long"))]
+    below = F.struct((F.col("n") - 1).alias("n"), F.col("suffix").alias("gram"), *none, F.lit(1).cast("long").alias("before"))
+    both = counts.select(F.explode(F.array(own, below)).alias("x")).select("x.*").filter("n > 0")
+    first = lambda name: F.max(name).alias(name)
+    adjusted = both.groupBy("n", "gram").agg(first("context"), first("suffix"), first("starts"), first("c"), F.sum("before").alias("before"))
+    continued = F.when(F.col("before") > 0, F.col("before")).otherwise(F.col("c"))
+    adjusted = cut(adjusted.withColumn("a", F.when((F.col("n") == order) | F.col("starts") & (F.col("n") > 1), F.col("c")).otherwise(continued)).select("n", "gram", "context", "suffix", "a"))
     kinds = adjusted.groupBy("n").agg(*[F.count(F.when(F.col("a") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)], F.sum("a").alias("total"), F.count(F.lit(1)).alias("types")).collect()
     by_order = {r["n"]: r for r in kinds}
     if 1 not in by_order:
@@ -226,12 +232,11 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
     return rows.join(more, "number", "left").select("doc_id", "lang", "n_words", F.when(F.col("n_words") > 0, F.exp(-log_p / (F.col("n_words") + 1))).alias("perplexity"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, trusted_docs: int = TRUSTED_DOCS, quantile: float = QUANTILE, order: int = ORDER) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold, keep."""
     good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic")).filter("quality = 1 and toxic = 0")
     good = cut(good.select("doc_id", F.xxhash64(F.lit(5), "doc_id").alias("key")))
-    sample = cut(good.filter(F.pmod("key", F.lit(4)) != 0).orderBy("key", "doc_id").limit(trusted_docs).select("doc_id"))
-    trusted = cut(docs.join(F.broadcast(sample), "doc_id", "left_semi").select("text"))
+    trusted = docs.join(few(good.filter(F.pmod("key", F.lit(4)) != 0).select("doc_id")), "doc_id", "left_semi").select("text")
     rows = cut(perplexities(docs, trusted, order))
     unseen = rows.filter("perplexity is not null").join(good.filter(F.pmod("key", F.lit(4)) == 0).select("doc_id"), "doc_id", "left_semi")
     bound = lambda name: F.percentile_approx("perplexity", quantile, 10000).alias(name)
