@@ -4,8 +4,8 @@ Each stage takes all rows that its predecessor kept and hands on the columns of
 mix takes of each document). `run` writes every stage's rows as Parquet into the shared checkpoint folder and goes on from the files.
 
 Defined results: a text that language ID can't place (`und`, or a share of its best language below MIN_SCORE) goes; documents keep their
-place when line dedup empties them; of each group of near duplicates the document with the group's smallest id stays (of
-rows that repeat it, one); a document that contains a benchmark item goes. Empty tables pass through.
+place when line dedup empties them; of each group of near duplicates the document with the group's smallest id stays (a null id
+comes last, then the smallest hash of the text decides; of rows that repeat it, one); a document that contains a benchmark item goes. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -41,11 +41,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    found = cut(near_duplicates(docs).groupBy("doc_id", "text_hash").agg(F.first("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows")))
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # Where texts that differ share the id that stays, the one with the smallest hash does; a null id names only itself.
-    stays = stays.groupBy("doc_id", "component_id").agg(F.min("text_hash").alias("text_hash")).filter("doc_id is not null").select("doc_id", "text_hash").unionByName(stays.filter("doc_id is null").select("doc_id", "text_hash"))
-    stays = cut(stays.join(found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "rows"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("d", "h", "rows"))
+    found = cut(near_duplicates(docs).groupBy("doc_id", "text_hash").agg(F.first("group").alias("group"), F.count(F.lit(1)).alias("rows")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "rows")).alias("x")
+    # Documents without shingles are in no group and stay.
+    alone = found.filter("group is null").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "rows")
+    stays = cut(found.filter("group is not null").groupBy("group").agg(first).select("x.d", "x.h", "x.rows").unionByName(alone))
     same = lambda keys: docs["doc_id"].eqNullSafe(keys["d"]) & (F.xxhash64(docs["text"]) == keys["h"])
     once = few(stays.filter("rows = 1"))
     kept = docs.join(once, same(once), "left_semi")

@@ -256,3 +256,11 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert not {9, 12, 13, 14} & set(ids) and 11 in ids
     assert 11 not in [r["doc_id"] for r in kept["decontamination"]]
     assert len(kept["mixing"]) == len(kept["decontamination"])
+
+
+def test_each_group_of_near_duplicates_keeps_one_document(spark):
+    rows = [(8, EN), (8, DE), (9, EN), (10, DE), (None, "x " + EN * 3), (None, "y " + EN * 3), (7, None), (7, "one two"), (7, "one two"), (6, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+    assert sorted(x for x in got if x[0] is not None and x[1]) == sorted([(8, EN), (8, DE), (7, "one two"), (6, " ")])
+    assert len([x for x in got if x[0] is None]) == 1 and (7, None) in got and len(got) == 6

@@ -288,7 +288,7 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, text_hash, n_shingles, component_id."""
+    """One row per document: doc_id, text_hash, n_shingles, component_id, and group: the key of its component, which no other has even where ids repeat or are null (null without shingles)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     n_bytes = text_bytes(docs)
     shards = max(1, -(-n_bytes // SHARD_BYTES))
@@ -335,13 +335,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     named = classes.join(whole, "key").select("key", "n", "group", "doc_id")
     names = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    by_class = named.join(names, "group").select(F.col("key").alias("class_key"), F.col("n").alias("class_n"), "component_id")
+    by_class = named.join(names, "group").select(F.col("key").alias("class_key"), F.col("n").alias("class_n"), "component_id", "group")
     found = about.join(by_class, (F.col("key") == F.col("class_key")) & (F.col("n") == F.col("class_n")), "left")
-    return found.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return found.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "group")
 
 
 def op8_join_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "group")
 
 
 ORACLE_SQL = r"""
