@@ -264,3 +264,12 @@ def test_each_group_of_near_duplicates_keeps_one_document(spark):
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
     assert sorted(x for x in got if x[0] is not None and x[1]) == sorted([(8, EN), (8, DE), (7, "one two"), (6, " ")])
     assert len([x for x in got if x[0] is None]) == 1 and (7, None) in got and len(got) == 6
+
+
+def test_word_frequencies_count_wherever_they_are_looked_up(docs, monkeypatch):
+    out = lambda: sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["score"], 3)) for r in attention_lm.score(docs, F.col("doc_id") % 5 == 1).collect())
+    monkeypatch.setattr(attention_lm, "STEPS", 5)
+    at_hand = out()
+    monkeypatch.setattr(attention_lm, "HOT", 0)
+    monkeypatch.setattr(attention_lm, "SHARD_BYTES", 20_000)
+    assert out() == at_hand

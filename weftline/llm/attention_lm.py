@@ -11,7 +11,9 @@ stands in the second half, with STRIDE to 2 * STRIDE - 1 positions before it. Wi
 batch for masked attention. Attention has no absolute positions, so what a subword gives as query, key and value is a table row.
 
 The base score adds up log10 of smoothed word frequencies. Words are counted by Spark, packed by shard of their hash;
-the most frequent words' counts go along with the tasks, others are looked up in their shard (see probes.py).
+the most frequent words' counts go along with the tasks, others are looked up in their shard (see probes.py). The score
+mixes the attention's probability of a word with its frequency among all training words; a look-up carries the
+attention's part along, so that the shard can mix it with the count, and no score depends on which words go along.
 
 Defined results: a null or empty text is END alone; a null doc_id counts as an empty id in the fold; repeated rows are scored one
 by one; if there are no training rows N and V are 0 and the model is uniform; an empty table gives an empty result; other columns are ignored.
@@ -48,7 +50,7 @@ WIDTH, HIDDEN = 32, 48
 INPUTS = 4096
 ALONE, GROUPS = 64, 30
 STEPS, BLOCKS = 600, 96
-#: Weight of the frequent words' distribution.
+#: Weight of the distribution of word counts.
 SHARE = 0.3
 #: Not a word, since words have no white space.
 END = b" end"
@@ -170,10 +172,20 @@ class Model:
         return flat[wanted.ravel() >= 0] + self.shares[ids]
 
 
-def mixed(log_p: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, share: float) -> np.ndarray:
-    """log10 probability of each word: `share` of the frequent words' distribution and the rest of the attention's, that of its subwords in turn."""
-    words = np.add.reduceat(log_p, np.cumsum(sizes) - sizes) if len(sizes) else np.empty(0)
-    return np.logaddexp(words + np.log(1 - share), np.log(np.maximum(share * frequent, 1e-300))) / np.log(10)
+def by_word(log_p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Log probability of each word, that of its subwords in turn."""
+    return np.add.reduceat(log_p, np.cumsum(sizes) - sizes) if len(sizes) else np.empty(0, np.float32)
+
+
+def mixed(words: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """log10 probability of each word: SHARE of its frequency among the n training tokens, by its value in the index (0 if unknown), and the rest of the attention's."""
+    frequency = (10**values - 1) / (2 * max(n, 1))
+    return np.logaddexp(words + np.log(1 - SHARE), np.log(np.maximum(SHARE * frequency, 1e-300))) / np.log(10)
+
+
+def gained(n: int):
+    """What a word's score gains when its value is found."""
+    return lambda values, words: mixed(words, values, n) - mixed(words, np.zeros(len(values)), n)
 
 
 def choose_classes(ids: np.ndarray, vocabulary: int, end: int, rng: np.random.Generator) -> np.ndarray:
@@ -306,7 +318,7 @@ def scored(vocabulary, shared, shards: int, slices: int):
     """doc_id, held_out, text -> document rows and probe rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (model, hot_keys, hot_values, hot_tokens), subwords, number = shared.value, Subwords(vocabulary.value), probes.first_number()
+        (model, hot_keys, hot_values, n), subwords, number = shared.value, Subwords(vocabulary.value), probes.first_number()
         values, hashes = np.empty(0), np.empty(0, np.uint64)
         for piece in pieces(batches, 2, SCORE_BYTES):
             numbers, lengths = subwords.split(piece.column(2).to_pylist())
@@ -317,14 +329,15 @@ def scored(vocabulary, shared, shards: int, slices: int):
             starts, rows, got = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(lengths)), lengths), values[numbers]
             here = ~np.isnan(got)
             totals, known = (np.add.reduceat(x, starts) if len(x) else x for x in (np.where(here, got, 0), here.astype(np.int64)))
-            out = probes.probe_rows(shards, slices, number, hashes[numbers[~here]], rows[~here])
-            log_p = model.log_p(*subwords.of(numbers, lengths))
-            score = np.add.reduceat(mixed(log_p, subwords.sizes[numbers], np.where(here, (10**got - 1) / (2 * hot_tokens), 0), SHARE), starts) if len(numbers) else np.empty(0)
+            by_attention = by_word(model.log_p(*subwords.of(numbers, lengths)), subwords.sizes[numbers])
+            # A word that isn't at hand scores as unknown here; its shard adds what its count gains.
+            out = probes.probe_rows(shards, slices, number, hashes[numbers[~here]], rows[~here], by_attention[~here])
+            score = np.add.reduceat(mixed(by_attention, np.where(here, got, 0), n), starts) if len(numbers) else np.empty(0)
             k, none = len(lengths), len(out)
             columns = [pa.concat_arrays([pa.array(np.arange(number, number + k)), pa.nulls(none, pa.int64())]), *[pa.concat_arrays([piece.column(i), pa.nulls(none, piece.column(i).type)]) for i in (0, 1)]]
             columns += [pa.concat_arrays([pa.array(x), pa.nulls(none, t)]) for x, t in ((lengths, pa.int64()), (known, pa.int64()), (totals, pa.float64()), (score, pa.float64()))]
-            columns += [pa.concat_arrays([pa.nulls(k, t), pa.array([r[i] for r in out], t)]) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["number", "doc_id", "held_out", "n_tokens", "known_here", "here", "score", "shard", "slice", "base", "keys", "rows"])
+            columns += [pa.concat_arrays([pa.nulls(k, t), pa.array([r[i] for r in out], t)]) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["number", "doc_id", "held_out", "n_tokens", "known_here", "here", "score", "shard", "slice", "base", "keys", "rows", "extra"])
             number += k
 
     return run
@@ -367,15 +380,14 @@ def score(docs: DataFrame, held_out, tokenizer: str = TOKENIZER, sample_docs: in
         yield pd.DataFrame({"model": [pickle.dumps(train(*subwords.of(numbers, lengths), subword_counts, size, subwords.end))]})
 
     model = pickle.loads(sample_texts(training, sample_docs, stretch).mapInPandas(fit, "model binary").first()["model"])
-    hot_tokens = max(1.0, float((10 ** hot_values - 1).sum() / 2))
-    shared = context.broadcast((model, hot_keys[order], hot_values[order], hot_tokens))
-    passed = cut(rows.mapInArrow(scored(vocabulary, shared, shards, 1), f"number long, doc_id long, held_out boolean, n_tokens long, known_here long, here double, score double, {probes.PROBE}"))
-    more = probes.sums(passed.filter("shard is not null").select("shard", "slice", "base", "keys", "rows"), index.select("shard", "keys", "values"))
-    found = passed.filter("number is not null").drop("shard", "slice", "base", "keys", "rows").join(more, "number", "left")
+    shared = context.broadcast((model, hot_keys[order], hot_values[order], n))
+    passed = cut(rows.mapInArrow(scored(vocabulary, shared, shards, 1), f"number long, doc_id long, held_out boolean, n_tokens long, known_here long, here double, score double, {probes.PROBE}, {probes.EXTRA}"))
+    more = probes.sums(passed.filter("shard is not null").select("shard", "slice", "base", "keys", "rows", "extra"), index.select("shard", "keys", "values"), second=gained(n))
+    found = passed.filter("number is not null").drop("shard", "slice", "base", "keys", "rows", "extra").join(more, "number", "left")
     known = F.col("known_here") + F.coalesce("hits", F.lit(0))
     unit = float(np.log10(0.5) - np.log10(n + 0.5 * (v + 1)))
     base = F.col("here") + F.coalesce("total", F.lit(0.0)) + F.col("n_tokens") * unit
-    return found.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return found.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
 def op9_score_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ numbers are used, so a lost executor can't renumber documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
@@ -20,6 +22,8 @@ from weftline.llm.common import look_up
 
 #: Columns of a probe row: shard, slice, number of the piece's first document, packed keys (u64) and document places (i32).
 PROBE = "shard int, slice int, base long, keys binary, rows binary"
+#: May follow: a packed number (f32) for each key, for a second sum.
+EXTRA = "extra binary"
 
 
 def first_number() -> int:
@@ -34,29 +38,34 @@ def by_shard(shards: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
-def probe_rows(shards: int, slices: int, base: int, hashes: np.ndarray, rows: np.ndarray) -> list[tuple]:
+def probe_rows(shards: int, slices: int, base: int, hashes: np.ndarray, rows: np.ndarray, extra: np.ndarray | None = None) -> list[tuple]:
     """Probe rows of one piece. A shard's probes are spread over `slices` tasks by piece."""
     order, at = by_shard(shards, hashes)
     part = (base * 0x9E3779B97F4A7C15 >> 32) % slices
-    return [(k, part, base, hashes[own].tobytes(), rows[own].astype(np.int32).tobytes()) for k in range(shards) if len(own := order[at[k] : at[k + 1]])]
+    return [(k, part, base, hashes[own].tobytes(), rows[own].astype(np.int32).tobytes(), *([] if extra is None else [extra[own].astype(np.float32).tobytes()])) for k in range(shards) if len(own := order[at[k] : at[k + 1]])]
+
+
+ANSWER = "base long, rows binary, totals binary, hits binary, more binary"
 
 
-ANSWER = "base long, rows binary, totals binary, hits binary"
+def answered(second: Callable[[np.ndarray, np.ndarray], np.ndarray] | None):
+    """Sums and numbers of hits by document, packed by piece, of the probes of one shard and slice; with `second` also sums of second(value, extra)."""
 
+    def answer(probes: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(probes) and len(index):
+            keys, values = np.frombuffer(index["index_keys"].iloc[0], np.uint64), np.frombuffer(index["index_values"].iloc[0], np.float64)
+            for base, packed, places, extra in zip(probes["base"], probes["keys"], probes["rows"], probes["extra"] if second else probes["rows"], strict=True):
+                got = look_up(keys, values, np.frombuffer(packed, np.uint64), np.nan)
+                rows = np.frombuffer(places, np.int32)[hit := ~np.isnan(got)]
+                if len(rows):
+                    hits, sums = np.bincount(rows), np.bincount(rows, got[hit])
+                    some = np.flatnonzero(hits)
+                    more = np.bincount(rows, second(got[hit], np.frombuffer(extra, np.float32)[hit]))[some].tobytes() if second else b""
+                    found.append((base, some.astype(np.int32).tobytes(), sums[some].tobytes(), hits[some].astype(np.int32).tobytes(), more))
+        return pd.DataFrame(found, columns=["base", "rows", "totals", "hits", "more"]).astype({"base": "int64"})
 
-def answer(probes: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    """Sums and numbers of hits by document, packed by piece, of the probes of one shard and slice."""
-    found = []
-    if len(probes) and len(index):
-        keys, values = np.frombuffer(index["index_keys"].iloc[0], np.uint64), np.frombuffer(index["index_values"].iloc[0], np.float64)
-        for base, packed, places in zip(probes["base"], probes["keys"], probes["rows"], strict=True):
-            got = look_up(keys, values, np.frombuffer(packed, np.uint64), np.nan)
-            rows = np.frombuffer(places, np.int32)[hit := ~np.isnan(got)]
-            if len(rows):
-                hits, sums = np.bincount(rows), np.bincount(rows, got[hit])
-                some = np.flatnonzero(hits)
-                found.append((base, some.astype(np.int32).tobytes(), sums[some].tobytes(), hits[some].astype(np.int32).tobytes()))
-    return pd.DataFrame(found, columns=["base", "rows", "totals", "hits"]).astype({"base": "int64"})
+    return answer
 
 
 def merged(answers: pd.DataFrame) -> pd.DataFrame:
@@ -64,12 +73,14 @@ def merged(answers: pd.DataFrame) -> pd.DataFrame:
     rows = np.concatenate([np.frombuffer(x, np.int32) for x in answers["rows"]])
     totals = np.bincount(rows, np.concatenate([np.frombuffer(x, np.float64) for x in answers["totals"]]))
     hits = np.bincount(rows, np.concatenate([np.frombuffer(x, np.int32) for x in answers["hits"]])).astype(np.int64)
+    more = np.concatenate([np.frombuffer(x, np.float64) for x in answers["more"]])
+    more = np.bincount(rows, more) if len(more) else np.zeros(len(hits))
     some = np.flatnonzero(hits)
-    return pd.DataFrame({"number": int(answers["base"].iloc[0]) + some, "total": totals[some], "hits": hits[some]})
+    return pd.DataFrame({"number": int(answers["base"].iloc[0]) + some, "total": totals[some], "hits": hits[some], "more": more[some]})
 
 
-def sums(probes: DataFrame, index: DataFrame, slices: int = 1) -> DataFrame:
-    """number, total, hits for each document with a hit. index: one row per shard with shard, keys (sorted u64) and values (f64)."""
+def sums(probes: DataFrame, index: DataFrame, slices: int = 1, second: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """number, total, hits, more (the sum of `second`, or 0) for each document with a hit. index: one row per shard with shard, keys (sorted u64) and values (f64)."""
     copies = index.select(F.col("shard").alias("index_shard"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("index_slice"), F.col("keys").alias("index_keys"), F.col("values").alias("index_values"))
-    answers = probes.groupBy("shard", "slice").cogroup(copies.groupBy("index_shard", "index_slice")).applyInPandas(answer, ANSWER)
-    return answers.groupBy("base").applyInPandas(merged, "number long, total double, hits long")
+    answers = probes.groupBy("shard", "slice").cogroup(copies.groupBy("index_shard", "index_slice")).applyInPandas(answered(second), ANSWER)
+    return answers.groupBy("base").applyInPandas(merged, "number long, total double, hits long, more double")
