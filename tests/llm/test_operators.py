@@ -273,3 +273,24 @@ def test_word_frequencies_count_wherever_they_are_looked_up(docs, monkeypatch):
     monkeypatch.setattr(attention_lm, "HOT", 0)
     monkeypatch.setattr(attention_lm, "SHARD_BYTES", 20_000)
     assert out() == at_hand
+
+
+def test_the_language_model_learns_from_all_training_rows(spark, monkeypatch):
+    rare = "zebra quartz violin"
+    texts = [f"plain words number {i % 5} here" for i in range(1500)] + [f"{rare} {i % 3}" for i in range(3)] + ["plain words " * 8000 + "walrus"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    models = []
+    monkeypatch.setattr(attention_lm, "fitted", lambda *a, f=attention_lm.fitted: models.append(f(*a)) or models[-1])
+    assert attention_lm.score(docs, F.lit(False)).count() == len(texts)
+    subwords = attention_lm.Subwords(attention_lm.read_ranks(spark, attention_lm.TOKENIZER))
+    ids, _ = subwords.of(*subwords.split([rare + " walrus"]))
+    # None is in the class of unseen subwords or has the symbol of rare ones.
+    assert (models[0].classes[ids] != 1).all() and (models[0].symbols[ids] < attention_lm.INPUTS - 1).all()
+
+
+def test_every_block_is_gone_through():
+    import numpy as np
+
+    plan = attention_lm.Plan(None, None, None, 1)
+    blocks = np.concatenate([plan.turn(1001, part, 7) for part in range(attention_lm.ROUNDS)])
+    assert sorted(blocks) == list(range(1, 1002))

@@ -2,9 +2,10 @@
 
 Words (A-Z lower-cased) are cut into subword ids by a public tokenizer's vocabulary, whose path is a parameter; every
 text ends with END. The probability of a subword is that of its class, from self-attention over the subwords before
-it, times its share in the class. The shares, like all word counts, come from all training documents; only the
-attention's weights and the choice of classes are fitted on a sample, bounded by `sample_docs` documents, drawn by hash, and
-`stretch` characters of each.
+it, times its share in the class. Shares, word counts, the choice of classes (by counts and neighbours) and the attention's
+weights all come from all training documents. The weights are fitted in ROUNDS: each task goes through its part of the
+training text from the round's common weights, and Spark averages what the tasks come to, by the text each has seen.
+Every block of text is gone through once; where that is less than STEPS * BLOCKS blocks, as often as it takes.
 
 A text is laid out in windows of 2 * STRIDE positions that overlap by half: each position is scored once, in the window where it
 stands in the second half, with STRIDE to 2 * STRIDE - 1 positions before it. Windows of many texts form one
@@ -22,7 +23,7 @@ by one; if there are no training rows N and V are 0 and the model is uniform; an
 from __future__ import annotations
 
 import base64
-import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +41,6 @@ from weftline.llm.common import Words, cut, expand, fold, look_up, lower_words,
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: A word is one piece for the merges, long ones every 64 characters.
 PIECE = r"(?s).{1,64}"
-SAMPLE_DOCS = 512
-STRETCH = 8000
 HOT = 1 << 17
 SHARD_BYTES = 1 << 26
 #: Text that is scored at a time, for a bounded memory of the tasks.
@@ -48,8 +48,12 @@ SCORE_BYTES = 1 << 22
 STRIDE = 16
 WIDTH, HIDDEN = 32, 48
 INPUTS = 4096
-ALONE, GROUPS = 64, 30
+ALONE, GROUPS = 96, 32
+#: Blocks of a step, doubled each round, and least steps.
 STEPS, BLOCKS = 600, 96
+ROUNDS = 4
+#: Weights are averaged in this many groups first.
+BUCKETS = 8
 #: Weight of the distribution of word counts.
 SHARE = 0.3
 #: Not a word, since words have no white space.
@@ -188,28 +192,43 @@ def gained(n: int):
     return lambda values, words: mixed(words, values, n) - mixed(words, np.zeros(len(values)), n)
 
 
-def choose_classes(ids: np.ndarray, vocabulary: int, end: int, rng: np.random.Generator) -> np.ndarray:
-    """A class for every subword id: END and frequent ones alone, the sample's others grouped by their neighbours, all unseen in one."""
-    counts = np.bincount(ids, minlength=vocabulary)
+def by_count(counts: np.ndarray, end: int) -> np.ndarray:
+    """Subword ids with a count, most frequent first, without END."""
+    counts = counts.copy()
     counts[end] = 0
     order = np.argsort(-counts, kind="stable")
-    order = order[counts[order] > 0]
-    classes = np.full(vocabulary, 1, dtype=np.int64)
+    return order[counts[order] > 0]
+
+
+def neighbours(ids: np.ndarray, order: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each subword past the first ALONE of `order` has each of these (or another) before and after it: place in a flat table, count."""
+    alone, rest = order[:ALONE], order[ALONE:]
+    context = np.full(vocabulary, ALONE, dtype=np.int64)
+    context[alone] = np.arange(len(alone))
+    place = np.full(vocabulary, -1, dtype=np.int64)
+    place[rest] = np.arange(len(rest))
+    keys = []
+    for shift, mine, other in ((0, ids[1:], ids[:-1]), (ALONE + 1, ids[:-1], ids[1:])):
+        some = place[mine] >= 0
+        keys.append(place[mine[some]] * 2 * (ALONE + 1) + shift + context[other[some]])
+    counts = np.bincount(np.concatenate(keys))
+    at = np.flatnonzero(counts)
+    return at, counts[at]
+
+
+def choose_classes(counts: np.ndarray, order: np.ndarray, at: np.ndarray, near_by: np.ndarray, end: int, rng: np.random.Generator) -> np.ndarray:
+    """A class for every subword id: END and frequent ones alone, all others with a count grouped by their neighbours, all unseen in one."""
+    classes = np.full(len(counts), 1, dtype=np.int64)
     classes[end] = 0
     alone, rest = order[:ALONE], order[ALONE:]
     classes[alone] = np.arange(len(alone)) + 2
     if len(rest):
-        context = np.full(vocabulary, ALONE, dtype=np.int64)
-        context[alone] = np.arange(len(alone))
-        place = np.full(vocabulary, -1, dtype=np.int64)
-        place[rest] = np.arange(len(rest))
-        about = np.zeros((len(rest), 2 * (ALONE + 1)))
-        for shift, mine, other in ((0, ids[1:], ids[:-1]), (ALONE + 1, ids[:-1], ids[1:])):
-            some = place[mine] >= 0
-            np.add.at(about, (place[mine[some]], shift + context[other[some]]), 1)
+        about = np.zeros(len(rest) * 2 * (ALONE + 1), np.float32)
+        np.add.at(about, at, near_by.astype(np.float32))
+        about = about.reshape(len(rest), -1)
         about = np.sqrt(about / np.maximum(about.sum(axis=1, keepdims=True), 1))
         weight = counts[rest].astype(float)
-        centres = about[rng.choice(len(rest), min(GROUPS, len(rest)), replace=False, p=weight / weight.sum())]
+        centres = about[rng.choice(len(rest), min(GROUPS, len(rest)), replace=False, p=weight / weight.sum())].astype(float)
         for _ in range(8):
             near = (about @ centres.T - 0.5 * (centres**2).sum(axis=1)).argmax(axis=1)
             size = np.bincount(near, weight, len(centres))
@@ -220,71 +239,178 @@ def choose_classes(ids: np.ndarray, vocabulary: int, end: int, rng: np.random.Ge
     return classes
 
 
+@dataclass
+class Plan:
+    """What stays the same while weights are fitted."""
+
+    symbols: np.ndarray
+    classes: np.ndarray
+    shares: np.ndarray
+    passes: int  # over every block, in all rounds
+
+    def weights(self, counts: np.ndarray) -> dict[str, np.ndarray]:
+        """Weights to begin with."""
+        rng, n_classes = np.random.default_rng(13), int(self.classes.max()) + 1
+        normal = lambda *shape: rng.normal(0, shape[0] ** -0.5, shape).astype(np.float32)
+        prior = np.log((np.bincount(self.classes, counts, n_classes) + 1.0) / (counts.sum() + n_classes)).astype(np.float32)
+        return {"E": rng.normal(0, 0.5, (INPUTS + 2, WIDTH)).astype(np.float32), "Q": normal(WIDTH, WIDTH), "K": normal(WIDTH, WIDTH), "V": normal(WIDTH, HIDDEN), "U": normal(WIDTH, HIDDEN), "z": np.zeros(HIDDEN, np.float32), "R": np.zeros(2 * STRIDE, np.float32), "W": normal(HIDDEN, n_classes), "b": prior}
+
+    def turn(self, n_blocks: int, part: int, seed: int) -> np.ndarray:
+        """Blocks of a piece that a round goes through. All rounds together go through each `passes` times."""
+        rng = np.random.default_rng([13, seed])
+        order = np.concatenate([1 + rng.permutation(n_blocks) for _ in range(self.passes)])
+        return order[len(order) * part // ROUNDS : len(order) * (part + 1) // ROUNDS]
+
+    def fit(self, p: dict[str, np.ndarray], texts: Iterator[tuple[np.ndarray, np.ndarray]], part: int) -> tuple[dict[str, np.ndarray], int]:
+        """Weights after one round over pieces of text (subword ids, and how many each text has), by Adam, and how many blocks it went through."""
+        p = {k: v.copy() for k, v in p.items()}
+        m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
+        step, seen, pad = 0, 0, INPUTS
+        for ids, lengths in texts:
+            inputs, wanted, before, _ = blocks(self.symbols[ids], self.classes[ids], lengths, pad, pad + 1)
+            picked = self.turn(len(inputs) - 1, part, zlib.crc32(ids.tobytes()))
+            for start in range(0, len(picked), BLOCKS << part):
+                pick = picked[start : start + (BLOCKS << part)]
+                step, seen = step + 1, seen + len(pick)
+                rate = 0.01 * min(1, step / 30) * (1 - 0.9 * part / max(ROUNDS - 1, 1))
+                for name, grad in gradients(p, np.concatenate([inputs[before[pick]], inputs[pick]], axis=1), wanted[pick], pad).items():
+                    m1[name] += 0.1 * (grad - m1[name])
+                    m2[name] += 0.01 * (grad * grad - m2[name])
+                    p[name] -= rate * (m1[name] / (1 - 0.9**step)) / (np.sqrt(m2[name] / (1 - 0.99**step)) + 1e-8)
+        return p, seen
+
+    def model(self, p: dict[str, np.ndarray]) -> Model:
+        e, one = p["E"], np.ones((len(p["E"]), 1), np.float32)
+        rows = np.hstack([e @ p["Q"] * np.float32(WIDTH**-0.5), e @ p["K"], e @ p["V"], one, e @ p["U"] + p["z"], 0 * one])
+        return Model(self.symbols, self.classes, self.shares.astype(np.float32), rows, np.where(DISTANCE >= 0, p["R"][np.maximum(DISTANCE, 0)], np.float32(-1e9)).astype(np.float32), np.vstack([p["W"], p["b"]]))
+
+
+def planned(counts: np.ndarray, order: np.ndarray, at: np.ndarray, near_by: np.ndarray, end: int, n_blocks: int) -> Plan:
+    """counts: subwords of all training documents."""
+    classes = choose_classes(counts, order, at, near_by, end, np.random.default_rng(13))
+    seen = counts + 0.5
+    shares = np.log(seen) - np.log(np.bincount(classes, seen))[classes]
+    first = np.argsort(-counts, kind="stable")[: INPUTS - 1]
+    symbols = np.full(len(counts), INPUTS - 1, dtype=np.int64)
+    symbols[first] = np.arange(len(first))
+    return Plan(symbols, classes, shares, max(1, -(-STEPS * BLOCKS // max(n_blocks, 1))))
+
+
+def gradients(p: dict[str, np.ndarray], window: np.ndarray, aim: np.ndarray, pad: int) -> dict[str, np.ndarray]:
+    """Gradients of the mean loss over windows of input symbols, where aim has the classes of the second half."""
+    legal, near, scale = DISTANCE >= 0, np.maximum(DISTANCE, 0), np.float32(WIDTH**-0.5)
+    x = p["E"][window]
+    now = x[:, STRIDE:]
+    q, k, v = now @ p["Q"] * scale, x @ p["K"], x @ p["V"]
+    masked = legal[None] & (window != pad)[:, None, :]
+    a = softmax(np.where(masked, np.matmul(q, k.transpose(0, 2, 1)) + p["R"][near], np.float32(-1e9)))
+    z = np.matmul(a, v) + now @ p["U"] + p["z"]
+    h = np.maximum(z, 0)
+    valid = aim >= 0
+    d = softmax(h @ p["W"] + p["b"])
+    np.put_along_axis(d, np.maximum(aim, 0)[:, :, None], np.take_along_axis(d, np.maximum(aim, 0)[:, :, None], 2) - 1, 2)
+    d *= valid[:, :, None] / np.float32(max(valid.sum(), 1))
+    flat = lambda y: y.reshape(-1, y.shape[-1])
+    g = {"W": flat(h).T @ flat(d), "b": flat(d).sum(axis=0)}
+    dz = (d @ p["W"].T) * (z > 0)
+    g["U"], g["z"] = flat(now).T @ flat(dz), flat(dz).sum(axis=0)
+    da, dv = np.matmul(dz, v.transpose(0, 2, 1)), np.matmul(a.transpose(0, 2, 1), dz)
+    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    g["R"] = np.bincount(near.ravel(), (ds * masked).sum(axis=0).ravel(), 2 * STRIDE).astype(np.float32)
+    dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q)
+    g["Q"], g["K"], g["V"] = flat(now).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
+    dx = dk @ p["K"].T + dv @ p["V"].T
+    dx[:, STRIDE:] += dq @ p["Q"].T + dz @ p["U"].T
+    g["E"] = np.zeros_like(p["E"])
+    np.add.at(g["E"], window.ravel(), flat(dx))
+    return g
+
+
 def train(ids: np.ndarray, lengths: np.ndarray, counts: dict[int, int], vocabulary: int, end: int) -> Model:
-    """Fit the attention on a sample's subwords by Adam. counts: subwords of all training documents, for the shares in classes. The same arguments give the same model."""
-    rng = np.random.default_rng(13)
-    classes = choose_classes(ids, vocabulary, end, rng)
-    n_classes = int(classes.max()) + 1
-    seen = np.full(vocabulary, 0.5)
-    for i, c in counts.items():
-        seen[i] += c
-    shares = np.log(seen) - np.log(np.bincount(classes, seen, n_classes))[classes]
-    order = np.argsort(-np.bincount(ids, minlength=vocabulary), kind="stable")[: INPUTS - 1]
-    symbols = np.full(vocabulary, INPUTS - 1, dtype=np.int64)
-    symbols[order] = np.arange(len(order))
-    pad, begin = INPUTS, INPUTS + 1
-    inputs, wanted, before, _ = blocks(symbols[ids], classes[ids], lengths, pad, begin)
-
-    normal = lambda *shape: rng.normal(0, shape[0] ** -0.5, shape).astype(np.float32)
-    p = {"E": rng.normal(0, 0.5, (INPUTS + 2, WIDTH)).astype(np.float32), "Q": normal(WIDTH, WIDTH), "K": normal(WIDTH, WIDTH), "V": normal(WIDTH, HIDDEN), "U": normal(WIDTH, HIDDEN), "z": np.zeros(HIDDEN, np.float32), "R": np.zeros(2 * STRIDE, np.float32), "W": normal(HIDDEN, n_classes), "b": np.log((np.bincount(classes[ids], minlength=n_classes) + 1.0) / (len(ids) + n_classes)).astype(np.float32)}
-    m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-    legal, near, scale = DISTANCE >= 0, np.maximum(DISTANCE, 0), WIDTH**-0.5
-    n_blocks = len(inputs) - 1
-    for step in range(1, STEPS + 1 if n_blocks else 1):
-        pick = 1 + rng.integers(0, n_blocks, BLOCKS)
-        window, aim = np.concatenate([inputs[before[pick]], inputs[pick]], axis=1), wanted[pick]
-        x = p["E"][window]
-        now = x[:, STRIDE:]
-        q, k, v = now @ p["Q"] * scale, x @ p["K"], x @ p["V"]
-        masked = legal[None] & (window != pad)[:, None, :]
-        a = softmax(np.where(masked, np.matmul(q, k.transpose(0, 2, 1)) + p["R"][near], np.float32(-1e9)))
-        z = np.matmul(a, v) + now @ p["U"] + p["z"]
-        h = np.maximum(z, 0)
-        valid = aim >= 0
-        d = softmax(h @ p["W"] + p["b"])
-        np.put_along_axis(d, np.maximum(aim, 0)[:, :, None], np.take_along_axis(d, np.maximum(aim, 0)[:, :, None], 2) - 1, 2)
-        d *= valid[:, :, None] / np.float32(max(valid.sum(), 1))
-        flat = lambda y: y.reshape(-1, y.shape[-1])
-        g = {"W": flat(h).T @ flat(d), "b": flat(d).sum(axis=0)}
-        dz = (d @ p["W"].T) * (z > 0)
-        g["U"], g["z"] = flat(now).T @ flat(dz), flat(dz).sum(axis=0)
-        da, dv = np.matmul(dz, v.transpose(0, 2, 1)), np.matmul(a.transpose(0, 2, 1), dz)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        g["R"] = np.bincount(near.ravel(), (ds * masked).sum(axis=0).ravel(), 2 * STRIDE).astype(np.float32)
-        dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q)
-        g["Q"], g["K"], g["V"] = flat(now).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = dk @ p["K"].T + dv @ p["V"].T
-        dx[:, STRIDE:] += dq @ p["Q"].T + dz @ p["U"].T
-        g["E"] = np.zeros_like(p["E"])
-        np.add.at(g["E"], window.ravel(), flat(dx))
-        rate = 0.01 * min(1, step / 30) * (1 - 0.9 * step / STEPS)
-        for name, grad in g.items():
-            m1[name] += 0.1 * (grad - m1[name])
-            m2[name] += 0.01 * (grad * grad - m2[name])
-            p[name] -= rate * (m1[name] / (1 - 0.9**step)) / (np.sqrt(m2[name] / (1 - 0.99**step)) + 1e-8)
-    e = p["E"]
-    one = np.ones((len(e), 1), np.float32)
-    rows = np.hstack([e @ p["Q"] * scale, e @ p["K"], e @ p["V"], one, e @ p["U"] + p["z"], 0 * one])
-    return Model(symbols, classes, shares.astype(np.float32), rows, np.where(legal, p["R"][near], np.float32(-1e9)).astype(np.float32), np.vstack([p["W"], p["b"]]))
+    """The model of one piece of text, without Spark. The same arguments give the same model."""
+    seen = np.zeros(vocabulary)
+    seen[list(counts)] = list(counts.values())
+    order = by_count(seen, end)
+    plan = planned(seen, order, *neighbours(ids, order, vocabulary), end, int((-(-lengths // STRIDE)).sum()))
+    p = plan.weights(seen)
+    for part in range(ROUNDS):
+        p, _ = plan.fit(p, iter([(ids, lengths)]), part)
+    return plan.model(p)
+
+
+def flat_weights(p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([p[k].ravel() for k in sorted(p)])
+
+
+def shaped_weights(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    ends = np.cumsum([like[k].size for k in sorted(like)])
+    return {k: x.reshape(like[k].shape).astype(np.float32) for k, x in zip(sorted(like), np.split(flat, ends[:-1]), strict=True)}
+
+
+def read_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """ids, lengths as packed by counted()."""
+    for batch in batches:
+        for ids, lengths in zip(batch.column(0), batch.column(1), strict=True):
+            yield np.frombuffer(ids.as_buffer(), np.int32), np.frombuffer(lengths.as_buffer(), np.int32).astype(np.int64)
+
+
+def beside(shared):
+    """ids, lengths -> what neighbours() gives, summed by task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, vocabulary = shared.value
+        total = np.zeros(0, np.int64)
+        for ids, _ in read_pieces(batches):
+            at, n = neighbours(ids, order, vocabulary)
+            if len(at) and at[-1] >= len(total):
+                total = np.concatenate([total, np.zeros(at[-1] + 1 - len(total), np.int64)])
+            total[at] += n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    return run
+
+
+def rounded(shared, part: int):
+    """ids, lengths -> this task's weights after a round, times the blocks it went through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, p = shared.value
+        p, seen = plan.fit(p, read_pieces(batches), part)
+        if seen:
+            bucket = TaskContext.get().partitionId() % BUCKETS
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([seen], pa.int64()), pa.array([(flat_weights(p) * float(seen)).astype(np.float64).tobytes()], pa.binary())], names=["bucket", "seen", "weights"])
+
+    return run
+
+
+def added(rows: pd.DataFrame) -> pd.DataFrame:
+    total = np.frombuffer(rows["weights"].iloc[0], np.float64).copy()
+    for x in rows["weights"].iloc[1:]:
+        total += np.frombuffer(x, np.float64)
+    return pd.DataFrame({"seen": [int(rows["seen"].sum())], "weights": [total.tobytes()]})
+
+
+def fitted(texts: DataFrame, counts: np.ndarray, end: int, n_blocks: int) -> Model:
+    """The model of packed training text (ids, lengths), by Spark."""
+    context, order = texts.sparkSession.sparkContext, by_count(counts, end)
+    found = texts.mapInArrow(beside(context.broadcast((order, len(counts)))), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas().sort_values("at")
+    plan = planned(counts, order, found["at"].to_numpy(np.int64), found["n"].to_numpy(np.int64), end, n_blocks)
+    p = plan.weights(counts)
+    for part in range(ROUNDS):
+        after = texts.mapInArrow(rounded(context.broadcast((plan, p)), part), "bucket int, seen long, weights binary").groupBy("bucket").applyInPandas(added, "seen long, weights binary").collect()
+        if after:
+            p = shaped_weights(sum(np.frombuffer(r["weights"], np.float64) for r in after) / sum(r["seen"] for r in after), p)
+    return plan.model(p)
 
 
 def counted(shared, shards: int):
-    """text -> packed word counts of a piece by shard, and rows of subword counts."""
+    """text -> packed word counts of a piece by shard, rows of subword counts, and the piece's subwords (n: its blocks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords(shared.value)
         for piece in pieces(batches, 0):
-            numbers, _ = subwords.split(piece.column(0).to_pylist())
+            numbers, lengths = subwords.split(piece.column(0).to_pylist())
             counts = np.bincount(numbers, minlength=len(subwords.words))
             some = np.flatnonzero(counts)
             hashes, counts = word_hashes([subwords.words.order[i] for i in some]), counts[some]
@@ -294,9 +420,12 @@ def counted(shared, shards: int):
             subs = np.bincount(subwords.ids[expand(subwords.starts[some], sizes)], np.repeat(counts, sizes)).astype(np.int64)
             used = np.flatnonzero(subs)
             k, none = len(out), len(used)
-            columns = [pa.concat_arrays([pa.array([r[i] for r in out], t), pa.nulls(none, t)]) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]
-            columns += [pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(x)]) for x in (used, subs[used])]
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "keys", "counts", "subword", "n"])
+            ids, per_text = subwords.of(numbers, lengths)
+            columns = [pa.concat_arrays([pa.array([r[i] for r in out], t), pa.nulls(none + 1, t)]) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+            columns.append(pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(used), pa.nulls(1, pa.int64())]))
+            columns.append(pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(subs[used]), pa.array([int((-(-per_text // STRIDE)).sum())], pa.int64())]))
+            columns += [pa.concat_arrays([pa.nulls(k + none, pa.binary()), pa.array([x.astype(np.int32).tobytes()], pa.binary())]) for x in (ids, per_text)]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "keys", "counts", "subword", "n", "ids", "lengths"])
 
     return run
 
@@ -348,14 +477,7 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def sample_texts(training: DataFrame, sample_docs: int, stretch: int) -> DataFrame:
-    """One partition with stretches of at most sample_docs texts, drawn by hash; of a longer text the stretch starts at a hashed place."""
-    rows = training.filter("text is not null and text <> ''").withColumn("key", F.xxhash64(F.lit(9), "doc_id", "text"))
-    start = F.pmod(F.col("key"), F.greatest(F.lit(1), F.char_length("text") - stretch + 1)).cast("int") + 1
-    return rows.select("key", F.substring(F.col("text"), start, F.lit(stretch)).alias("text")).orderBy("key", "text").limit(sample_docs).coalesce(1)
-
-
-def score(docs: DataFrame, held_out, tokenizer: str = TOKENIZER, sample_docs: int = SAMPLE_DOCS, stretch: int = STRETCH) -> DataFrame:
+def score(docs: DataFrame, held_out, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs; rows with held_out aren't learned from."""
     context = docs.sparkSession.sparkContext
     ranks = read_ranks(docs.sparkSession, tokenizer)
@@ -365,21 +487,19 @@ def score(docs: DataFrame, held_out, tokenizer: str = TOKENIZER, sample_docs: in
     n_bytes = text_bytes(docs)
     shards = max(1, -(-n_bytes // SHARD_BYTES))
 
-    counts = cut(training.select("text").mapInArrow(counted(vocabulary, shards), "shard int, keys binary, counts binary, subword long, n long"))
+    counts = cut(training.select("text").mapInArrow(counted(vocabulary, shards), "shard int, keys binary, counts binary, subword long, n long, ids binary, lengths binary"))
     index = cut(counts.filter("shard is not null").groupBy("shard").applyInPandas(merge(HOT // shards), "shard int, keys binary, values binary, types long, tokens long, hot_keys binary, hot_values binary"))
     hot = index.select("hot_keys", "hot_values", "types", "tokens").collect()
     n, v = sum(r["tokens"] for r in hot), sum(r["types"] for r in hot)
     hot_keys = np.concatenate([np.frombuffer(r["hot_keys"], np.uint64) for r in hot] or [np.empty(0, np.uint64)])
     hot_values = np.concatenate([np.frombuffer(r["hot_values"], np.float64) for r in hot] or [np.empty(0)])
     order = np.argsort(hot_keys)
-    subword_counts = {r["subword"]: r["n"] for r in counts.filter("subword is not null").groupBy("subword").agg(F.sum("n").alias("n")).collect()}
-
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        subwords = Subwords(vocabulary.value)
-        numbers, lengths = subwords.split([t for batch in batches for t in batch["text"]])
-        yield pd.DataFrame({"model": [pickle.dumps(train(*subwords.of(numbers, lengths), subword_counts, size, subwords.end))]})
-
-    model = pickle.loads(sample_texts(training, sample_docs, stretch).mapInPandas(fit, "model binary").first()["model"])
+    found = counts.filter("shard is null").groupBy("subword").agg(F.sum("n").alias("n")).collect()
+    subword_counts, n_blocks = np.zeros(size), sum(r["n"] for r in found if r["subword"] is None)
+    for r in found:
+        if r["subword"] is not None:
+            subword_counts[r["subword"]] = r["n"]
+    model = fitted(counts.filter("ids is not null").select("ids", "lengths"), subword_counts, size - 1, n_blocks)
     shared = context.broadcast((model, hot_keys[order], hot_values[order], n))
     passed = cut(rows.mapInArrow(scored(vocabulary, shared, shards, 1), f"number long, doc_id long, held_out boolean, n_tokens long, known_here long, here double, score double, {probes.PROBE}, {probes.EXTRA}"))
     more = probes.sums(passed.filter("shard is not null").select("shard", "slice", "base", "keys", "rows", "extra"), index.select("shard", "keys", "values"), second=gained(n))
