@@ -294,3 +294,14 @@ def test_every_block_is_gone_through():
     plan = attention_lm.Plan(None, None, None, 1)
     blocks = np.concatenate([plan.turn(1001, part, 7) for part in range(attention_lm.ROUNDS)])
     assert sorted(blocks) == list(range(1, 1002))
+
+
+def test_entropy_finds_secrets_beside_allowed_parts_and_of_one_case(spark):
+    mixed, upper, base32, lower = "wJalrXUtnFEMI7KMDENGbPxRfiCYzq9T", "9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B", "K5QWCZ3UMF2GS33OEB2HEYLJNZSWI4TF", "q7z1m4x9k2v8b3n6t5w0r7y2u1p4s8d6"
+    found = [f"/example/{mixed}", f"b3BlbnNzaC1rZXktdjEAAAAAAAA{mixed}", upper, base32, lower, f"id-{upper.lower()[:24]}", mixed]
+    none = ["123e4567-e89b-12d3-a456-426614174000", "sha256-" + (mixed * 2)[:43], "/usr/local/lib/python/site-packages/numpy/core", "12345678901234567890123456789012", "your_placeholder_example_changeme_here", "A" * 60, "Donaudampfschifffahrtsgesellschaft", "SOME_LONG_CONSTANT_NAME_OF_A_PROGRAM"]
+    docs = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(found + none)], "doc_id long, text string")
+    got = {r["doc_id"]: [x for x in r["spans"] if x["k"] == len(secrets.BASE)] for r in secrets.scan(docs).collect()}
+    assert all(len(got[i]) == 1 and got[i][0]["e"] <= 4 + len(t) for i, t in enumerate(found)), got
+    assert not any(got[len(found) + i] for i in range(len(none))), got
+    assert got[0][0]["s"] >= 12 and got[6][0]["s"] <= 6

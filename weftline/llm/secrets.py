@@ -3,13 +3,15 @@ r"""Secret scans (DataFrame functions only): fixed patterns plus sliding-window
 Base kinds are patterns matched leftmost and non-overlapping, each on its own. Positions come from the
 pieces between matches: the start of a match is the length of all that stands before it.
 
-The entropy kind looks at candidate strings, that is runs of at least `window` characters of a class
-(hex digits, or base64 characters). A window of fixed length slides over a candidate; the counts of its
+The entropy kind looks at runs of hex digits of one case that no letter or digit touches, and at runs of base64
+characters. A run is split at its allow-listed parts (UUIDs, digests after their name, placeholder words, six or more equal
+characters; runs of digits and hex runs of 20 or more, which are judged on their own) and each part that is left is a
+candidate of `window` characters or more. A window of fixed length slides over a candidate; the counts of its
 characters and the sum of count * log2(count) are updated by the one character that enters and the one that
 leaves, so that each step's Shannon entropy is log2(window) - sum / window. A span reaches from the first to
-the last window at or above the class's threshold. Candidates that match the allow list are suppressed: UUIDs,
-digits only, named digests, placeholders, and base64 runs that don't mix lower case, upper case and digits.
-Hex runs of 32 or more are a base kind already and are not reported twice. An entropy span may lie inside
+the last window at or above the class's threshold. The class of a candidate of base64 characters is by its mixture: lower
+case, upper case and digits; digits and one case; or anything else, with the highest threshold.
+Lower-case hex runs of 32 or more are a base kind already and are not reported twice. An entropy span may lie inside
 an assign span.
 
 Defined results: a null text counts as empty and has no spans; rows that repeat a doc_id are scanned one by
@@ -29,19 +31,33 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]{12,}", False),
     ("hex", r"[0-9a-f]{32,}", False),
 )
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 #: Class name, alphabet, window, threshold in bits.
 CLASSES = (
     ("hex", "0123456789abcdef", 20, 3.0),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 24, 3.9),
+    ("base64", BASE64, 24, 3.9),
+    ("upper hex", "0123456789ABCDEF", 20, 3.0),
+    ("one case", BASE64, 24, 3.6),
+    ("other", BASE64, 24, 4.1),
 )
-#: Candidates that match one of these are not secrets.
+LOW, UP, DIGIT = ("m rlike '[a-z]'", "m rlike '[A-Z]'", "m rlike '[0-9]'")
+#: Class name: SQL for which candidates m are of it. The last three exclude each other.
+MEMBERS = {
+    "hex": f"{DIGIT} and m rlike '[a-f]' and not m rlike '^[0-9a-f]{{32,}}$'",
+    "upper hex": f"{DIGIT} and m rlike '[A-F]'",
+    "base64": f"{LOW} and {UP} and {DIGIT}",
+    "one case": f"{DIGIT} and ({LOW}) <> ({UP})",
+    "other": f"not ({DIGIT} and ({LOW} or {UP}))",
+}
+#: Parts of a run that are not secrets.
+EQUAL = r"(.)\1{5,}"
 ALLOWED = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[0-9+/_-]+$",
-    r"(?i)^(md5|sha1|sha256|sha384|sha512)[-_/]",
-    r"(?i)example|placeholder|changeme|your[-_]",
-    r"(.)\1{5}",
-    r"^[0-9a-f]{32,}$",
+    EQUAL,
+    r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9])(?i:md5[-_/](?:[0-9a-f]{32}|[a-z0-9+/_-]{22})|sha1[-_/](?:[0-9a-f]{40}|[a-z0-9+/_-]{27})|sha256[-_/](?:[0-9a-f]{64}|[a-z0-9+/_-]{43})|sha384[-_/](?:[0-9a-f]{96}|[a-z0-9+/_-]{64})|sha512[-_/](?:[0-9a-f]{128}|[a-z0-9+/_-]{86}))(?![A-Za-z0-9+/_-])",
+    r"(?i:example|placeholder|changeme|your[-_])",
+    r"(?<![A-Za-z0-9])(?:[0-9a-f]{20,}|[0-9A-F]{20,})(?![A-Za-z0-9])",
+    r"[0-9a-f]{32,}",
 )
 KINDS = (*(name for name, _, _ in BASE), "entropy")
 BLOCK = 512
@@ -93,20 +109,36 @@ def entropy_reach(value: str, alphabet: str, window: int, threshold: float) -> s
       acc -> named_struct('first', acc.first, 'last', acc.last))), 1)"""
 
 
+def remains(value: str, pattern: str) -> str:
+    """SQL for array<struct<s,m>>: start and string of what is left of a string between the matches of a pattern."""
+    p = sql_text(pattern)
+    row = "struct<s:int,m:string>"
+    return f"""
+    aggregate(
+      zip_with(split({value}, {p}, -1), regexp_extract_all({value}, {p}, 0), (x, y) -> named_struct('m', x, 'gap', y)),
+      named_struct('at', 0, 'now', cast(array() as array<{row}>), 'done', cast(array() as array<array<{row}>>)),
+      (acc, z) -> named_struct(
+        'at', acc.at + char_length(z.m) + coalesce(char_length(z.gap), 0),
+        'now', if(size(acc.now) < {BLOCK}, concat(acc.now, array(named_struct('s', acc.at, 'm', z.m))), array(named_struct('s', acc.at, 'm', z.m))),
+        'done', if(size(acc.now) < {BLOCK}, acc.done, concat(acc.done, array(acc.now)))),
+      acc -> flatten(concat(acc.done, array(acc.now))))"""
+
+
+def candidates(text: str, name: str, window: int) -> str:
+    """SQL for array<struct<s,m>>: start and string of a class's candidates in a column."""
+    if name in ("hex", "upper hex"):
+        runs, cut_at = matches(text, f"(?<![A-Za-z0-9])[{'0-9a-f' if name == 'hex' else '0-9A-F'}]{{{window},}}(?![A-Za-z0-9])"), EQUAL
+    else:
+        runs, cut_at = matches(text, f"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{window},}}"), "|".join(ALLOWED)
+    parts = f"flatten(transform({runs}, h -> transform({remains('h.m', cut_at)}, x -> named_struct('s', h.s + x.s, 'm', x.m))))"
+    return f"filter({parts}, c -> char_length(c.m) >= {window} and exists(array(c.m), m -> {MEMBERS[name]}))"
+
+
 def entropy_spans(text: str) -> str:
     """SQL for array<struct<s,e>> of a column's high-entropy spans of all classes."""
     parts = []
     for name, alphabet, window, threshold in CLASSES:
-        chars = "0-9a-f" if name == "hex" else "A-Za-z0-9+/_-"
-        allowed = " and ".join(f"not z.m rlike {sql_text(p)}" for p in ALLOWED)
-        if name == "base64":
-            allowed += " and z.m rlike '[a-z]' and z.m rlike '[A-Z]' and z.m rlike '[0-9]'"
-            edges = "(?<![A-Za-z0-9+/_-])[{c}]{{{w},}}"
-        else:
-            allowed += " and z.m rlike '[0-9]' and z.m rlike '[a-f]'"
-            edges = "(?<![A-Za-z0-9+/_-])[{c}]{{{w},}}(?![A-Za-z0-9+/_-])"
-        found = matches(text, edges.format(c=chars, w=window), allowed)
-        reach = f"transform({found}, h -> named_struct('s', h.s, 'r', {entropy_reach('h.m', alphabet, window, threshold)}))"
+        reach = f"transform({candidates(text, name, window)}, h -> named_struct('s', h.s, 'r', {entropy_reach('h.m', alphabet, window, threshold)}))"
         parts.append(f"transform(filter({reach}, h -> h.r.first > 0), h -> named_struct('s', h.s + h.r.first - {window}, 'e', h.s + h.r.last))")
     return f"concat({', '.join(parts)})"
 
