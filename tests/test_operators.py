@@ -124,3 +124,9 @@ def test_latency_runs_on_a_stream(spark, tmp_path):
     stream.writeStream.format("memory").queryName("latency").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     key = lambda r: (str(r.start), r.n, r.p50)
     assert sorted(map(key, spark.table("latency").collect())) == sorted(map(key, telemetry.latency(rows, "ts", "value", ["kind"]).collect()))
+
+
+def test_a_long_chain_is_one_cluster(spark):
+    ids = spark.createDataFrame([(i,) for i in range(102)], "id long")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(99)], "a long, b long")
+    assert {r.id: r.cluster for r in similarity.clusters(spark, ids, pairs).collect()} == {i: 0 if i < 100 else i for i in range(102)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections import Counter
 
 import pandas as pd
@@ -66,15 +67,26 @@ def similar_pairs(expressions: DataFrame, fields: list[str], least: float = 0.6)
     return pairs.select("a", "b", (total(F.least) / total(F.greatest)).alias("similarity")).filter(F.col("similarity") >= least)
 
 
-def clusters(spark: SparkSession, ids: DataFrame, pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """id, cluster: smallest id reachable over pairs, by passing smaller names on until nothing changes."""
-    edges = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
-    names = ids.select("id", F.col("id").alias("cluster"))
-    for _ in range(rounds):
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from the files. Like the one in llm, which these queries don't need."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
+def clusters(spark: SparkSession, ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, cluster: smallest id reachable over pairs. Each round passes smaller names on and goes to the name's own name, until nothing changes; rounds grow with the logarithm of the longest path."""
+    edges = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    names = cut(ids.select("id", F.col("id").alias("cluster")))
+    while True:
         near = edges.join(names, edges["a"] == names["id"]).groupBy("b").agg(F.min("cluster").alias("low"))
-        after = names.join(near, names["id"] == near["b"], "left").select("id", F.least("cluster", F.coalesce("low", "cluster")).alias("cluster")).persist()
-        changed = after.join(names.withColumnRenamed("cluster", "was"), "id").filter("cluster <> was").limit(1).count()
-        names = after
-        if not changed:
-            break
-    return names
+        hung = names.join(near, names["id"] == near["b"], "left").select("id", F.col("cluster").alias("was"), F.least("cluster", F.coalesce("low", "cluster")).alias("cluster"))
+        # The smallest name that any member of a cluster saw goes to the whole cluster.
+        lowest = hung.groupBy("was").agg(F.min("cluster").alias("name"))
+        step = cut(hung.join(lowest, "was").select("id", "was", F.least("cluster", "name").alias("cluster")))
+        jump = step.select(F.col("id").alias("up"), F.col("cluster").alias("top"))
+        after = cut(step.join(jump, step["cluster"] == jump["up"], "left").select("id", "was", F.least("cluster", F.coalesce("top", "cluster")).alias("cluster")))
+        names = after.select("id", "cluster")
+        if not after.filter("cluster <> was").limit(1).count():
+            return names
