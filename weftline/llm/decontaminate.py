@@ -1,4 +1,4 @@
-"""Benchmark decontamination (DataFrame functions only): size-partitioned MinHash containment search.
+"""Benchmark decontamination (DataFrame functions only): a prefix filter on an inverted index of min-wise hashes.
 
 Items and documents are sets of five-word shingles (A-Z lower-cased, words split at white space), hashed to
 64 bits; the hash value doubles as the min-wise order. An item is contained when a document holds at least
@@ -6,9 +6,9 @@ Items and documents are sets of five-word shingles (A-Z lower-cased, words split
 
 Items are put into size partitions [2^p, 2^(p+1)). A MinHash sketch of an item is its lowest k hash
 values, k growing with the size as far as a contained item may have missing shingles, plus one. A document that
-contains the item must therefore hold a value of its sketch, so the search loses nothing. A partition's threshold is
-the largest value in its sketches; document shingles above all thresholds can't match and leave before they
-become rows. Sketches are broadcast in blocks of at most `block` rows, as many blocks as needed. Each
+contains the item must therefore hold a value of its sketch, so the search loses nothing. Only one limit is used, the
+largest value in any sketch; document shingles above it can't match and leave before they become rows. Documents get
+no sketch, and the join doesn't go by partition. Sketches are broadcast in blocks of at most `block` rows, as many blocks as needed. Each
 candidate pair is then verified by exact shingle containment over the whole document.
 
 Defined results: items or documents that are null, empty or shorter than five words have no shingle and match
