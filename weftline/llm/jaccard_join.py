@@ -10,14 +10,15 @@ shingle). Two documents link when 100 * shared >= 80 * union. Rows per document
    anew. The order only steers how many candidates there are.
 3. Each token that several classes share in their prefixes has a leader, the class with most shared tokens. Every class is tried against the
    leader of most of its tokens; links found partition similar documents into groups (connected parts).
-4. Groups are cut into pieces of about `PIECE` classes. What is left to find are links across groups: a class
-   and a piece of a larger group that share a prefix token. So a group of n near copies costs about n trials, not n * n.
+4. The class that a class was tried against is its home, linked or not. Classes of one home, those in its group apart from the rest, make pieces of about
+   `PIECE` classes: similar documents side by side. What is left to find are links across groups: two pieces with classes of different groups that
+   share a prefix token. Tokens are joined by piece, not by class. So a group of n near copies costs about n trials, and of m similar documents
+   that link with nothing each is tried against about m / PIECE pieces.
 
 Trials go through the matrix first: a row per piece, a column per token bin, in each cell the most tokens that
-a member has in the bin. The sum of minima with a query's row bounds its overlap with every member, and with
-the sizes its similarity. Only qualifying pieces are opened: their token union bounds the overlap again,
-and members are then counted one by one through the piece's inverted lists, on 40 bits of each token. Two different tokens of one pair
-agree in these by chance once in some millions of pairs, which matters only where one token decides.
+a member has in the bin. The sum of minima bounds the overlap of a pair of pieces, then of a class with a piece, and with
+the sizes their similarity. Only qualifying pieces are opened: their token union bounds the overlap again,
+and members are then counted one by one through the piece's inverted lists, on whole 64-bit tokens.
 
 Defined results: null and empty texts and texts without words have an empty set, link with nothing, and are their own
 class; rows that repeat a doc_id are told apart by their text; a null doc_id comes after all others as a class's
@@ -46,6 +47,8 @@ SHARD_BYTES = 1 << 26
 PIECE = 256
 SLICE = 1024
 BROADCAST = 1 << 20
+#: Text that is cut into shingles at a time, for a bounded memory of the tasks.
+SCORE_BYTES = 1 << 22
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.empty(0, np.uint64)
 
@@ -53,7 +56,7 @@ NONE = np.empty(0, np.uint64)
 class Shingler:
     """Token sets of texts. Word hashes are kept between texts, up to a bound."""
 
-    def __init__(self, most: int = 1 << 20):
+    def __init__(self, most: int = 1 << 18):
         self.most = most
         self.forget()
 
@@ -104,7 +107,7 @@ def described(hot: np.ndarray, shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens_of, late = Shingler(), hot.value
-        for piece in pieces(batches, 2):
+        for piece in pieces(batches, 2, SCORE_BYTES):
             sizes, keys, bins, prefixes = [], [], [], {}
             for text in piece.column(2).to_pylist():
                 tokens = tokens_of(text)
@@ -177,40 +180,38 @@ def shared_tokens(hot):
     return run
 
 
-def pack40(tokens: np.ndarray) -> bytes:
-    """The upper 40 bits of each token, in 5 bytes."""
-    return (tokens >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text -> key, tokens (packed)."""
+    tokens_of = Shingler()
+    for piece in pieces(batches, 0, SCORE_BYTES):
+        sets = [tokens_of(t) for t in piece.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([longs([key_of(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "tokens"])
 
 
-def unpack40(packed: bytes) -> np.ndarray:
-    raw = np.frombuffer(packed, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :5] = raw
-    return out.view(np.uint64).ravel()
+def may_link(low: np.ndarray, high: np.ndarray, bins: np.ndarray, to_low: np.ndarray, to_high: np.ndarray, to_bins: np.ndarray) -> np.ndarray:
+    """Whether a set of size low..high may link with one of size to_low..to_high, by the most tokens that each has in a bin."""
+    full = (bins == 255).any(axis=1) | (to_bins == 255).any(axis=1)
+    overlap = np.where(full, np.iinfo(np.int32).max, np.minimum(bins, to_bins).sum(axis=1, dtype=np.int64))
+    overlap = np.minimum(overlap, np.minimum(high, to_high))
+    # The best sizes for a link are the smallest that can hold the overlap.
+    union = np.clip(overlap, low, high) + np.clip(overlap, to_low, to_high) - overlap
+    return 100 * overlap >= PERCENT * union
 
 
-def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text -> key, tokens (packed)."""
-    tokens_of = Shingler()
-    for batch in batches:
-        sets = [tokens_of(t) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([longs([key_of(s) for s in sets]), pa.array([pack40(s) for s in sets], pa.binary())], names=["key", "tokens"])
-
-
-def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep trials (key, n, bins, piece, low, high, most) whose matrix row allows a link with some member of size low..high."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        n, low, high = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 4, 5))
-        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for k in (2, 6))
-        full = (a == 255).any(axis=1) | (b == 255).any(axis=1)
-        overlap = np.where(full, np.iinfo(np.int32).max, np.minimum(a, b).sum(axis=1, dtype=np.int64))
-        overlap = np.minimum(overlap, np.minimum(n, high))
-        # The best size for a link is the smallest that can hold the overlap.
-        size = np.clip(overlap, low, high)
-        keep = 100 * overlap >= PERCENT * (n + size - overlap)
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 3)], names=["key", "piece"])
+def bounded(names: list[str]):
+    """Keep trials (the columns named, then low, high, bins, to_low, to_high, to_bins) that the matrix allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(names)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            low, high, to_low, to_high = (batch.column(k + i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 3, 4))
+            own, other = (np.frombuffer(b"".join(batch.column(k + i).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for i in (2, 5))
+            keep = pa.array(may_link(low, high, own, to_low, to_high, other))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(k)], names=names)
+
+    return run
 
 
 def open_piece(rows: pd.DataFrame) -> pd.DataFrame:
@@ -218,7 +219,7 @@ def open_piece(rows: pd.DataFrame) -> pd.DataFrame:
     links: list[tuple[int, int]] = []
     queries, members = rows[rows["query"]], rows[~rows["query"]]
     if len(queries) and len(members):
-        sets = [unpack40(x) for x in members["tokens"]]
+        sets = [np.frombuffer(x, np.uint64) for x in members["tokens"]]
         sizes = np.array([len(s) for s in sets])
         keys = members["key"].to_numpy()
         every = np.concatenate(sets)
@@ -227,7 +228,7 @@ def open_piece(rows: pd.DataFrame) -> pd.DataFrame:
         union, starts = np.unique(every[order], return_index=True)
         ends = np.append(starts[1:], len(every))
         for key, packed in zip(queries["key"], queries["tokens"], strict=True):
-            query = unpack40(packed)
+            query = np.frombuffer(packed, np.uint64)
             at = np.minimum(np.searchsorted(union, query), len(union) - 1)
             at = at[union[at] == query]
             if 100 * len(at) < PERCENT * len(query):  # the union's bound
@@ -246,17 +247,25 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
-def try_pieces(trials: DataFrame, pieces_of: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) among trials (key, piece): matrix bound first, then the qualifying pieces are opened. pieces_of: piece, key."""
-    about = classes.select("key", "n", "bins")
-    row = pieces_of.join(trials.select("piece").distinct(), "piece", "left_semi").join(about, "key").groupBy("piece").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.collect_list("bins").alias("bins"))
-    row = row.select("piece", "low", "high", F.pandas_udf(most_in_bins, "binary")("bins").alias("most"))
-    asked = trials.join(about, "key").join(row, "piece").filter((F.col("n") * 100 >= F.col("low") * PERCENT) & (F.col("high") * 100 >= F.col("n") * PERCENT))
-    left = cut(asked.select("key", "n", "bins", "piece", "low", "high", "most").mapInArrow(bounded, "key long, piece long"))
+def matrix(members: DataFrame, about: DataFrame) -> DataFrame:
+    """The matrix: piece, low, high (sizes of its sets), most (packed bins). members: piece, key."""
+    rows = members.join(about, "key").groupBy("piece").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.collect_list("bins").alias("bins"))
+    return rows.select("piece", "low", "high", F.pandas_udf(most_in_bins, "binary")("bins").alias("most"))
+
+
+def sizes_allow(low: str, high: str, to_low: str, to_high: str):
+    return (F.col(high) * 100 >= F.col(to_low) * PERCENT) & (F.col(to_high) * 100 >= F.col(low) * PERCENT)
+
+
+def try_pieces(trials: DataFrame, members: DataFrame, rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) among trials (key, piece): matrix bound first, then the qualifying pieces are opened. members: piece, key; rows: their matrix."""
+    own = classes.select("key", F.col("n").alias("low"), F.col("n").alias("high"), "bins")
+    asked = trials.join(own, "key").join(rows.toDF("piece", "to_low", "to_high", "to_bins"), "piece").filter(sizes_allow("low", "high", "to_low", "to_high"))
+    left = cut(asked.select("key", "piece", "low", "high", "bins", "to_low", "to_high", "to_bins").mapInArrow(bounded(["key", "piece"]), "key long, piece long"))
     opened = left.groupBy("piece").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(SLICE))).cast("long").alias("slices"))
     queries = left.join(opened, "piece").select("key", "piece", F.pmod(F.xxhash64("key"), "slices").alias("slice"), F.lit(True).alias("query"))
-    members = pieces_of.join(opened, "piece").select("key", "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(False).alias("query"))
-    roles = cut(queries.unionByName(members).join(classes.select("key", "doc_id", "text_hash"), "key"))
+    inside = members.join(opened, "piece").select("key", "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(False).alias("query"))
+    roles = cut(queries.unionByName(inside).join(classes.select("key", "doc_id", "text_hash"), "key"))
     # Whose text is needed: a row each, so that the roles meet a set once.
     wanted = few(cut(roles.select("doc_id", "text_hash").distinct()))
     some = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["text_hash"] == wanted["text_hash"]), "left_semi")
@@ -295,9 +304,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     context, packed = docs.sparkSession.sparkContext, ("shard", "keys", "owners", "tokens")
     passed = cut(texts.mapInArrow(described(context.broadcast(NONE), shards), f"{ABOUT}, {PACKED}"))
-    about = passed.filter("shard is null").select("doc_id", "text_hash", "n", "key", "bins")
+    about_documents = passed.filter("shard is null").select("doc_id", "text_hash", "n", "key", "bins")
     first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")
-    classes = cut(about.filter("n > 0").groupBy("key", "n").agg(F.min(F.struct(first.alias("first"), "bins")).alias("x")).select("key", "n", "x.first.doc_id", "x.first.text_hash", "x.bins"))
+    classes = cut(about_documents.filter("n > 0").groupBy("key", "n").agg(F.min(F.struct(first.alias("first"), "bins")).alias("x")).select("key", "n", "x.first.doc_id", "x.first.text_hash", "x.bins"))
     nodes = classes.select("key")
 
     # Tokens frequent in prefixes come last in the order. That changes only the prefixes that have one; these are made anew.
@@ -316,28 +325,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leaders = weighed.groupBy("token").agg(F.max(F.struct("weight", "key")).alias("x")).select("token", F.col("x.key").alias("leader"), F.col("x.weight").alias("lead"))
     led = shared.join(leaders, "token").filter("key <> leader").groupBy("key", "leader", "lead").agg(F.count(F.lit(1)).alias("times"))
     trials = cut(led.groupBy("key").agg(F.max_by("leader", F.struct("times", "lead", "leader")).alias("piece")))
-    heads = trials.select("piece").distinct().select("piece", F.col("piece").alias("key"))
-    stars = cut(try_pieces(trials, heads, classes, texts))
+    about = classes.select("key", "n", "bins")
+    heads = cut(trials.select("piece").distinct())
+    alone = heads.select("piece", F.col("piece").alias("key"))
+    stars = cut(try_pieces(trials, alone, matrix(alone, about), classes, texts))
     groups = cut(connected(nodes, stars))
 
-    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-    placed = cut(
-        groups.join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / F.lit(float(PIECE))).cast("long"))).select("key", "group", "size", F.xxhash64("group", "part").alias("piece"))
-    )
-    known = shared.join(placed, "key")
-    mixed = known.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x <> y").select("token")
-    known = cut(known.join(mixed, "token"))
-    targets = known.select("token", "piece", F.col("group").alias("to_group"), F.col("size").alias("to_size")).distinct()
-    smaller = (F.col("size") < F.col("to_size")) | ((F.col("size") == F.col("to_size")) & (F.col("group") < F.col("to_group")))
-    across = known.drop("piece").join(targets, "token").filter(smaller).select("key", "piece").distinct()
-    more = try_pieces(cut(across), placed.select("piece", "key"), classes, texts)
+    # Pieces of classes that have the same home, those in its group apart from the rest.
+    home = F.when(F.col("head").isNotNull(), F.col("key")).otherwise(F.coalesce("piece", "key"))
+    homes = weights.select("key").join(trials, "key", "left").join(heads.select(F.col("piece").alias("key"), F.lit(True).alias("head")), "key", "left").select("key", home.alias("home"))
+    homes = cut(homes.join(groups, "key").join(groups.select(F.col("key").alias("home"), F.col("group").alias("home_group")), "home").select("key", "home", "group", (F.col("group") == F.col("home_group")).alias("inside")))
+    sizes = homes.groupBy("home", "inside").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(PIECE))).cast("long").alias("parts"))
+    placed = cut(homes.join(sizes, ["home", "inside"]).select("key", "group", F.xxhash64("home", "inside", F.pmod(F.xxhash64("key"), "parts")).alias("piece")))
+    members = placed.select("piece", "key")
+
+    # A token tells of two pieces, or of one with itself, if it is in prefixes of different groups there.
+    known = shared.join(placed, "key").groupBy("token", "piece").agg(F.min("group").alias("x"), F.max("group").alias("y"))
+    mixed = known.groupBy("token").agg(F.min("x").alias("x"), F.max("y").alias("y")).filter("x <> y").select("token")
+    known = cut(known.join(mixed, "token", "left_semi"))
+    other = known.select("token", F.col("piece").alias("to"), F.col("x").alias("to_x"), F.col("y").alias("to_y"))
+    one = (F.col("x") == F.col("y")) & (F.col("to_x") == F.col("to_y")) & (F.col("x") == F.col("to_x"))
+    pairs = known.join(other, (known["token"] == other["token"]) & (F.col("piece") <= F.col("to")) & ~one).select("piece", "to").distinct()
+    rows = cut(matrix(members, about))
+    pairs = pairs.join(rows.toDF("piece", "low", "high", "bins"), "piece").join(rows.toDF("to", "to_low", "to_high", "to_bins"), "to").filter(sizes_allow("low", "high", "to_low", "to_high"))
+    pairs = pairs.select("piece", "to", "low", "high", "bins", "to_low", "to_high", "to_bins").mapInArrow(bounded(["piece", "to"]), "piece long, to long")
+    across = cut(pairs).join(members, "piece").select("key", F.col("to").alias("piece"))
+    more = try_pieces(across, members, rows, classes, texts)
     whole = connected(nodes, stars.unionByName(more))
 
     named = classes.join(whole, "key").select("key", "n", "group", "doc_id")
     names = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     by_class = named.join(names, "group").select(F.col("key").alias("class_key"), F.col("n").alias("class_n"), "component_id", "group")
-    found = about.join(by_class, (F.col("key") == F.col("class_key")) & (F.col("n") == F.col("class_n")), "left")
-    return found.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "group")
+    with_words, without = about_documents.filter("n > 0"), about_documents.filter("n = 0")
+    found = with_words.join(few(cut(by_class)), (F.col("key") == F.col("class_key")) & (F.col("n") == F.col("class_n")))
+    wordless = without.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"))
+    return found.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "group").unionByName(wordless)
 
 
 def op8_join_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,12 +30,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import Words, cut, expand, fold, look_up, pieces, table, word_hashes
+from weftline.llm.common import Words, cut, expand, fold, pieces, table, word_hashes
 
 UNKNOWN = "und"
 PER_LANGUAGE = 256
 STRETCH = 4000
-LANGUAGES = 64
+LANGUAGES = 256
+#: Text that is labelled at a time, and words kept between pieces, for a bounded memory of the tasks.
+SCORE_BYTES = 1 << 22
+MOST_WORDS = 1 << 18
 TABLE = 1 << 16
 LEXICON = 1 << 14
 ROUNDS = 40
@@ -81,7 +84,7 @@ class Model:
     weights: np.ndarray  # (TABLE + languages, languages): n-grams, then lexicons
     moves: np.ndarray  # (languages, languages): log weights of transitions
     lexicon: np.ndarray  # sorted hashes of known words
-    known: np.ndarray  # for each of them, a bit for each language
+    known: np.ndarray  # for each of them, a one for each language that has it
 
     def scores(self, words: list[bytes]) -> np.ndarray:
         """Log weight of each word for each language."""
@@ -94,8 +97,12 @@ class Model:
 
 
 def lexicon_bits(lexicon: np.ndarray, known: np.ndarray, words: list[bytes], languages: int) -> np.ndarray:
-    bits = look_up(lexicon, known, word_hashes(words)).astype(np.uint64)
-    return ((bits[:, None] >> np.arange(languages, dtype=np.uint64)) & np.uint64(1)).astype(np.float32)
+    """For each word a one for each language whose lexicon has it."""
+    if not len(lexicon):
+        return np.zeros((len(words), languages), np.float32)
+    hashes = word_hashes(words)
+    at = np.minimum(np.searchsorted(lexicon, hashes), len(lexicon) - 1)
+    return np.where((lexicon[at] == hashes)[:, None], known[at], 0).astype(np.float32)
 
 
 def packed_order(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +156,9 @@ def fit(texts: list[tuple[str, str]]) -> Model | None:
                 counts[number[lang]] = counts.get(number[lang], 0) + 1
     often = sorted((w for w, c in seen.items() if sum(c.values()) > 1), key=lambda w: (-sum(seen[w].values()), w))[:LEXICON]
     hashes = word_hashes(often)
-    known = np.array([sum(1 << lang for lang, c in seen[w].items() if 2 * c >= max(seen[w].values())) for w in often], dtype=np.uint64)
+    known = np.zeros((len(often), k), np.uint8)
+    for i, w in enumerate(often):
+        known[i, [lang for lang, c in seen[w].items() if 2 * c >= max(seen[w].values())]] = 1
     order = np.argsort(hashes)
     model = Model(languages, np.zeros((TABLE + k, k)), np.zeros((k, k)), hashes[order], known[order])
 
@@ -228,15 +237,15 @@ def labelled(model: Model | None, keep: int, at: int, words_too: bool = False):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, logs = Words(), np.zeros((0, len(model.languages) if model else 0), dtype=np.float32)
-        for piece in pieces(batches, at):
+        for piece in pieces(batches, at, SCORE_BYTES):
             names, scores, runs = [], [], []
-            if len(words) > 1 << 20:
+            if len(words) > MOST_WORDS:
                 words, logs = Words(), logs[:0]
             if model:
                 post, lengths, logs = label_piece(model, words, logs, piece.column(at).to_pylist())
                 ends = np.cumsum(lengths)
                 total = np.zeros((len(lengths) + 1, post.shape[1]))
-                total[1:][lengths > 0] = np.add.reduceat(post.astype(np.float64), (ends - lengths)[lengths > 0], axis=0) if len(post) else 0
+                total[1:][lengths > 0] = np.add.reduceat(post, (ends - lengths)[lengths > 0], axis=0, dtype=np.float64) if len(post) else 0
                 for sums, n, end in zip(total[1:], lengths, ends, strict=True):
                     best = int(sums.argmax())
                     names.append(model.languages[best] if n else UNKNOWN)
