@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Words, cut, lower_words, mix64, pieces, table, text_bytes, word_hashes
+from weftline.llm.common import Words, cut, expand, lower_words, mix64, pieces, table, text_bytes, word_hashes
 
 WORDS = 5
 PERCENT = 80
@@ -215,30 +215,39 @@ def bounded(names: list[str]):
 
 
 def open_piece(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links between the queries and the members of one piece: for each query that has any, the first found."""
+    """Links between the queries and the members of one piece, as many as join all groups that any link joins."""
     links: list[tuple[int, int]] = []
     queries, members = rows[rows["query"]], rows[~rows["query"]]
     if len(queries) and len(members):
         sets = [np.frombuffer(x, np.uint64) for x in members["tokens"]]
         sizes = np.array([len(s) for s in sets])
-        keys = members["key"].to_numpy()
+        keys, groups, names = members["key"].to_numpy(), members["group"].to_numpy(), {}
         every = np.concatenate(sets)
         order = np.argsort(every, kind="stable")
         owners = np.repeat(np.arange(len(sets)), sizes)[order]
         union, starts = np.unique(every[order], return_index=True)
         ends = np.append(starts[1:], len(every))
-        for key, packed in zip(queries["key"], queries["tokens"], strict=True):
+
+        def name(group: int) -> int:
+            while (up := names.get(group, group)) != group:
+                group = up
+            return group
+
+        for key, own, packed in zip(queries["key"], queries["group"], queries["tokens"], strict=True):
             query = np.frombuffer(packed, np.uint64)
             at = np.minimum(np.searchsorted(union, query), len(union) - 1)
             at = at[union[at] == query]
             if 100 * len(at) < PERCENT * len(query):  # the union's bound
                 continue
             lengths = ends[at] - starts[at]
-            steps = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            shared = np.bincount(owners[np.repeat(starts[at], lengths) + steps], minlength=len(sets))
+            shared = np.bincount(owners[expand(starts[at], lengths)], minlength=len(sets))
             linked = np.flatnonzero((100 * shared >= PERCENT * (len(query) + sizes - shared)) & (keys != key))
-            if len(linked):
-                links.append((key, keys[linked[0]]))
+            _, first = np.unique(groups[linked], return_index=True)
+            for to in linked[first]:
+                a, b = name(own), name(groups[to])
+                if a != b:
+                    names[max(a, b)] = min(a, b)
+                    links.append((key, keys[to]))
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
@@ -258,19 +267,19 @@ def sizes_allow(low: str, high: str, to_low: str, to_high: str):
 
 
 def try_pieces(trials: DataFrame, members: DataFrame, rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) among trials (key, piece): matrix bound first, then the qualifying pieces are opened. members: piece, key; rows: their matrix."""
+    """Links (a, b) among trials (key, piece): matrix bound first, then the qualifying pieces are opened. members: piece, key; rows: their matrix; classes: with the `group` that each is known to be in."""
     own = classes.select("key", F.col("n").alias("low"), F.col("n").alias("high"), "bins")
     asked = trials.join(own, "key").join(rows.toDF("piece", "to_low", "to_high", "to_bins"), "piece").filter(sizes_allow("low", "high", "to_low", "to_high"))
     left = cut(asked.select("key", "piece", "low", "high", "bins", "to_low", "to_high", "to_bins").mapInArrow(bounded(["key", "piece"]), "key long, piece long"))
     opened = left.groupBy("piece").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(SLICE))).cast("long").alias("slices"))
     queries = left.join(opened, "piece").select("key", "piece", F.pmod(F.xxhash64("key"), "slices").alias("slice"), F.lit(True).alias("query"))
     inside = members.join(opened, "piece").select("key", "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(False).alias("query"))
-    roles = cut(queries.unionByName(inside).join(classes.select("key", "doc_id", "text_hash"), "key"))
+    roles = cut(queries.unionByName(inside).join(classes.select("key", "group", "doc_id", "text_hash"), "key"))
     # Whose text is needed: a row each, so that the roles meet a set once.
     wanted = few(cut(roles.select("doc_id", "text_hash").distinct()))
     some = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["text_hash"] == wanted["text_hash"]), "left_semi")
     sets = some.select("text").mapInArrow(sets_of, "key long, tokens binary")
-    return sets.join(few(roles.select("key", "piece", "slice", "query")), "key").groupBy("piece", "slice").applyInPandas(open_piece, "a long, b long")
+    return sets.join(few(roles.select("key", "group", "piece", "slice", "query")), "key").groupBy("piece", "slice").applyInPandas(open_piece, "a long, b long")
 
 
 def most_in_bins(bins: pd.Series) -> pd.Series:
@@ -328,7 +337,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     about = classes.select("key", "n", "bins")
     heads = cut(trials.select("piece").distinct())
     alone = heads.select("piece", F.col("piece").alias("key"))
-    stars = cut(try_pieces(trials, alone, matrix(alone, about), classes, texts))
+    stars = cut(try_pieces(trials, alone, matrix(alone, about), classes.withColumn("group", F.col("key")), texts))
     groups = cut(connected(nodes, stars))
 
     # Pieces of classes that have the same home, those in its group apart from the rest.
@@ -350,7 +359,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = pairs.join(rows.toDF("piece", "low", "high", "bins"), "piece").join(rows.toDF("to", "to_low", "to_high", "to_bins"), "to").filter(sizes_allow("low", "high", "to_low", "to_high"))
     pairs = pairs.select("piece", "to", "low", "high", "bins", "to_low", "to_high", "to_bins").mapInArrow(bounded(["piece", "to"]), "piece long, to long")
     across = cut(pairs).join(members, "piece").select("key", F.col("to").alias("piece"))
-    more = try_pieces(across, members, rows, classes, texts)
+    more = try_pieces(across, members, rows, classes.join(groups, "key"), texts)
     whole = connected(nodes, stars.unionByName(more))
 
     named = classes.join(whole, "key").select("key", "n", "group", "doc_id")
