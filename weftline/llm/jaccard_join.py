@@ -257,9 +257,9 @@ def few(df: DataFrame) -> DataFrame:
 
 
 def matrix(members: DataFrame, about: DataFrame) -> DataFrame:
-    """The matrix: piece, low, high (sizes of its sets), most (packed bins). members: piece, key."""
+    """The matrix: piece, low, high (sizes of its sets), most (packed bins), many (number of its sets). members: piece, key."""
     rows = members.join(about, "key").groupBy("piece").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.collect_list("bins").alias("bins"))
-    return rows.select("piece", "low", "high", F.pandas_udf(most_in_bins, "binary")("bins").alias("most"))
+    return rows.select("piece", "low", "high", F.pandas_udf(most_in_bins, "binary")("bins").alias("most"), F.size("bins").alias("many"))
 
 
 def sizes_allow(low: str, high: str, to_low: str, to_high: str):
@@ -269,7 +269,7 @@ def sizes_allow(low: str, high: str, to_low: str, to_high: str):
 def try_pieces(trials: DataFrame, members: DataFrame, rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) among trials (key, piece): matrix bound first, then the qualifying pieces are opened. members: piece, key; rows: their matrix; classes: with the `group` that each is known to be in."""
     own = classes.select("key", F.col("n").alias("low"), F.col("n").alias("high"), "bins")
-    asked = trials.join(own, "key").join(rows.toDF("piece", "to_low", "to_high", "to_bins"), "piece").filter(sizes_allow("low", "high", "to_low", "to_high"))
+    asked = trials.join(own, "key").join(rows.select("piece", F.col("low").alias("to_low"), F.col("high").alias("to_high"), F.col("most").alias("to_bins")), "piece").filter(sizes_allow("low", "high", "to_low", "to_high"))
     left = cut(asked.select("key", "piece", "low", "high", "bins", "to_low", "to_high", "to_bins").mapInArrow(bounded(["key", "piece"]), "key long, piece long"))
     opened = left.groupBy("piece").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(SLICE))).cast("long").alias("slices"))
     queries = left.join(opened, "piece").select("key", "piece", F.pmod(F.xxhash64("key"), "slices").alias("slice"), F.lit(True).alias("query"))
@@ -356,8 +356,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one = (F.col("x") == F.col("y")) & (F.col("to_x") == F.col("to_y")) & (F.col("x") == F.col("to_x"))
     pairs = known.join(other, (known["token"] == other["token"]) & (F.col("piece") <= F.col("to")) & ~one).select("piece", "to").distinct()
     rows = cut(matrix(members, about))
-    pairs = pairs.join(rows.toDF("piece", "low", "high", "bins"), "piece").join(rows.toDF("to", "to_low", "to_high", "to_bins"), "to").filter(sizes_allow("low", "high", "to_low", "to_high"))
-    pairs = pairs.select("piece", "to", "low", "high", "bins", "to_low", "to_high", "to_bins").mapInArrow(bounded(["piece", "to"]), "piece long, to long")
+    pairs = pairs.join(rows.toDF("piece", "low", "high", "bins", "many"), "piece").join(rows.toDF("to", "to_low", "to_high", "to_bins", "to_many"), "to").filter(sizes_allow("low", "high", "to_low", "to_high"))
+    # The smaller piece's classes ask the larger piece.
+    turned = F.col("to_many") < F.col("many")
+    ask, answer = F.when(turned, F.col("to")).otherwise(F.col("piece")), F.when(turned, F.col("piece")).otherwise(F.col("to"))
+    pairs = pairs.select(ask.alias("piece"), answer.alias("to"), "low", "high", "bins", "to_low", "to_high", "to_bins").mapInArrow(bounded(["piece", "to"]), "piece long, to long")
     across = cut(pairs).join(members, "piece").select("key", F.col("to").alias("piece"))
     more = try_pieces(across, members, rows, classes.join(groups, "key"), texts)
     whole = connected(nodes, stars.unionByName(more))
