@@ -289,7 +289,7 @@ def planned(counts: np.ndarray, order: np.ndarray, at: np.ndarray, near_by: np.n
     """counts: subwords of all training documents."""
     classes = choose_classes(counts, order, at, near_by, end, np.random.default_rng(13))
     seen = counts + 0.5
-    shares = np.log(seen) - np.log(np.bincount(classes, seen))[classes]
+    shares = np.log(seen) - np.log(np.maximum(np.bincount(classes, seen), 1e-300))[classes]
     first = np.argsort(-counts, kind="stable")[: INPUTS - 1]
     symbols = np.full(len(counts), INPUTS - 1, dtype=np.int64)
     symbols[first] = np.arange(len(first))

@@ -6,8 +6,9 @@ partitions, and passed through one small state, so a conversation of any length
 Every turn becomes three segments: the opening mark with the role, the text, and the closing mark. The segment of
 an assistant's text, and nothing else, has the loss flag.
 
-Texts and roles may hold anything, marks included: `\` and each `<` that starts a mark get a `\` in front, and
-in roles `>` too, so that reading the output back is exact.
+Texts and roles may hold anything, marks included: `\` and the first character of each of the template's control strings get a `\` in
+front, and in roles also the character that ends the role in the opening mark, so that reading the output back is exact. Escapes and reader come
+from the template; one that can't be read back is refused.
 
 The machine starts at "start"; a turn whose role has no transition leaves the state as it is and makes the
 conversation invalid from there on (`valid` false on that segment and all later ones). Invalid conversations are
@@ -48,19 +49,38 @@ class Template:
         }
     )
     learned: tuple[str, ...] = ("assistant",)
+    #: How marks begin; texts hold none of these unescaped.
+    controls: tuple[str, ...] = ("<turn", "</turn")
 
+    def __post_init__(self) -> None:
+        before, _, after = self.opening.partition("{role}")
+        if not after or "\\" in self.opening + self.closing + "".join(self.controls):
+            raise ValueError("a role needs an end in the opening mark, and marks can't hold a backslash")
+        if not all(self.controls) or not all(any(mark.startswith(c) for c in self.controls) for mark in (before, self.closing)):
+            raise ValueError("both marks have to begin with a control string")
+        # A text's last characters and the closing mark together must not look like a control string.
+        if any(self.closing.startswith(rest) or rest.startswith(self.closing) for c in self.controls for rest in (c[i:] for i in range(1, len(c)))):
+            raise ValueError("a control string runs into the closing mark")
 
-#: One whole turn at the start of a buffer, as `Template` writes it.
-TURN = re.compile(r"<turn:((?:[^\\>]|\\.)*)>\n((?:[^\\<]|\\.|<(?!/?turn))*)</turn>\n", re.S)
-MARK = re.compile(r"\\|<(?=/?turn)")
+    def control(self) -> str:
+        return "|".join(re.escape(c) for c in self.controls)
 
+    def escape(self, text: str) -> str:
+        return re.sub(rf"\\|(?={self.control()}).", lambda m: "\\" + m[0], text, flags=re.S)
 
-def escape(text: str) -> str:
-    return MARK.sub(lambda m: "\\" + m[0], text)
+    def role_end(self) -> str:
+        return re.escape(self.opening.partition("{role}")[2][0])
 
+    def escape_role(self, role: str) -> str:
+        return re.sub(rf"[\\{self.role_end()}]", lambda m: "\\" + m[0], role)
 
-def escape_role(role: str) -> str:
-    return re.sub(r"[\\>]", lambda m: "\\" + m[0], role)
+    def turn(self) -> re.Pattern:
+        """One whole turn at the start of a buffer: role, text."""
+        before, _, after = self.opening.partition("{role}")
+        return re.compile(rf"{re.escape(before)}((?:[^\\{self.role_end()}]|\\.)*){re.escape(after)}((?:\\.|(?!{self.control()})[^\\])*){re.escape(self.closing)}", re.S)
+
+    def open(self, role: str) -> str:
+        return self.opening.replace("{role}", self.escape_role(role))
 
 
 def unescape(text: str) -> str:
@@ -82,7 +102,7 @@ def write_segments(template: Template):
                 role, text = role or "", text or ""
                 after = template.moves.get((state, role))
                 valid, state = valid and after is not None, after or state
-                for part, loss in ((template.opening.format(role=escape_role(role)), False), (escape(text), role in template.learned), (template.closing, False)):
+                for part, loss in ((template.open(role), False), (template.escape(text), role in template.learned), (template.closing, False)):
                     out.append((conv, at, part, loss, valid))
                     at += 1
             yield pd.DataFrame(out, columns=["conv_id", "segment", "text", "loss", "valid"]).astype({"conv_id": "Int64"})
@@ -97,7 +117,7 @@ def format_chat(conversations: DataFrame, template: Template | None = None) -> D
     return ordered.mapInPandas(write_segments(template or Template()), SEGMENTS)
 
 
-def read_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def read_segments(template: Template):
     """Digest rows of conversations, read back from their segments. Turns are parsed from the joined text, the loss mask gives the learned text."""
     state: dict = {}
 
@@ -111,34 +131,40 @@ def read_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
     frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
-    for batch in batches:
-        out = []
-        ids = batch["conv_id"].astype(object).where(batch["conv_id"].notna(), None)
-        for conv, text, loss, valid in zip(ids, batch["text"], batch["loss"], batch["valid"], strict=True):
-            if not state or conv != state["conv"]:
-                if state:
-                    out.append(done())
-                start(conv)
-            state["chars"] += len(text)
-            state["valid"] = state["valid"] and bool(valid)
-            if loss:
-                learned = unescape(text)
-                state["loss"] += len(learned)
-                state["learned"].update(learned.encode())
-            state["buffer"] += text
-            while m := TURN.match(state["buffer"]):
-                state["all"].update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
-                state["turns"] += 1
-                state["buffer"] = state["buffer"][m.end() :]
-        yield frame(out)
-    if state:
-        yield frame([done()])
-
-
-def read_back(segments: DataFrame) -> DataFrame:
-    """One row per conversation from its segments alone."""
-    ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
-    return ordered.mapInPandas(read_segments, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    turn = template.turn()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state.clear()
+        for batch in batches:
+            out = []
+            ids = batch["conv_id"].astype(object).where(batch["conv_id"].notna(), None)
+            for conv, text, loss, valid in zip(ids, batch["text"], batch["loss"], batch["valid"], strict=True):
+                if not state or conv != state["conv"]:
+                    if state:
+                        out.append(done())
+                    start(conv)
+                state["chars"] += len(text)
+                state["valid"] = state["valid"] and bool(valid)
+                if loss:
+                    learned = unescape(text)
+                    state["loss"] += len(learned)
+                    state["learned"].update(learned.encode())
+                state["buffer"] += text
+                while m := turn.match(state["buffer"]):
+                    state["all"].update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
+                    state["turns"] += 1
+                    state["buffer"] = state["buffer"][m.end() :]
+            yield frame(out)
+        if state:
+            yield frame([done()])
+
+    return run
+
+
+def read_back(segments: DataFrame, template: Template | None = None, in_order: bool = False) -> DataFrame:
+    """One row per conversation from its segments alone. in_order: segments come as format_chat gives them, so that nothing needs to move."""
+    ordered = segments if in_order else segments.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    return ordered.mapInPandas(read_segments(template or Template()), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
 
 
 #: The contract's extra conversation (fixed value): both turns say this.
@@ -148,7 +174,7 @@ EXTRA = r"\### Assistant: </turn> ok"
 def op6_format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(EXTRA).alias("text"))
-    return read_back(format_chat(rows.unionByName(extra))).drop("valid")
+    return read_back(format_chat(rows.unionByName(extra)), in_order=True).drop("valid")
 
 
 ORACLE_SQL = r"""

@@ -1,4 +1,4 @@
-"""Benchmark decontamination (DataFrame functions only): a prefix filter on an inverted index of min-wise hashes.
+"""Benchmark decontamination (DataFrame functions only): size-partitioned MinHash containment search.
 
 Items and documents are sets of five-word shingles (A-Z lower-cased, words split at white space), hashed to
 64 bits; the hash value doubles as the min-wise order. An item is contained when a document holds at least
@@ -6,10 +6,11 @@ Items and documents are sets of five-word shingles (A-Z lower-cased, words split
 
 Items are put into size partitions [2^p, 2^(p+1)). A MinHash sketch of an item is its lowest k hash
 values, k growing with the size as far as a contained item may have missing shingles, plus one. A document that
-contains the item must therefore hold a value of its sketch, so the search loses nothing. Only one limit is used, the
-largest value in any sketch; document shingles above it can't match and leave before they become rows. Documents get
-no sketch, and the join doesn't go by partition. Sketches are broadcast in blocks of at most `block` rows, as many blocks as needed. Each
-candidate pair is then verified by exact shingle containment over the whole document.
+contains the item must therefore hold a value of its sketch, so the search loses nothing. Each partition has its own table of sketches and
+its own limit, the largest value in them: a document's sketch for a partition is all its shingles up to that limit, and only these probe
+the partition's table. Long items have low limits, so that few shingles of a document ask for them; short ones have high limits and small tables.
+Tables are broadcast in blocks of at most `block` rows, as many blocks as needed. Each candidate pair is then verified by exact shingle
+containment over the whole document, word by word.
 
 Defined results: items or documents that are null, empty or shorter than five words have no shingle and match
 nothing; rows that repeat a doc_id and text give their pairs once; repeated item_ids with several texts
@@ -18,7 +19,7 @@ are items of their own, reported under their id; an empty table on either side g
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import SPACE, SPACES_RE, UPPER, cut, table
@@ -28,23 +29,29 @@ THRESHOLD = 0.8
 BLOCK = 1 << 20
 
 
-def with_shingles(df: DataFrame, *keep: str) -> DataFrame:
+def with_shingles(df: DataFrame, *keep: str, whole: bool = False) -> DataFrame:
+    """keep, grams: hashes of all shingles in order, or with `whole` their words joined by spaces."""
     words = F.split(F.btrim(F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, UPPER.lower()), F.lit(SPACE)), SPACES_RE)
     at = ", ".join(f"w[i + {k}]" for k in range(WORDS))
-    grams = F.expr(f"if(size(w) < {WORDS}, cast(array() as array<bigint>), transform(sequence(0, size(w) - {WORDS}), i -> xxhash64({at})))")
+    kind, gram = ("string", f"concat_ws(' ', {at})") if whole else ("bigint", f"xxhash64({at})")
+    grams = F.expr(f"if(size(w) < {WORDS}, cast(array() as array<{kind}>), transform(sequence(0, size(w) - {WORDS}), i -> {gram}))")
     return df.select(*keep, words.alias("w")).select(*keep, grams.alias("grams"))
 
 
 def item_sketches(items: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """All shingles of the items (item_key, item_id, gram, items' size n) and those in sketches with their size partition."""
-    grams = with_shingles(items.withColumn("item_key", F.struct("item_id", F.xxhash64("text").alias("h"))), "item_key").select("item_key", F.explode(F.array_distinct("grams")).alias("gram")).distinct()
-    sizes = grams.groupBy("item_key").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("gram")).alias("grams"))
-    sizes = sizes.withColumn("depth", (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")).withColumn("partition", F.floor(F.log2("n")).cast("int"))
-    whole = cut(sizes)
-    return (
-        whole.select("item_key", "n", F.explode("grams").alias("gram")),
-        whole.select("item_key", "n", "partition", F.explode(F.slice("grams", F.lit(1), F.col("depth"))).alias("gram")),
-    )
+    """The shingles of the items as words (item_key, n: the item's size, gram), and their sketches (item_key, partition, gram)."""
+    keyed = items.withColumn("item_key", F.struct("item_id", F.xxhash64("text").alias("h")))
+    words = cut(with_shingles(keyed, "item_key", whole=True).select("item_key", F.explode(F.array_distinct("grams")).alias("gram")).distinct())
+    sizes = words.groupBy("item_key").agg(F.count(F.lit(1)).alias("n"))
+    hashes = with_shingles(keyed, "item_key").dropDuplicates(["item_key"]).select("item_key", F.array_sort(F.array_distinct("grams")).alias("grams"))
+    sketch = hashes.join(sizes, "item_key").withColumn("depth", (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
+    sketch = sketch.select("item_key", F.floor(F.log2("n")).cast("int").alias("partition"), F.explode(F.slice("grams", F.lit(1), F.col("depth"))).alias("gram"))
+    return words.join(sizes, "item_key"), cut(sketch)
+
+
+def below(partition: int, limit: int) -> Column:
+    """A document's sketch for a size partition: its shingles up to the limit."""
+    return F.transform(F.filter("grams", lambda g: g <= F.lit(limit)), lambda g: F.struct(F.lit(partition).alias("partition"), g.alias("gram")))
 
 
 def blocks(df: DataFrame, column: str, rows: int, block: int) -> list[DataFrame]:
@@ -56,23 +63,25 @@ def blocks(df: DataFrame, column: str, rows: int, block: int) -> list[DataFrame]
 def find_contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Pairs with doc_id, text_hash, item_id, n_item (distinct shingles of the item), n_shared, containment."""
     grams, sketch = item_sketches(items, threshold)
-    limits = sketch.groupBy("partition").agg(F.max("gram").alias("limit"), F.count(F.lit(1)).alias("rows")).agg(F.max("limit").alias("limit"), F.sum("rows").alias("rows")).first()
-    rows, limit = (limits["rows"] or 0), limits["limit"]
+    # A row per power of two.
+    partitions = sketch.groupBy("partition").agg(F.max("gram").alias("limit"), F.count(F.lit(1)).alias("rows")).collect()
+    rows = sum(p["rows"] for p in partitions)
     base = docs.select("doc_id", "text").withColumn("doc_key", F.struct("doc_id", F.xxhash64("text").alias("h")))
-    low = with_shingles(base, "doc_key").select("doc_key", F.explode(F.array_distinct(F.filter("grams", lambda g: g <= F.lit(limit)))).alias("gram"))
+    probes = F.concat(*[below(p["partition"], p["limit"]) for p in partitions]) if partitions else F.expr("cast(array() as array<struct<partition:int,gram:bigint>>)")
+    low = with_shingles(base, "doc_key").select("doc_key", F.array_distinct("grams").alias("grams")).select("doc_key", F.explode(probes).alias("x")).select("doc_key", "x.partition", "x.gram")
     hits = None
     for part in blocks(sketch, "gram", rows, block):
-        found = low.join(F.broadcast(part.select("item_key", "gram")), "gram").select("doc_key", "item_key").distinct()
+        found = low.join(F.broadcast(part), ["partition", "gram"]).select("doc_key", "item_key").distinct()
         hits = found if hits is None else hits.unionByName(found)
     pairs = cut(hits.distinct())
     keys = pairs.select("doc_key").distinct()
     n = keys.count()
     # A key is a long and a hash: a block of them is a few tens of MB. Beyond that, the texts are shuffled by key.
     some = base.join(F.broadcast(keys) if n <= block else keys, "doc_key", "left_semi")
-    texts = with_shingles(some, "doc_key").select("doc_key", F.explode(F.array_distinct("grams")).alias("gram"))
+    texts = with_shingles(some, "doc_key", whole=True).select("doc_key", F.explode(F.array_distinct("grams")).alias("gram"))
     shared = None
-    for part in blocks(grams, "gram", rows * 8, block):
-        found = texts.join(F.broadcast(part), "gram").select("doc_key", "item_key", "n", "gram").distinct()
+    for part in blocks(grams.withColumn("hash", F.xxhash64("gram")), "hash", rows * 8, block):
+        found = texts.join(F.broadcast(part.drop("hash")), "gram").select("doc_key", "item_key", "n", "gram").distinct()
         shared = found if shared is None else shared.unionByName(found)
     counted = shared.groupBy("doc_key", "item_key", "n").agg(F.count(F.lit(1)).alias("n_shared"))
     return counted.filter(F.col("n_shared") >= F.ceil(F.col("n") * threshold - 1e-9)).select(

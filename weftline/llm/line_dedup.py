@@ -48,7 +48,8 @@ def hashes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def probes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All lines as row key, position and hash."""
+    """All lines as row key, position, hash and number in the task."""
+    number = 0
     for batch in batches:
         found = [line_hashes(t.as_py()) for t in batch.column(2)]
         sizes = [len(at) for at, _ in found]
@@ -56,9 +57,10 @@ def probes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.concatenate([h for _, h in found]) if found else np.empty((0, 2), dtype=np.int64)
         at = np.concatenate([a for a, _ in found]) if found else np.empty(0, dtype=np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(at), *[pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)]],
-            names=["doc_id", "text_hash", "at", "hi", "lo"],
+            [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(at), *[pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], pa.array(np.arange(number, number + len(at)))],
+            names=["doc_id", "text_hash", "at", "hi", "lo", "number"],
         )
+        number += len(at)
 
 
 def level_hash(hi: np.ndarray, lo: np.ndarray, level: int) -> np.ndarray:
@@ -126,9 +128,9 @@ def frequent_lines(docs: DataFrame, index: DataFrame, at_least: int) -> DataFram
     """doc_id, text_hash, positions: the lines of each document whose keys are in `at_least` documents or more by the index."""
     first = index.select("shards").first()
     shards = first["shards"] if first else 1
-    probes = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(probes_of, "doc_id long, text_hash long, at int, hi long, lo long")
+    probes = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(probes_of, "doc_id long, text_hash long, at int, hi long, lo long, number long")
     slices = index.select("shard", F.ceil(F.col("load") / F.lit(float(PROBES_PER_SLICE))).cast("long").alias("slices"))
-    probes = probes.withColumn("shard", F.pmod("hi", F.lit(shards))).join(slices, "shard").withColumn("slice", F.pmod(F.xxhash64("doc_id", "text_hash"), "slices"))
+    probes = probes.withColumn("shard", F.pmod("hi", F.lit(shards))).join(slices, "shard").withColumn("slice", F.pmod(F.col("number"), F.col("slices"))).drop("number")
     copies = index.join(slices, "shard").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("shard", F.col("slice").cast("long"), "sizes", "bits", "prints", "counts")
 
     def probe(rows: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
@@ -170,12 +172,12 @@ def op2_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)) , 1) AS line_no FROM documents),
+WITH numbered AS (SELECT row_number() OVER () AS row_no, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT row_no, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no FROM numbered),
 keyed AS (SELECT *, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
-often AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+often AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT row_no) >= 10),
 marked AS (SELECT k.*, o.key IS NOT NULL AS gone FROM keyed k LEFT JOIN often o ON k.key = o.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY row_no, doc_id
 """

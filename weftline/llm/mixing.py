@@ -1,14 +1,14 @@
 """Mixing sources to target weights (DataFrame functions only).
 
-Each document gets a hash-random key. Keys are uniform, so equal key ranges within a source hold equal
-shares of it; a source of n documents is cut into about sqrt(n) ranges. Sums of the ranges give every
+Each document gets a hash-random key. Rows are range-sorted by source and key; sums of the ranges give every
 range's offset, a window inside a range gives the rest of the prefix sum, and the source's budget cuts
-the sequence at the exact word. No task ever holds a source: neither a range nor the list of a source's
-ranges has more than about sqrt(n) rows.
+the sequence at the exact word. Rows that share an id share a key; the text's hash and the row's place then part them, so that
+ranges stay even however often an id repeats. No task ever holds a source: neither a range nor the list of a source's
+ranges grows beyond RANGE_ROWS rows or the number of ranges.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a null
 doc_id sorts as an empty id; rows that repeat a doc_id are mixed as separate rows; an empty table gives an
-empty result; other columns are ignored. A source without words has target 0.
+empty result; other columns are ignored, and `mixed_texts` passes them on. A source without words has target 0.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACES_RE, WORD_RE, cut, table
+from weftline.llm.common import SPACE, SPACES_RE, WORD_RE, cut, table
 
 KEY_BITS = 60
+RANGE_ROWS = 1 << 16
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -43,51 +44,62 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return rows.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(left * F.col("weight"))).drop("weight", "cap", "whole", "weights", "capped")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken (words taken, repeats counted)."""
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, key, hash (of the text), row (a number of the row) of every document."""
     key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_RE)), F.lit(0)).cast("long")
-    base = cut(docs.select("doc_id", "source", size.alias("size"), key.alias("key")))
-    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    return docs.select("doc_id", "source", size.alias("size"), key.alias("key"), F.xxhash64("text").alias("hash"), "row")
+
+
+def taken_words(rows: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    """Add source_size, target and taken to the rows that `sized` gives."""
+    base = cut(rows)
+    order = [F.col("source").asc_nulls_last(), "key", "hash", "row"]
+    n_ranges = max(1, -(-base.count() // RANGE_ROWS))
+    # Sorted ranges are numbered by their partition.
+    ranged = cut(base.repartitionByRange(n_ranges, *order).withColumn("range", F.spark_partition_id()))
+    by_range = cut(ranged.groupBy("source", "range").agg(F.sum("size").alias("words")))
+    sizes = by_range.groupBy("source").agg(F.sum("words").alias("source_size"))
     budget = F.floor("target").cast("long")
     plan = cut(
         targets(sizes, weights, share, most)
-        .withColumn("ranges", F.ceil(F.sqrt("rows")).cast("long"))
         .withColumn("passes", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("rest", budget - F.col("passes") * F.col("source_size"))
         .withColumnRenamed("source", "plan_source")
     )
-    placed = base.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).withColumn(
-        "range", F.least(F.floor(F.col("key") / F.lit(float(1 << KEY_BITS)) * F.col("ranges")), F.col("ranges") - 1).cast("long")
-    )
-    ordered = Window.partitionBy("range_source").orderBy("at_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy(F.col("source").alias("range_source"), F.col("range").alias("at_range"))
-        .agg(F.sum("size").alias("words"))
-        .select("range_source", "at_range", F.coalesce(F.sum("words").over(ordered), F.lit(0)).alias("offset"))
-    )
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = by_range.withColumn("offset", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
+    offsets = offsets.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).select("plan_source", F.col("range").alias("at_range"), "source_size", "target", "passes", "rest", "offset")
+    inside = Window.partitionBy("source", "range").orderBy("key", "hash", "row").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     taken = F.col("passes") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - before))
-    return placed.join(offsets, F.col("source").eqNullSafe(F.col("range_source")) & (F.col("range") == F.col("at_range"))).select(
-        "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken")
-    )
+    placed = ranged.join(offsets, F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("range") == F.col("at_range")))
+    return placed.select("row", "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def mixed_texts(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: one row per document and epoch with the columns of docs, `epoch` and `epoch_words`.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken (words taken, repeats counted)."""
+    rows = docs.select("doc_id", "source", "text").withColumn("row", F.monotonically_increasing_id())
+    return taken_words(sized(rows), weights, share, most).drop("row")
+
+
+def mixed_texts(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
+    """The mix itself: one row per document and epoch with the columns of docs, `epoch` and `epoch_words`; columns of docs by these names give way.
 
     The document at a source's cut keeps its first `epoch_words` words, joined by single spaces; all others
-    keep their text as it is. Documents of which nothing is taken are not in the mix. Of rows that repeat a
-    doc_id, each is emitted with what its own size was given.
+    keep their text as it is. Documents of which nothing is taken are not in the mix. Rows are told apart by their place in docs, which is
+    written once for that.
     """
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_RE)), F.lit(0)).cast("long")
-    taken = mix(docs, **how).filter("taken > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size")).agg(F.max("taken").alias("mix_taken"))
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (size == F.col("mix_size")))
-    epochs = joined.withColumn("epoch", F.explode(F.sequence(F.lit(0), ((F.col("mix_taken") - 1) / F.col("mix_size")).cast("int"))))
-    words = F.least(F.col("mix_size"), F.col("mix_taken") - F.col("epoch") * F.col("mix_size")).cast("long")
-    short = F.array_join(F.slice(F.split(F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")), SPACES_RE), F.lit(1), F.col("epoch_words").cast("int")), " ")
-    return epochs.withColumn("epoch_words", words).withColumn("text", F.when(F.col("epoch_words") == F.col("mix_size"), F.col("text")).otherwise(short)).select(*docs.columns, "epoch", "epoch_words")
+    docs = docs.drop("epoch", "epoch_words")
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    inner = cut(docs.toDF(*at.values()).withColumn("row", F.monotonically_increasing_id()))
+    rows = inner.select(*[F.col(at[c]).alias(c) for c in ("doc_id", "source", "text")], "row")
+    taken = taken_words(sized(rows), weights, share, most).filter("taken > 0").select("row", "size", "taken")
+    epochs = inner.join(taken, "row").withColumn("epoch", F.explode(F.sequence(F.lit(0), ((F.col("taken") - 1) / F.col("size")).cast("int"))))
+    text, words = F.col(at["text"]), F.least(F.col("size"), F.col("taken") - F.col("epoch") * F.col("size")).cast("long")
+    short = F.array_join(F.slice(F.split(F.btrim(text, F.lit(SPACE)), SPACES_RE), F.lit(1), F.col("epoch_words").cast("int")), " ")
+    out = epochs.withColumn("epoch_words", words).withColumn(at["text"], F.when(F.col("epoch_words") == F.col("size"), text).otherwise(short))
+    return out.select(*[F.col(inside).alias(c) for c, inside in at.items()], "epoch", "epoch_words")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
