@@ -1,7 +1,7 @@
 """Corpus pipeline: language ID, line dedup, near-duplicate join, benchmark decontamination, mixing.
 
-Each stage takes all rows that its predecessor kept and hands on the columns of `documents` (the last one returns what the
-mix takes of each document). `run` writes every stage's rows as Parquet into the shared checkpoint folder and goes on from the files.
+Each stage takes all rows that its predecessor kept and hands on the columns of `documents` (the last one returns the mix itself: texts,
+a row for each epoch). `run` writes every stage's rows as Parquet into the shared checkpoint folder and goes on from the files.
 
 Defined results: a text that language ID can't place (`und`, or a share of its best language below MIN_SCORE) goes; documents keep their
 place when line dedup empties them; of each group of near duplicates the document with the group's smallest id stays (a null id
@@ -10,18 +10,17 @@ comes last, then the smallest hash of the text decides; of rows that repeat it,
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, table
+from weftline.llm.common import cut, shared_folder, table
 from weftline.llm.decontaminate import find_contained
 from weftline.llm.jaccard_join import few, near_duplicates
 from weftline.llm.language_id import UNKNOWN, identify
 from weftline.llm.line_dedup import dedup_lines
-from weftline.llm.mixing import mix
+from weftline.llm.mixing import mixed_texts
 
 #: Clean text in two or three languages passes, letters without a language don't.
 MIN_SCORE = 0.4
@@ -64,8 +63,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document."""
-    return mix(docs)
+    """The mix: a row per document and epoch, with epoch and epoch_words."""
+    return mixed_texts(docs)
 
 
 STAGES = [
@@ -82,7 +81,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='pipeline-')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(out := f"{folder}/{k}-{name}")
