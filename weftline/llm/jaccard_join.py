@@ -43,7 +43,7 @@ PERCENT = 80
 BINS = 128
 FREQUENT = 8
 HOT = 1 << 20
-SHARD_BYTES = 1 << 26
+SHARD_BYTES = 1 << 25
 PIECE = 256
 SLICE = 1024
 BROADCAST = 1 << 20
@@ -56,7 +56,7 @@ NONE = np.empty(0, np.uint64)
 class Shingler:
     """Token sets of texts. Word hashes are kept between texts, up to a bound."""
 
-    def __init__(self, most: int = 1 << 18):
+    def __init__(self, most: int = 1 << 17):
         self.most = most
         self.forget()
 

@@ -37,8 +37,8 @@ PER_LANGUAGE = 256
 STRETCH = 4000
 LANGUAGES = 256
 #: Text that is labelled at a time, and words kept between pieces, for a bounded memory of the tasks.
-SCORE_BYTES = 1 << 22
-MOST_WORDS = 1 << 18
+SCORE_BYTES = 1 << 21
+MOST_WORDS = 1 << 17
 TABLE = 1 << 16
 LEXICON = 1 << 14
 ROUNDS = 40
