@@ -130,3 +130,41 @@ def test_a_long_chain_is_one_cluster(spark):
     ids = spark.createDataFrame([(i,) for i in range(102)], "id long")
     pairs = spark.createDataFrame([(i, i + 1) for i in range(99)], "a long, b long")
     assert {r.id: r.cluster for r in similarity.clusters(spark, ids, pairs).collect()} == {i: 0 if i < 100 else i for i in range(102)}
+
+
+def odd_panel(spark, rows=40):
+    """Three entities over some sessions, with an infinite close."""
+    days = spark.range(rows).select(F.expr("date_add(date'2020-01-01', cast(id as int))").alias("trade_date"), "id")
+    return days.crossJoin(spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "ts_code string, k int")).select(
+        "ts_code", "trade_date", (F.col("id") + F.col("k") + 1.0).alias("open"), F.when((F.col("id") == 5) & (F.col("k") == 1), F.lit(float("inf"))).otherwise(F.col("id") * 1.5 + F.col("k")).alias("close"), F.lit(1.0).alias("vol")
+    )
+
+
+def test_labels_follow_the_market_and_refuse_repeated_sessions(spark):
+    from weftline.sources.panel import with_labels
+
+    panel = odd_panel(spark).filter("not (ts_code = 'b' and day(trade_date) = 3)").cache()
+    got = {(r["ts_code"], r["trade_date"].day): r["fwd_2"] for r in with_labels(panel.filter("month(trade_date) = 1"), (2,)).collect()}
+    assert got["a", 1] == (3 + 1 + 1) / (1 + 1 + 1) - 1 and got["b", 2] is None and got["b", 1] == (3 + 2 + 1) / (1 + 2 + 1) - 1 and got["a", 30] is None
+    with pytest.raises(Exception, match="several rows in one session"):
+        with_labels(panel.unionByName(panel.filter("ts_code = 'c'").limit(1)), (2,)).select(F.sum("fwd_2")).collect()
+
+
+def test_a_constant_factor_has_no_evaluation_rows(spark):
+    from weftline.operators.evaluate import evaluation_rows
+    from weftline.sources.panel import LAYERS, with_labels
+
+    panel = with_labels(odd_panel(spark), (5,)).withColumn("layer", F.lit(LAYERS[0].name)).withColumn("univ_rank", F.lit(1))
+    moved = panel.withColumn("trade_date", F.lit(LAYERS[0].end).cast("date")).withColumn("label_exit_date_5", F.lit(LAYERS[0].end).cast("date"))
+    assert evaluation_rows(moved.withColumn("factor", F.lit(1.0)), 5, embargo=0).count() == 0
+    assert evaluation_rows(moved.withColumn("factor", F.col("close")), 5, embargo=0).count() > 0
+
+
+def test_values_that_are_not_finite_count_as_missing(spark):
+    from weftline.plans.compiler import factor
+
+    panel = odd_panel(spark)
+    value = {(r["ts_code"], r["trade_date"].day, r["trade_date"].month): r["factor"] for r in factor(panel, "where(close,1,2)").collect()}
+    assert value["a", 6, 1] is None and value["a", 7, 1] == 1
+    found = {(r["ts_code"], r["trade_date"].day, r["trade_date"].month): r["factor"] for r in factor(panel, "ts_median(close,5)").collect()}
+    assert found["a", 8, 1] is None or found["a", 8, 1] < float("inf")

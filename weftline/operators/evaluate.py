@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from weftline.functions.windows import average_rank, day, history, safe_corr
 from weftline.sources.panel import LAYERS, finite, purged
 
+#: Least standard deviation of a session's factor, as a share of its mean size plus one (fixed value).
+LEAST_SPREAD = 1e-10
+
 
 def evaluation_rows(panel: DataFrame, horizon: int, universe: int | None = None, embargo: int = 5, direction: int = 1) -> DataFrame:
     """Rows with a finite factor and label that pass purge and embargo, every horizon-th session of a layer, with pct (factor's rank share) and label_rank.
 
-    Needs with_universe, with_labels and a column `factor`. Sessions count by the layer's calendar, so a factor's gaps don't shift the sample.
+    A session on which the factor hardly varies has no ranks and is left out. Needs with_universe, with_labels and a column `factor`. Sessions count by the layer's calendar, so a factor's gaps don't shift the sample.
     """
     rows = purged(panel, horizon, embargo, LAYERS)
     seq = Window.partitionBy("layer").orderBy("trade_date")
@@ -22,7 +25,9 @@ def evaluation_rows(panel: DataFrame, horizon: int, universe: int | None = None,
     rows = rows.join(sessions, ["layer", "trade_date"]).filter((F.col("seq") - 1) % horizon == 0)
     if universe is not None:
         rows = rows.filter(F.col("univ_rank") <= universe)
-    rows = rows.withColumn("factor", F.col("factor") * direction).withColumnRenamed(f"fwd_{horizon}", "label").filter(finite(F.col("factor")) & finite(F.col("label")))
+    rows = rows.withColumn("factor", F.col("factor") * direction).withColumnRenamed(f"fwd_{horizon}", "label").filter(finite(F.col("factor")))
+    rows = rows.withColumn("_spread", F.stddev_samp("factor").over(day())).withColumn("_level", F.avg(F.abs("factor")).over(day()))
+    rows = rows.filter((F.col("_spread") > (F.col("_level") + 1) * LEAST_SPREAD) & finite(F.col("label"))).drop("_spread", "_level")
     return rows.withColumn("n_day", F.count(F.lit(1)).over(day())).withColumn("pct", average_rank(F.col("factor")) / F.col("n_day")).withColumn("label_rank", average_rank(F.col("label")))
 
 

@@ -49,7 +49,7 @@ def series_stats(series: DataFrame, by: str, periods_a_year: float, when: str =
 
 
 def newey_west(series: DataFrame, by: str, lags: int, when: str = "trade_date", r: str = "ret", least: int = 30) -> DataFrame:
-    """Mean with Bartlett-weighted long-run error: n, mean, se, t. Groups with fewer than `least` periods have no error."""
+    """Mean with Bartlett-weighted long-run error: n, mean, se, t, p (two-sided). Groups with fewer than `least` periods have no error; without any error t is 0."""
     x = F.col(r)
     order = Window.partitionBy(by).orderBy(when)
     rows = series.filter(x.isNotNull()).withColumn("dev", x - F.avg(x).over(Window.partitionBy(by)))
@@ -58,7 +58,8 @@ def newey_west(series: DataFrame, by: str, lags: int, when: str = "trade_date",
     found = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.sum(F.col("dev") * F.col("dev")).alias("s0"), *[F.coalesce(F.sum(f"p{k}"), F.lit(0.0)).alias(f"s{k}") for k in range(1, lags + 1)])
     long_run = F.col("s0") + sum([2 * (1 - k / (lags + 1)) * F.col(f"s{k}") for k in range(1, lags + 1)], F.lit(0.0))
     se = F.when(F.col("n") >= least, F.sqrt(F.greatest(long_run, F.lit(0.0))) / F.col("n"))
-    return found.withColumn("se", se).withColumn("t", F.try_divide("mean", "se")).select(by, "n", "mean", "se", "t")
+    t = F.when(F.col("se") > 1e-15, F.col("mean") / F.col("se")).when(F.col("se").isNotNull(), 0.0)
+    return found.withColumn("se", se).withColumn("t", t).select(by, "n", "mean", "se", "t", (2 * (1 - normal_cdf(F.abs("t")))).alias("p"))
 
 
 def confidence_bounds(series: DataFrame, by: str, lags: int, confidence: float = 0.95, **more) -> DataFrame:

@@ -15,7 +15,18 @@ from pyspark.sql import functions as F
 from weftline.functions.catalog import FUNCTIONS, TINY
 from weftline.functions.windows import ROW, history
 from weftline.plans.expression import Node, parse, required_history
-from weftline.sources.panel import KEY, calendar
+from weftline.sources.panel import KEY, calendar, finite
+
+
+#: Functions that take values that aren't finite as missing (fixed values).
+CLEANED = {
+    "ts_corr_v2", "ts_beta", "ts_residual", "ts_mean_if", "ts_count", "ts_median", "ts_mad", "ts_robust_zscore", "ts_bars_since", "ts_streak", "ts_decay_linear", "ts_ewm", "ts_drawdown",
+    "winsor_mad", "cs_residual", "group_rank", "group_zscore",
+}
+
+
+def clean(x: Column) -> Column:
+    return F.when(finite(x), x)
 
 
 class Plan:
@@ -37,11 +48,12 @@ class Plan:
             return {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: F.try_divide(x, y + TINY)}[node.kind]()
         f = FUNCTIONS[node.name]
         if f.kind == "row":
-            return f.build(*[self.column(a) for a in node.args])
+            args = [self.column(a) for a in node.args]
+            return f.build(*([clean(args[0]), *args[1:]] if node.name == "where" else args))
         if node not in self.staged:
             if f.row and ROW not in self.frame.columns:
                 self.frame = self.frame.withColumn(ROW, F.row_number().over(history()))
-            args = [self.stage(a) for a in node.args]
+            args = [clean(self.stage(a)) if node.name in CLEANED and a.kind != "number" else self.stage(a) for a in node.args]
             name = f"_s{len(self.staged)}"
             self.frame = self.frame.withColumn(name, f.build(*args, *node.literals))
             self.staged[node] = name

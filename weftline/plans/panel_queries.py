@@ -170,7 +170,7 @@ lab AS (SELECT u.*, c.idx, c.entry, c.exit5, x1.open / e.open - 1 AS fwd_1, x5.o
   LEFT JOIN panel x5 ON x5.ts_code = u.ts_code AND x5.trade_date = c.exit5 LEFT JOIN panel x10 ON x10.ts_code = u.ts_code AND x10.trade_date = c.exit10 LEFT JOIN panel x20 ON x20.ts_code = u.ts_code AND x20.trade_date = c.exit20)"""
 ROWS_SQL = f"""{UNI_SQL},
 places AS (SELECT layer, trade_date, row_number() OVER (PARTITION BY layer ORDER BY trade_date) - 1 AS place FROM (SELECT DISTINCT layer, trade_date FROM uni)),
-kept AS (SELECT l.*, p.place, l.fwd_5 AS label FROM lab l JOIN places p USING (layer, trade_date) WHERE layer <> 'NONE' AND place >= 5 AND exit5 <= CASE layer {ENDS} END AND place % 5 = 0 AND factor IS NOT NULL AND fwd_5 IS NOT NULL),
+kept AS (SELECT * FROM (SELECT l.*, p.place, l.fwd_5 AS label, stddev_samp(factor) OVER (PARTITION BY trade_date) AS spread, avg(abs(factor)) OVER (PARTITION BY trade_date) AS size FROM lab l JOIN places p USING (layer, trade_date) WHERE layer <> 'NONE' AND place >= 5 AND exit5 <= CASE layer {ENDS} END AND place % 5 = 0 AND factor IS NOT NULL) WHERE spread > (size + 1) * 1e-10 AND label IS NOT NULL),
 rws AS (SELECT *, count(*) OVER (PARTITION BY trade_date) AS n_day,
   (rank() OVER (PARTITION BY trade_date ORDER BY factor) + (count(*) OVER (PARTITION BY trade_date, factor) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY trade_date) AS pct,
   rank() OVER (PARTITION BY trade_date ORDER BY label) + (count(*) OVER (PARTITION BY trade_date, label) - 1) / 2.0::DOUBLE AS label_rank FROM kept),
@@ -232,7 +232,7 @@ FROM b WINDOW p AS (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN 20 PRE
     "stats_series": f"""WITH {SERIES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY ts_code ORDER BY ret, trade_date) AS k, count(*) OVER (PARTITION BY ts_code) AS m FROM dd),
 g AS (SELECT ts_code, count(*) AS n, exp(sum(ln(1 + ret))) AS final_nav, avg(ret) AS mean, stddev_samp(ret) AS sd, sqrt(avg(pow(least(ret, 0), 2))) AS down, max(drawdown) AS max_drawdown, avg((ret > 0)::INT::DOUBLE) AS win_rate, avg(ret) FILTER (WHERE k <= greatest(1, floor(m * 0.05::DOUBLE))) AS tail_mean FROM o GROUP BY ts_code)
 SELECT ts_code, n, {same(6, 'final_nav')}, {r(7, max_drawdown='max_drawdown', win_rate='win_rate', tail_mean='tail_mean', annual_return='pow(final_nav, 52.0::DOUBLE / n) - 1', annual_volatility='sd * sqrt(52)')}, {r(6, sharpe='mean / nullif(sd, 0) * sqrt(52)', sortino='mean / nullif(down, 0) * sqrt(52)')}, round((pow(final_nav, 52.0::DOUBLE / n) - 1) / nullif(max_drawdown, 0), 5) + 0.0 AS calmar FROM g""",
-    "stats_newey_west": f"WITH {SERIES_SQL} SELECT ts_code, n, {same(8, 'mean', 'se')}, round(mean / nullif(se, 0), 6) + 0.0 AS t FROM nw",
+    "stats_newey_west": f"WITH {SERIES_SQL} SELECT ts_code, n, {same(8, 'mean', 'se')}, round(CASE WHEN se > 1e-15 THEN mean / se WHEN se IS NOT NULL THEN 0 END, 6) + 0.0 AS t FROM nw",
     "stats_bounds": f"WITH {SERIES_SQL} SELECT ts_code, {r(8, lower='mean - 1.9599639845400538::DOUBLE * se', upper='mean + 1.9599639845400538::DOUBLE * se')} FROM nw",
     "stats_moments": f"WITH {SERIES_SQL} SELECT ts_code, n, {same(7, 'sharpe', 'skew', 'kurtosis')} FROM mom",
     "stats_psr": f"WITH {SERIES_SQL}, z AS (SELECT ts_code, sharpe * sqrt(n - 1) / sqrt(greatest(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe, 1e-12)) AS z FROM mom) SELECT ts_code, round({CDF('z')}, 6) + 0.0 AS psr FROM z",

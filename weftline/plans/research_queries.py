@@ -149,18 +149,6 @@ def ledger_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factor(with_universe(panel(spark, sf_dir)), "returns(close,4)")
 
 
-def ledger_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.run_ledgers(spark, ledger_panel(spark, sf_dir), RUNS)
-
-
-def ledger_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.run_ledgers(spark, ledger_panel(spark, sf_dir), RUNS, fills=True)
-
-
-def ledger_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.integrity(ledger_daily(spark, sf_dir))
-
-
 def ledger_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a run is given: picks by session of the first configuration."""
     rows = ledger.candidates(ledger_panel(spark, sf_dir), spark.createDataFrame([ledger.asdict(RUNS[0])]))
@@ -213,7 +201,7 @@ def queries() -> dict:
     found = (
         event_buckets, event_years, event_grid, event_cooldown, event_spacing, join_asof, join_range, latest_order, shortest_of, page_rows, concentration, regime_blend,
         similar_expressions, expression_clusters, weight_search, covariance, risk_budget, block_bootstrap, overfit_probability, return_signature, robust_scale, fold_scores,
-        ledger_daily, ledger_fills, ledger_integrity, ledger_candidates, stream_latency,
+        ledger_candidates, stream_latency,
     )
     return {f.__name__: f for f in found}
 

@@ -118,23 +118,20 @@ def with_labels(panel: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataF
     """Add market_session_index, label_entry_date, and for each h label_exit_date_h and fwd_h: enter at the open of the next market session, leave at the open h sessions later.
 
     Dates come from the market's calendar, not from the entity's next row, so a missing or non-positive quote gives a null return.
-    The calendar is a small table (a row a session) and is broadcast by Spark when it is below the session's threshold; quotes join on the panel's own key.
+    The calendar is a small table (a row a session) and is broadcast by Spark when it is below the session's threshold. Quotes are found in a
+    range of exactly one session of the entity's own rows, so that one sort serves all horizons. An entity with two rows in a session fails.
     """
     days = Window.orderBy("trade_date")
     cal = calendar(panel).withColumn("label_entry_date", F.lead("trade_date", 1).over(days))
     for h in horizons:
         cal = cal.withColumn(f"label_exit_date_{h}", F.lead("trade_date", h + 1).over(days))
-    out = panel.join(cal, "trade_date", "left")
-    quotes = panel.select("ts_code", F.col("trade_date").alias("quote_date"), F.when((F.col("open") > 0) & finite(F.col("open")), F.col("open")).alias("quote"))
-
-    def quoted(frame: DataFrame, day: str, name: str) -> DataFrame:
-        q = quotes.select(F.col("ts_code"), F.col("quote_date").alias(day), F.col("quote").alias(name))
-        return frame.join(q, ["ts_code", day], "left")
-
-    out = quoted(out, "label_entry_date", "entry_open")
+    at = lambda k: Window.partitionBy("ts_code").orderBy("market_session_index").rangeBetween(k, k)
+    quote = F.when((F.col("open") > 0) & finite(F.col("open")), F.col("open"))
+    quote = F.when(F.count(F.lit(1)).over(at(0)) == 1, quote).otherwise(F.raise_error(F.lit("an entity has several rows in one session")).cast("double"))
+    out = panel.join(cal, "trade_date", "left").withColumn("_quote", quote).withColumn("_entry", F.max("_quote").over(at(1)))
     for h in horizons:
-        out = quoted(out, f"label_exit_date_{h}", "exit_open").withColumn(f"fwd_{h}", F.col("exit_open") / F.col("entry_open") - 1).drop("exit_open")
-    return out.drop("entry_open")
+        out = out.withColumn(f"fwd_{h}", F.max("_quote").over(at(h + 1)) / F.col("_entry") - 1)
+    return out.drop("_quote", "_entry")
 
 
 def require_unique(frame: DataFrame, keys: list[str]) -> DataFrame:
