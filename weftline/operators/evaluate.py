@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import sqrt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.windows import average_rank, day, history, safe_corr
@@ -15,7 +15,7 @@ LEAST_SPREAD = 1e-10
 
 
 def evaluation_rows(panel: DataFrame, horizon: int, universe: int | None = None, embargo: int = 5, direction: int = 1) -> DataFrame:
-    """Rows with a finite factor and label that pass purge and embargo, every horizon-th session of a layer, with pct (factor's rank share) and label_rank.
+    """Rows with a finite factor and label that pass purge and embargo, every horizon-th session of a layer, with pct (factor's rank share), label_rank and eligible_n (rows of the session with a factor).
 
     A session on which the factor hardly varies has no ranks and is left out. Needs with_universe, with_labels and a column `factor`. Sessions count by the layer's calendar, so a factor's gaps don't shift the sample.
     """
@@ -26,7 +26,7 @@ def evaluation_rows(panel: DataFrame, horizon: int, universe: int | None = None,
     if universe is not None:
         rows = rows.filter(F.col("univ_rank") <= universe)
     rows = rows.withColumn("factor", F.col("factor") * direction).withColumnRenamed(f"fwd_{horizon}", "label").filter(finite(F.col("factor")))
-    rows = rows.withColumn("_spread", F.stddev_samp("factor").over(day())).withColumn("_level", F.avg(F.abs("factor")).over(day()))
+    rows = rows.withColumn("_spread", F.stddev_samp("factor").over(day())).withColumn("_level", F.avg(F.abs("factor")).over(day())).withColumn("eligible_n", F.count(F.lit(1)).over(day()))
     rows = rows.filter((F.col("_spread") > (F.col("_level") + 1) * LEAST_SPREAD) & finite(F.col("label"))).drop("_spread", "_level")
     return rows.withColumn("n_day", F.count(F.lit(1)).over(day())).withColumn("pct", average_rank(F.col("factor")) / F.col("n_day")).withColumn("label_rank", average_rank(F.col("label")))
 
@@ -72,6 +72,53 @@ def daily_portfolio(rows: DataFrame, horizon: int) -> DataFrame:
     return daily.withColumn("turnover", F.col("changed") + F.greatest(left, F.lit(0.0))).select("layer", "trade_date", "n", "gross", "turnover")
 
 
+def nearest(x: Column, q: float, *by: str) -> Column:
+    """The value of x at place round(q * (n - 1)) of its group's order, on that row alone (null on others)."""
+    group = Window.partitionBy(*by)
+    place = F.row_number().over(group.orderBy(x.asc_nulls_last()))
+    return F.when(x.isNotNull() & (place == F.round((F.count(x).over(group) - 1) * q).cast("int") + 1), x)
+
+
+def daily_evaluation(rows: DataFrame, horizon: int, short: bool = True, capital: float = 1e6, least: int = 50) -> DataFrame:
+    """By layer and session with `least` rows or more: ic, rank_ic, n, eligible_n, coverage, benchmark, long, short and gross return, turnover, participation.
+
+    participation is the larger of two shares of a day's amount for the capital: the 95 % quantile over the rows' weight changes, and what sold-out weights need at the
+    5 % quantile of amounts (quantiles take the nearest value). Needs legs(); rows have amount, label_entry_date and label_exit_date_<horizon>.
+    """
+    by_entity = Window.partitionBy("layer", "ts_code").orderBy("trade_date")
+    rows = rows.withColumn("old", F.when(F.lag("seq").over(by_entity) == F.col("seq") - horizon, F.lag("weight").over(by_entity)).otherwise(0.0))
+    paid = F.when(F.col("amount") > 0, F.abs(F.col("weight") - F.col("old")) * capital / F.col("amount"))
+    rows = rows.withColumn("_paid", paid).withColumn("_p95", nearest(F.col("_paid"), 0.95, "layer", "trade_date")).withColumn("_p05", nearest(F.col("amount"), 0.05, "layer", "trade_date"))
+    w, label = F.col("weight"), F.col("label")
+    daily = rows.groupBy("layer", "trade_date").agg(
+        safe_corr(F.col("factor"), label).alias("ic"), safe_corr(F.col("pct"), F.col("label_rank")).alias("rank_ic"), F.count(F.lit(1)).alias("n"), F.max("eligible_n").alias("eligible_n"),
+        F.min("label_entry_date").alias("entry"), F.max(f"label_exit_date_{horizon}").alias("exit"), F.avg(label).alias("benchmark"),
+        F.coalesce(F.sum(F.when(w > 0, w * label)), F.lit(0.0)).alias("long_return"), F.coalesce(F.sum(F.when(w < 0, -w * label)), F.lit(0.0)).alias("short_return"),
+        F.sum(F.abs(w)).alias("_exposure"), F.sum(F.abs(w - F.col("old"))).alias("_changed"), F.sum(F.abs("old")).alias("_matched"), F.sum((w != 0).cast("long")).alias("_held"), F.max("_p95").alias("_p95"), F.max("_p05").alias("_p05"),
+    )
+    before = Window.partitionBy("layer").orderBy("trade_date")
+    sold = F.greatest(F.coalesce(F.lag("_exposure").over(before), F.lit(0.0)) - F.col("_matched"), F.lit(0.0))
+    daily = daily.withColumn("_sold", sold).withColumn("turnover", F.col("_changed") + F.col("_sold"))
+    leaving = F.col("_sold") * capital / (F.greatest(F.col("_held"), F.lit(1)) * F.when(F.col("_p05") > 0, F.col("_p05")))
+    daily = daily.withColumn("participation", F.greatest(F.coalesce("_p95", F.lit(0.0)), F.coalesce(leaving, F.lit(0.0)))).withColumn("coverage", F.col("n") / F.col("eligible_n"))
+    gross = F.col("long_return") - F.col("short_return") if short else F.col("long_return")
+    return daily.withColumn("gross", gross).withColumn("era", F.year("trade_date")).filter(F.col("n") >= least).drop("_exposure", "_changed", "_matched", "_held", "_p95", "_p05", "_sold")
+
+
+def layer_metrics(daily: DataFrame, horizon: int, costs: tuple[float, ...] = (0.0, 5.0, 15.0), by: tuple[str, ...] = ("layer",)) -> DataFrame:
+    """A row for each group of daily_evaluation (by layer, or layer and era) and cost in basis points: sessions, IC, its ratio and share of positive sessions, coverage, turnover, participation, and the net return's mean, Sharpe ratio and drawdown."""
+    net = daily.withColumn("cost_bps", F.explode(F.array(*[F.lit(float(c)) for c in costs]))).withColumn("net", F.col("gross") - F.col("turnover") * F.col("cost_bps") / 10000)
+    past = Window.partitionBy(*by, "cost_bps").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    net = net.withColumn("_nav", F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 + F.col("net")))).over(past)))
+    net = net.withColumn("_down", 1 - F.col("_nav") / F.greatest(F.lit(1.0), F.max("_nav").over(past)))
+    year = 252 / horizon
+    return net.groupBy(*by, "cost_bps").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("rank_ic").alias("ic"), (F.try_divide(F.avg("rank_ic"), F.stddev_samp("rank_ic")) * sqrt(year)).alias("icir"), F.avg((F.col("rank_ic") > 0).cast("double")).alias("positive"),
+        F.avg("coverage").alias("coverage"), F.avg("turnover").alias("turnover"), F.max("participation").alias("participation"), (F.avg("net") * year).alias("annual_net"),
+        (F.try_divide(F.avg("net"), F.stddev_samp("net")) * sqrt(year)).alias("sharpe"), F.max("_down").alias("max_drawdown"),
+    )
+
+
 def signal_sketch(rows: DataFrame, buckets: int = 32) -> DataFrame:
     """Mean centred rank by layer and hashed bucket of (entity, session): a short signature of a factor's signal."""
     bucket = F.pmod(F.xxhash64("ts_code", "trade_date"), F.lit(buckets)).cast("int")

@@ -144,3 +144,26 @@ def regime(series: DataFrame, by: str, window: int = 60, when: str = "trade_date
     last = past.rowsBetween(-(window - 1), 0)
     state = F.when(F.count(r).over(last) == window, (F.sum(growth(F.col(r))).over(last) > 0).cast("int")).otherwise(1)
     return series.withColumn("own_state", state).withColumn("on", F.lag("own_state", 1, 1).over(past)).drop("own_state")
+
+
+def rolling_sharpe(series: DataFrame, by: str, window: int = 252, when: str = "trade_date", r: str = "ret") -> DataFrame:
+    """q10, median, q90 and share of positive values of the annual Sharpe ratio of every full window, by series; 0 for a series without any."""
+    last = Window.partitionBy(by).orderBy(when).rowsBetween(-(window - 1), 0)
+    spread = F.stddev_samp(r).over(last)
+    rows = series.filter(F.col(r).isNotNull()).withColumn("_s", F.when((F.count(F.lit(1)).over(last) == window) & (spread > 1e-15), F.avg(r).over(last) / spread * sqrt(252)))
+    found = rows.groupBy(by).agg(F.count("_s").alias("n"), *[F.percentile("_s", q).alias(name) for name, q in (("q10", 0.1), ("median", 0.5), ("q90", 0.9))], F.avg((F.col("_s") > 0).cast("double")).alias("positive"))
+    return found.fillna(0.0, ["q10", "median", "q90", "positive"])
+
+
+def path_returns(navs: DataFrame, by: str, when: str = "trade_date", nav: str = "nav") -> DataFrame:
+    """Add ret: the return that a net asset value shows since the one before; before the first it was 1."""
+    return navs.withColumn("ret", F.col(nav) / F.lag(nav, 1, 1.0).over(Window.partitionBy(by).orderBy(when)) - 1)
+
+
+def walk_forward(series: DataFrame, folds: list[tuple[str, str, str, str, str]], value: str, when: str = "trade_date") -> DataFrame:
+    """fold, part (train or valid), n, mean, std, positive of a value by session. folds: (name, train start, train end, valid start, valid end); a session counts in every part that holds it."""
+    parts = [(name, part, a, b) for name, t0, t1, v0, v1 in folds for part, a, b in (("train", t0, t1), ("valid", v0, v1))]
+    held = F.array(*[F.when(F.col(when).between(F.lit(a).cast("date"), F.lit(b).cast("date")), F.struct(F.lit(name).alias("fold"), F.lit(part).alias("part"))) for name, part, a, b in parts])
+    rows = series.filter(F.col(value).isNotNull()).select(value, F.explode(F.array_compact(held)).alias("_at"))
+    x = F.col(value)
+    return rows.groupBy("_at.fold", "_at.part").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.avg((x > 0).cast("double")).alias("positive"))
