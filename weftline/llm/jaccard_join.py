@@ -214,33 +214,36 @@ def bounded(names: list[str]):
     return run
 
 
-def open_piece(rows: pd.DataFrame) -> pd.DataFrame:
+def open_piece(rows: pa.Table) -> pa.Table:
     """Links between the queries and the members of one piece, as many as join all groups that any link joins."""
     links: list[tuple[int, int]] = []
-    queries, members = rows[rows["query"]], rows[~rows["query"]]
-    if len(queries) and len(members):
-        sets = [np.frombuffer(x, np.uint64) for x in members["tokens"]]
-        sizes = np.array([len(s) for s in sets])
-        keys, groups, names = members["key"].to_numpy(), members["group"].to_numpy(), {}
-        every = np.concatenate(sets)
+    asks = rows.column("query").to_numpy()
+    asking, held = np.flatnonzero(asks), np.flatnonzero(~asks)
+    if len(asking) and len(held):
+        names_of, groups_of = rows.column("key").to_numpy(), rows.column("group").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("tokens").to_pylist()]
+        members = [sets[i] for i in held]
+        sizes = np.array([len(s) for s in members])
+        keys, groups, names = names_of[held], groups_of[held], {}
+        every = np.concatenate(members)
         order = np.argsort(every, kind="stable")
-        owners = np.repeat(np.arange(len(sets)), sizes)[order]
-        union, starts = np.unique(every[order], return_index=True)
-        ends = np.append(starts[1:], len(every))
+        owners, every = np.repeat(np.arange(len(members)), sizes)[order], every[order]
+        starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        union, ends = every[starts], np.append(starts[1:], len(every))
 
         def name(group: int) -> int:
             while (up := names.get(group, group)) != group:
                 group = up
             return group
 
-        for key, own, packed in zip(queries["key"], queries["group"], queries["tokens"], strict=True):
-            query = np.frombuffer(packed, np.uint64)
+        for i in asking:
+            key, own, query = names_of[i], groups_of[i], sets[i]
             at = np.minimum(np.searchsorted(union, query), len(union) - 1)
             at = at[union[at] == query]
             if 100 * len(at) < PERCENT * len(query):  # the union's bound
                 continue
             lengths = ends[at] - starts[at]
-            shared = np.bincount(owners[expand(starts[at], lengths)], minlength=len(sets))
+            shared = np.bincount(owners[expand(starts[at], lengths)], minlength=len(members))
             linked = np.flatnonzero((100 * shared >= PERCENT * (len(query) + sizes - shared)) & (keys != key))
             _, first = np.unique(groups[linked], return_index=True)
             for to in linked[first]:
@@ -248,7 +251,7 @@ def open_piece(rows: pd.DataFrame) -> pd.DataFrame:
                 if a != b:
                     names[max(a, b)] = min(a, b)
                     links.append((key, keys[to]))
-    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+    return pa.table({c: pa.array([x[k] for x in links], pa.int64()) for k, c in enumerate(("a", "b"))})
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -279,7 +282,7 @@ def try_pieces(trials: DataFrame, members: DataFrame, rows: DataFrame, classes:
     wanted = few(cut(roles.select("doc_id", "text_hash").distinct()))
     some = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["text_hash"] == wanted["text_hash"]), "left_semi")
     sets = some.select("text").mapInArrow(sets_of, "key long, tokens binary")
-    return sets.join(few(roles.select("key", "group", "piece", "slice", "query")), "key").groupBy("piece", "slice").applyInPandas(open_piece, "a long, b long")
+    return sets.join(few(roles.select("key", "group", "piece", "slice", "query")), "key").groupBy("piece", "slice").applyInArrow(open_piece, "a long, b long")
 
 
 def most_in_bins(bins: pd.Series) -> pd.Series:
