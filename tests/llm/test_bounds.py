@@ -218,3 +218,14 @@ def test_pipeline_against_a_plain_version(spark, table):
     for name, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, DATA)
         assert empty.count() == 0, name
+
+
+def test_token_sets_of_long_texts_and_long_words():
+    tokens_of, long = jaccard_join.Shingler(), jaccard_join.LONG
+    words = ["A", "b", "é\x85", "x" * long, "x" * (long + 1), "y" * (3 * long), "Zz"]
+    text = " \n".join(words[i * i % len(words)] + str(i % 5) for i in range(2000))
+    plain = [w.lower() for w in text.split(" \n")]
+    hashes = tokens_of.hashes(text)
+    assert len(hashes) == 2000 and len(set(zip(plain, hashes.tolist()))) == len(set(plain)) == len(set(hashes.tolist()))
+    assert len(tokens_of(text)) == len({tuple(plain[i : i + 5]) for i in range(1996)})
+    assert (tokens_of("q " + " ".join(words[3:6])) == tokens_of(" ".join(["Q", *words[3:6]]) + "\t")).all() and len(tokens_of(" ")) == len(tokens_of(None)) == 0

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Words, cut, expand, lower_words, mix64, pieces, table, text_bytes, word_hashes
+from weftline.llm.common import LOWER, cut, expand, mix64, pieces, table, text_bytes
 
 WORDS = 5
 PERCENT = 80
@@ -53,35 +53,55 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.empty(0, np.uint64)
 
 
-class Shingler:
-    """Token sets of texts. Word hashes are kept between texts, up to a bound."""
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+#: Words of up to so many bytes are hashed together, longer ones each by itself.
+LONG = 1 << 16
+BASE = 0xD6E8FEB86659FD93
+BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
 
-    def __init__(self, most: int = 1 << 17):
-        self.most = most
-        self.forget()
 
-    def forget(self) -> None:
-        self.words, self.hashes, self.filled = Words(), np.zeros(1 << 12, np.uint64), 0
+class Shingler:
+    """Token sets of texts. A word's hash is the sum of its bytes' values times powers of an odd base, from the difference of two running sums, moved back to power 0."""
+
+    def __init__(self):
+        self.up, self.down = np.full((2, 2 * LONG + 1), 1, np.uint64)
+        for powers, base in ((self.up, BASE), (self.down, pow(BASE, -1, 1 << 64))):
+            powers[1:] = base
+            np.cumprod(powers, out=powers)
+
+    def hashes(self, text: str) -> np.ndarray:
+        """64-bit hashes of the words of a whole text, A-Z lower-cased, in order."""
+        raw = text.encode("utf-8", "surrogatepass").translate(LOWER)
+        code = np.frombuffer(raw, np.uint8)
+        edges = np.flatnonzero(np.concatenate([[True], SPACE[code]]) != np.concatenate([SPACE[code], [True]]))
+        starts, ends = edges[::2], edges[1::2]
+        sizes = ends - starts
+        out = np.empty(len(starts), np.uint64)
+        for i in np.flatnonzero(sizes > LONG):
+            out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]])
+        short = np.flatnonzero(sizes <= LONG)
+        for words in np.split(short, np.searchsorted(starts[short], np.arange(LONG, len(code), LONG))):
+            if len(words):
+                first, last = starts[words[0]], ends[words[-1]]
+                sums = np.zeros(last - first + 1, np.uint64)
+                np.cumsum(BYTES[code[first:last]] * self.up[: last - first], out=sums[1:])
+                a, b = starts[words] - first, ends[words] - first
+                out[words] = (sums[b] - sums[a]) * self.down[a] + sizes[words].astype(np.uint64)
+        return mix64(out)
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Sorted distinct token hashes of a whole text."""
-        words = lower_words(text)
-        if not words:
+        hashes = self.hashes(text) if text else NONE
+        if not len(hashes):
             return NONE
-        if len(self.words) > self.most:
-            self.forget()
-        numbers = self.words.numbers(words)
-        if new := self.words.order[self.filled :]:
-            if len(self.words) > len(self.hashes):
-                self.hashes = np.concatenate([self.hashes, np.zeros(len(self.words), np.uint64)])
-            self.hashes[self.filled : len(self.words)] = word_hashes(new)
-            self.filled = len(self.words)
-        hashes = self.hashes[numbers]
-        width = min(WORDS, len(words))
-        out = hashes[: len(words) - width + 1].copy()
+        width = min(WORDS, len(hashes))
+        n = len(hashes) - width + 1
+        out = hashes[:n].copy()
         for k in range(1, width):
-            out = out * FACTOR + hashes[k : len(words) - width + 1 + k]
-        return np.unique(mix64(out + np.uint64(width)))
+            out = out * FACTOR + hashes[k : n + k]
+        out = mix64(out + np.uint64(width))
+        out.sort()
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def key_of(tokens: np.ndarray) -> int:
