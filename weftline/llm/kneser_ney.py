@@ -243,7 +243,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, ord
     by_language = unseen.filter("lang is not null").groupBy("lang").agg(bound("own"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FEWEST).select("lang", "own")
     whole = unseen.agg(bound("whole"))
     limit = F.coalesce("own", "whole", F.lit(float("inf")))
-    found = rows.join(by_language, "lang", "left").join(F.broadcast(whole))
+    # A row per language, counted: documents stay where they are, whatever share of them one language has.
+    found = rows.join(few(cut(by_language)), "lang", "left").join(F.broadcast(whole))
     return found.select("doc_id", "lang", "n_words", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(False)).alias("keep"))
 
 
