@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import attention_lm, chat_format, decontaminate, jaccard_join, kneser_ney, language_id, line_dedup, mixing, search, secrets
+from weftline.llm import attention_lm, centroids, chat_format, decontaminate, jaccard_join, kneser_ney, language_id, line_dedup, mixing, search, secrets, token_alignment, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_join_near_duplicates": jaccard_join.op8_join_near_duplicates,
         "op9_score_language_model": attention_lm.op9_score_language_model,
         "op10_classify_quality": kneser_ney.op10_classify_quality,
+        "op11_filter_urls": url_filter.op11_filter_urls,
+        "op12_cluster_centroids": centroids.op12_cluster_centroids,
+        "op13_align_tokenizers": token_alignment.op13_align_tokenizers,
     }
 
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_format_chat": chat_format.ORACLE_SQL,
         "op7_mix_sources": mixing.ORACLE_SQL,
         "op8_join_near_duplicates": jaccard_join.ORACLE_SQL,
+        "op11_filter_urls": url_filter.ORACLE_SQL,
+        "op12_cluster_centroids": centroids.ORACLE_SQL,
     }
