@@ -54,40 +54,32 @@ NONE = np.empty(0, np.uint64)
 
 
 SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-#: Words of up to so many bytes are hashed together, longer ones each by itself.
-LONG = 1 << 16
-BASE = 0xD6E8FEB86659FD93
-BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
+#: Words of up to so many bytes are hashed together, eight bytes at a time, longer ones each by itself.
+LONG = 64
+#: What stays of eight bytes, the first lowest, of which a word has so many.
+FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 class Shingler:
-    """Token sets of texts. A word's hash is the sum of its bytes' values times powers of an odd base, from the difference of two running sums, moved back to power 0."""
-
-    def __init__(self):
-        self.up, self.down = np.full((2, 2 * LONG + 1), 1, np.uint64)
-        for powers, base in ((self.up, BASE), (self.down, pow(BASE, -1, 1 << 64))):
-            powers[1:] = base
-            np.cumprod(powers, out=powers)
+    """Token sets of texts."""
 
     def hashes(self, text: str) -> np.ndarray:
-        """64-bit hashes of the words of a whole text, A-Z lower-cased, in order."""
+        """64-bit hashes of the words of a whole text, A-Z lower-cased, in order: the length, then each eight bytes, mixed one after the other."""
         raw = text.encode("utf-8", "surrogatepass").translate(LOWER)
         code = np.frombuffer(raw, np.uint8)
         edges = np.flatnonzero(np.concatenate([[True], SPACE[code]]) != np.concatenate([SPACE[code], [True]]))
         starts, ends = edges[::2], edges[1::2]
         sizes = ends - starts
-        out = np.empty(len(starts), np.uint64)
+        eight = np.ndarray((len(raw) + 1,), "<u8", raw + bytes(8), strides=(1,))
+        out = mix64(sizes)
         for i in np.flatnonzero(sizes > LONG):
             out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]])
-        short = np.flatnonzero(sizes <= LONG)
-        for words in np.split(short, np.searchsorted(starts[short], np.arange(LONG, len(code), LONG))):
-            if len(words):
-                first, last = starts[words[0]], ends[words[-1]]
-                sums = np.zeros(last - first + 1, np.uint64)
-                np.cumsum(BYTES[code[first:last]] * self.up[: last - first], out=sums[1:])
-                a, b = starts[words] - first, ends[words] - first
-                out[words] = (sums[b] - sums[a]) * self.down[a] + sizes[words].astype(np.uint64)
-        return mix64(out)
+        left, done = np.flatnonzero(sizes <= LONG), 0
+        while len(left):
+            rest = sizes[left] - done
+            out[left] = mix64(out[left] ^ (eight[starts[left] + done] & FIRST[np.minimum(rest, 8)]))
+            left, done = left[rest > 8], done + 8
+        return out
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Sorted distinct token hashes of a whole text."""
@@ -289,7 +281,14 @@ def sizes_allow(low: str, high: str, to_low: str, to_high: str):
     return (F.col(high) * 100 >= F.col(to_low) * PERCENT) & (F.col(to_high) * 100 >= F.col(low) * PERCENT)
 
 
-def try_pieces(trials: DataFrame, members: DataFrame, rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+def each_once(texts: DataFrame, repeats: DataFrame) -> DataFrame:
+    """Texts by doc_id and text_hash, of repeated rows (their keys, by d and h) one: copies are dropped where they are before any is moved."""
+    same = texts["doc_id"].eqNullSafe(repeats["d"]) & (texts["text_hash"] == repeats["h"])
+    often = texts.join(repeats, same, "left_semi").groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
+    return texts.join(repeats, same, "left_anti").unionByName(often)
+
+
+def try_pieces(trials: DataFrame, members: DataFrame, rows: DataFrame, classes: DataFrame, texts: DataFrame, repeats: DataFrame | None) -> DataFrame:
     """Links (a, b) among trials (key, piece): matrix bound first, then the qualifying pieces are opened. members: piece, key; rows: their matrix; classes: with the `group` that each is known to be in."""
     own = classes.select("key", F.col("n").alias("low"), F.col("n").alias("high"), "bins")
     asked = trials.join(own, "key").join(rows.select("piece", F.col("low").alias("to_low"), F.col("high").alias("to_high"), F.col("most").alias("to_bins")), "piece").filter(sizes_allow("low", "high", "to_low", "to_high"))
@@ -301,7 +300,7 @@ def try_pieces(trials: DataFrame, members: DataFrame, rows: DataFrame, classes:
     # Whose text is needed: a row each, so that the roles meet a set once.
     wanted = few(cut(roles.select("doc_id", "text_hash").distinct()))
     some = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["text_hash"] == wanted["text_hash"]), "left_semi")
-    sets = some.select("text").mapInArrow(sets_of, "key long, tokens binary")
+    sets = (some if repeats is None else each_once(some, repeats)).select("text").mapInArrow(sets_of, "key long, tokens binary")
     return sets.join(few(roles.select("key", "group", "piece", "slice", "query")), "key").groupBy("piece", "slice").applyInArrow(open_piece, "a long, b long")
 
 
@@ -340,6 +339,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")
     classes = cut(about_documents.filter("n > 0").groupBy("key", "n").agg(F.min(F.struct(first.alias("first"), "bins")).alias("x")).select("key", "n", "x.first.doc_id", "x.first.text_hash", "x.bins"))
     nodes = classes.select("key")
+    # A class's text is opened once, however many rows repeat it.
+    repeats = cut(about_documents.filter("n > 0").groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("d", "h"))
+    repeats = few(repeats) if repeats.limit(1).count() else None
 
     # Tokens frequent in prefixes come last in the order. That changes only the prefixes that have one; these are made anew.
     plain = passed.filter("shard is not null").select(*packed, F.lit(False).alias("again"))
@@ -360,7 +362,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     about = classes.select("key", "n", "bins")
     heads = cut(trials.select("piece").distinct())
     alone = heads.select("piece", F.col("piece").alias("key"))
-    stars = cut(try_pieces(trials, alone, matrix(alone, about), classes.withColumn("group", F.col("key")), texts))
+    stars = cut(try_pieces(trials, alone, matrix(alone, about), classes.withColumn("group", F.col("key")), texts, repeats))
     groups = cut(connected(nodes, stars))
 
     # Pieces of classes that have the same home, those in its group apart from the rest.
@@ -385,7 +387,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ask, answer = F.when(turned, F.col("to")).otherwise(F.col("piece")), F.when(turned, F.col("piece")).otherwise(F.col("to"))
     pairs = pairs.select(ask.alias("piece"), answer.alias("to"), "low", "high", "bins", "to_low", "to_high", "to_bins").mapInArrow(bounded(["piece", "to"]), "piece long, to long")
     across = cut(pairs).join(members, "piece").select("key", F.col("to").alias("piece"))
-    more = try_pieces(across, members, rows, classes.join(groups, "key"), texts)
+    more = try_pieces(across, members, rows, classes.join(groups, "key"), texts, repeats)
     whole = connected(nodes, stars.unionByName(more))
 
     named = classes.join(whole, "key").select("key", "n", "group", "doc_id")
