@@ -229,3 +229,37 @@ def test_token_sets_of_long_texts_and_long_words():
     assert len(hashes) == 2000 and len(set(zip(plain, hashes.tolist()))) == len(set(plain)) == len(set(hashes.tolist()))
     assert len(tokens_of(text)) == len({tuple(plain[i : i + 5]) for i in range(1996)})
     assert (tokens_of("q " + " ".join(words[3:6])) == tokens_of(" ".join(["Q", *words[3:6]]) + "\t")).all() and len(tokens_of(" ")) == len(tokens_of(None)) == 0
+
+
+def morse(letters, bits):
+    word = letters[0]
+    for _ in range(bits):
+        word += word.translate(str.maketrans(letters, letters[::-1]))
+    return word
+
+
+def test_words_that_collide_in_polynomials_stay_apart(spark):
+    tokens_of = jaccard_join.Shingler()
+    for bits in (3, 6, 10, 12):  # Thue-Morse words and their complements agree modulo powers of two under any odd base
+        assert len(set(tokens_of.hashes(f"{morse('ab', bits)} {morse('ba', bits)}").tolist())) == 2
+    texts = [" ".join([morse(x, 10)] * 5) for x in ("ab", "ba")]
+    found = jaccard_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {0: 0, 1: 1}
+
+
+def test_rows_that_repeat_are_opened_once(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    rows = rows.unionByName(spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(f"{text} w1000").alias("text")))
+    rows = rows.unionByName(spark.createDataFrame([(0, f"w2000 {text}"), (5, "another text of six words here")], "doc_id long, text string"))
+    found = {(r["doc_id"], r["component_id"]): r["count"] for r in jaccard_join.near_duplicates(rows.repartition(8)).groupBy("doc_id", "component_id").count().collect()}
+    assert found == {(1, 0): 100_000, (None, 0): 100_000, (0, 0): 1, (5, 5): 1}
+
+
+def test_languages_whose_rows_repeat_are_learned(spark):
+    english, german = "the quick brown fox jumps over the lazy dog while rain falls", "der schnelle braune fuchs springt über den faulen hund während regen fällt"
+    for k in range(4):
+        rows = spark.range(3000).select(F.lit(10**6 + k).alias("doc_id"), F.lit(f"{german} {k}").alias("text"), F.lit("de").alias("lang"))
+        rows = rows.unionByName(spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit(f"{english} "), F.col("id") + k).alias("text"), F.lit("en").alias("lang")))
+        sample = Counter(lang for lang, _ in language_id.training_sample(rows, F.lit(True), 50, 100, 10))
+        assert sample == {"de": 1, "en": 50}

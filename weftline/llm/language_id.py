@@ -204,12 +204,12 @@ def fit(texts: list[tuple[str, str]]) -> Model | None:
 
 
 def training_sample(docs: DataFrame, training, per_language: int, stretch: int, languages: int) -> list[tuple[str, str]]:
-    """(lang, stretch of text) of at most per_language rows a language. Rows are thinned by hash before the window, so a frequent language never sits in one task."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & training)
-    counts = cut(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages))
-    key = F.xxhash64(F.lit(3), F.col("doc_id"), F.col("text"))
-    thinned = rows.withColumn("key", key).join(F.broadcast(counts), "lang").filter(F.pmod("key", F.lit(1 << 20)) < F.col("count").cast("double") ** -1 * (3 * per_language) * (1 << 20) + 1)
-    first = thinned.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id", "text"))).filter(F.col("place") <= per_language)
+    """(lang, stretch of text) of at most per_language distinct rows a language. Rows are thinned by hash before the window, so a frequent language never sits in one task, and rows that repeat count as one, so that they never go all together."""
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & training).withColumn("key", F.xxhash64(F.lit(3), F.col("doc_id"), F.col("text")))
+    counts = cut(rows.select("lang", "key").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages))
+    thinned = rows.join(F.broadcast(counts), "lang").filter(F.pmod("key", F.lit(1 << 20)) < F.col("count").cast("double") ** -1 * (3 * per_language) * (1 << 20) + 1)
+    once = thinned.groupBy("lang", "key").agg(F.min(F.struct("doc_id", "text")).alias("row")).select("lang", "key", "row.*")
+    first = once.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id", "text"))).filter(F.col("place") <= per_language)
     start = F.pmod(F.col("key"), F.greatest(F.lit(1), F.char_length("text") - stretch + 1)).cast("int") + 1
     out = first.select("lang", "key", F.substring(F.col("text"), start, F.lit(stretch)).alias("text")).collect()
     return [(r["lang"], r["text"]) for r in sorted(out, key=lambda r: (r["key"], r["lang"], r["text"]))]
