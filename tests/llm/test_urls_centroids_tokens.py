@@ -206,7 +206,7 @@ def test_limbs():
 # --- token alignment
 
 TEXTS = [
-    None, "", " ", "a", "hello world", "hello world", "  two  spaces\n\nand\tlines ", "<|endoftext|> <s> </s> <unk> <0x0A> plain", "naïve café – größe 日本語 🙂 مرحبا", "▁ a piece's own space", "\x00 nul", "word " * 3000, "x" * 2000, "été " * 50 + "token=ABCDEFGH",
+    None, "", " ", "a", "hello world", "hello world", "  two  spaces\n\nand\tlines ", "<|endoftext|> <s> </s> <unk> <0x0A> plain", "naïve café – größe 日本語 🙂 مرحبا", "▁ a piece's own space", "\x00 nul", "word " * 3000, "x" * 2000, " a", "a ", "a\n b\n  c \n d", "a\u00a0 b \u3000c \u2009 d \u200b e", "it 's I 'll x'd !! ?a 1 2  3 '", "▁▁ ▁a ▁", "été " * 50 + "token=ABCDEFGH",
 ]
 
 
@@ -256,7 +256,7 @@ def plain_alignment(texts):
 def aligned(spark):
     rows = [(i, t, "x", 1) for i, t in enumerate(TEXTS)] + [(None, "hello null world", "x", 1), (4, "hello world", "x", 1), ((1 << 62) + 1, "a large id", "x", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, block string, pair long").repartition(2)
-    return [r[:2] for r in rows], token_alignment.Alignment(docs, block_bytes=500)
+    return [r[:2] for r in rows], token_alignment.Alignment(docs, block_letters=500)
 
 
 def test_alignment(aligned):

@@ -1,12 +1,13 @@
 """Alignment of two tokenizers' tokens over whole texts.
 
-Texts are cut into tokens once and written as blocks of documents with packed ids (a table in the shared folder). Token lengths in bytes come
+Texts are cut at spaces where no token of either side can span (see CHUNK), a chunk is encoded once while a worker remembers it, and
+the ids are written as blocks of documents (a table in the shared folder). Token lengths in bytes come
 from tables by id; their running sums are the ends of a block's tokens. Two sorted lists of ends are merged: where both end, a
 group closes, and each stretch between two ends of either lies in just one token of each side, so it is a link. Each block gives its
 pairs of ids with their numbers of links; Spark groups them to corpus-wide counts, takes each id's highest on either side, and
 joins both back to the blocks' pairs. A block meets its own pairs by a cogroup, aligns again, and adds up its documents' links.
 
-No task holds more than a block: BLOCK_BYTES of text, or one longer document. A pair that is frequent everywhere has one row a block, whatever
+No task holds more than a block: BLOCK_LETTERS letters of text, or one longer document. A pair that is frequent everywhere has one row a block, whatever
 its links. Highest counts by id are broadcast: there are at most as many as the vocabulary has ids.
 
 Defined results: a text that is null or empty, or whose tokens of either side don't spell it, has no tokens, zeros and an empty digest;
@@ -18,8 +19,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -27,11 +30,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, shared_folder, table
+from weftline.llm.common import Words, cut, expand, shared_folder, table
 
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK_BYTES, CALL_BYTES = 4 << 20, 1 << 19
+BLOCK_LETTERS, CALL_LETTERS = 1 << 20, 1 << 17
+#: A space between a character that is none and one that is surely no white space. Byte-level tokens hold a space only in front of others or among
+#: white space, and pieces hold one only in front (checked when a model is read), so both sides begin a token there.
+CHUNK = re.compile(r"(?<=[^ ]) (?=[!-~\w])")
+#: A chunk that can stand behind another one.
+PLAIN = re.compile(r"[!-~\w](.*[^ ])?\Z", re.DOTALL)
+#: Chunks and letters of them that a worker remembers.
+MOST_CHUNKS, MOST_LETTERS = 200_000, 1 << 22
 SHIFT = 32
 BLOCKS = "block long, documents binary, nulls binary, a_lengths binary, b_lengths binary, a binary, b binary"
 LINKS = "doc_id long, a_place long, b_place long, a int, b int, start long, end long"
@@ -72,25 +82,92 @@ class Pieces:
 
         self.model = SentencePieceProcessor(model_proto=content)
         piece = self.model.id_to_piece
+        if spanning := [p for p in map(piece, range(self.model.get_piece_size())) if "▁" in p.lstrip("▁")]:
+            raise ValueError(f"pieces span spaces: {spanning[:3]}")
         self.bytes = [bytes([int(piece(i)[3:5], 16)]) if self.model.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.model.get_piece_size())]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
 
 
-_LOADED: dict[bytes, object] = {}
-
-
-def loaded(kind, content: bytes):
-    """One tokenizer of a content a worker process."""
-    key = hashlib.sha256(content).digest()
-    if key not in _LOADED:
-        _LOADED[key] = kind(content)
-    return _LOADED[key]
-
-
-def spelled(vocabulary: list[bytes], ids: list[int]) -> bytes:
-    return b"".join(map(vocabulary.__getitem__, ids))
+def id_type(sizes) -> type:
+    """Of packed ids of a vocabulary."""
+    return np.uint16 if len(sizes) <= 1 << 16 else np.int32
+
+
+class Side:
+    """Ids of the remembered chunks on one side, one chunk after the other, and whether they spell their chunks."""
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer, self.type = tokenizer, id_type(tokenizer.bytes)
+        self.sizes = np.array([len(x) for x in tokenizer.bytes], np.int64)
+        self.ids, self.lengths, self.right = np.empty(0, self.type), np.empty(0, np.int64), np.empty(0, bool)
+
+    def spells(self, ids: list[int], text: str) -> bool:
+        return b"".join(map(self.tokenizer.bytes.__getitem__, ids)) == f" {text}".encode()
+
+    def add(self, chunks: list[str], together: bool) -> None:
+        """together: the chunks may be encoded as one text, for a token begins at each."""
+        if together and self.spells(ids := self.tokenizer.encode([text := " ".join(chunks)])[0], text):
+            stops = np.cumsum([len(c.encode()) + 1 for c in chunks])
+            lengths = np.diff(np.searchsorted(np.cumsum(self.sizes[ids]), stops) + 1, prepend=0)
+            right = np.ones(len(chunks), bool)
+        else:
+            found = self.tokenizer.encode(chunks)
+            right = [self.spells(x, c) for x, c in zip(found, chunks, strict=True)]
+            ids, lengths = [i for x in found for i in x], [len(x) for x in found]
+        self.ids = np.concatenate([self.ids, np.array(ids, self.type)])
+        self.lengths, self.right = np.concatenate([self.lengths, lengths]), np.concatenate([self.right, right])
+
+    def of(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks, and how many each has."""
+        lengths = self.lengths[chunks]
+        return self.ids[expand((np.cumsum(self.lengths) - self.lengths)[chunks], lengths)], lengths
+
+
+class Encoder:
+    """Both sides' ids of texts, by chunk."""
+
+    def __init__(self, *tokenizers) -> None:
+        self.tokenizers = tokenizers
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.letters, self.sides = Words(), 0, [Side(t) for t in self.tokenizers]
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each side ids of all texts, and how many each text has."""
+        if len(self.words) > MOST_CHUNKS or self.letters > MOST_LETTERS:
+            self.forget()
+        split = [CHUNK.split(t) if t else [] for t in texts]
+        counts, old = np.array([len(x) for x in split], np.int64), len(self.words)
+        chunks = self.words.numbers([c for x in split for c in x])
+        if new := self.words.order[old:]:
+            self.letters += sum(map(len, new))
+            for together, some in groupby(new, key=lambda c: bool(PLAIN.match(c))):
+                some = list(some)
+                for start, stop in calls(some, CALL_LETTERS):
+                    for side in self.sides:
+                        side.add(some[start:stop], together)
+        texts_of = np.repeat(np.arange(len(texts)), counts)
+        wrong = np.bincount(texts_of, ~np.logical_and(*[side.right[chunks] for side in self.sides]), len(texts)) > 0
+        kept, out = ~wrong[texts_of], []
+        for side in self.sides:
+            ids, lengths = side.of(chunks[kept])
+            out.append((ids, np.bincount(texts_of[kept], lengths, len(texts)).astype(np.int64)))
+        return out
+
+
+_READ: dict[bytes, Encoder] = {}
+
+
+def encoder(byte_level: bytes, pieces: bytes) -> Encoder:
+    """A worker process keeps the encoder it used last, with the chunks that it remembers."""
+    key = hashlib.sha256(byte_level + pieces).digest()
+    if key not in _READ:
+        _READ.clear()
+        _READ[key] = Encoder(ByteLevel(byte_level), Pieces(pieces))
+    return _READ[key]
 
 
 def calls(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
@@ -100,44 +177,25 @@ def calls(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
         if size and size + len(text or "") > most:
             yield start, k
             start, size = k, 0
-        size += len(text or "")
+        size += len(text or "") + 16
     if start < len(texts):
         yield start, len(texts)
 
 
-def packed(parts: list[list[int]]) -> bytes:
-    return b"".join(np.array(p, np.int32).tobytes() for p in parts)
-
-
-def encoded(a_file, b_file, block_bytes: int = BLOCK_BYTES):
+def encoded(a_file, b_file, block_letters: int = BLOCK_LETTERS):
     """Blocks of documents with the ids of both sides. Columns: doc_id as text (it may be null), text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, b = loaded(ByteLevel, a_file.value), loaded(Pieces, b_file.value)
+        encode = encoder(a_file.value, b_file.value)
         number = TaskContext.get().partitionId() << 32
-        held, size = [], 0
-
-        def block():
-            ids = np.array([int(h[0] or 0) for h in held], np.int64)
-            nulls = np.array([h[0] is None for h in held], np.uint8)
-            lengths = [np.array([len(h[side]) for h in held], np.int64).tobytes() for side in (1, 2)]
-            return pd.DataFrame({"block": [number], "documents": [ids.tobytes()], "nulls": [nulls.tobytes()], "a_lengths": lengths[:1], "b_lengths": lengths[1:], "a": [packed([h[1] for h in held])], "b": [packed([h[2] for h in held])]})
-
         for frame in frames:
             documents, texts = frame["doc_id"].tolist(), frame["text"].tolist()
-            for start, stop in calls(texts, CALL_BYTES):
-                asked = [t or "" for t in texts[start:stop]]
-                for document, text, x, y in zip(documents[start:stop], asked, a.encode(asked), b.encode(asked), strict=True):
-                    want = f" {text}".encode()
-                    if not text or spelled(a.bytes, x) != want or spelled(b.bytes, y) != want:
-                        x, y, want = [], [], b""
-                    held.append((document, np.array(x, np.int32), np.array(y, np.int32)))
-                    size += len(want) + 64
-                    if size >= block_bytes:
-                        yield block()
-                        number, held, size = number + 1, [], 0
-        if held:
-            yield block()
+            for start, stop in calls(texts, block_letters):
+                (a, n_a), (b, n_b) = encode(texts[start:stop])
+                ids = np.array([int(d or 0) for d in documents[start:stop]], np.int64)
+                nulls = np.array([d is None for d in documents[start:stop]], np.uint8)
+                yield pd.DataFrame({"block": [number], **{k: [x.tobytes()] for k, x in (("documents", ids), ("nulls", nulls), ("a_lengths", n_a), ("b_lengths", n_b), ("a", a), ("b", b))}})
+                number += 1
 
     return run
 
@@ -148,7 +206,7 @@ class Aligned:
     def __init__(self, row, a_sizes: np.ndarray, b_sizes: np.ndarray) -> None:
         self.documents, self.nulls = np.frombuffer(row.documents, np.int64), np.frombuffer(row.nulls, np.uint8).astype(bool)
         self.n_a, self.n_b = np.frombuffer(row.a_lengths, np.int64), np.frombuffer(row.b_lengths, np.int64)
-        self.a, self.b = np.frombuffer(row.a, np.int32), np.frombuffer(row.b, np.int32)
+        self.a, self.b = (np.frombuffer(x, id_type(sizes)).astype(np.int32) for x, sizes in ((row.a, a_sizes), (row.b, b_sizes)))
         a_ends, b_ends = np.cumsum(a_sizes[self.a]), np.cumsum(b_sizes[self.b])
         #: Both lists are sorted already; a stable sort merges them.
         merged = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
@@ -246,7 +304,7 @@ def totals(a_sizes: np.ndarray, b_sizes: np.ndarray):
 class Alignment:
     """Encodes docs (doc_id, text) once; its tables then come from the written blocks."""
 
-    def __init__(self, docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES, block_bytes: int = BLOCK_BYTES) -> None:
+    def __init__(self, docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES, block_letters: int = BLOCK_LETTERS) -> None:
         spark = docs.sparkSession
         contents = []
         for path in (byte_level, pieces):
@@ -256,7 +314,7 @@ class Alignment:
         self.sizes = [np.array([len(x) for x in kind(c).bytes], np.int64) for kind, c in zip((ByteLevel, Pieces), contents, strict=True)]
         folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
         rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-        rows.mapInPandas(encoded(*files, block_bytes), BLOCKS).write.parquet(folder)
+        rows.mapInPandas(encoded(*files, block_letters), BLOCKS).write.parquet(folder)
         self.blocks = spark.read.schema(BLOCKS).parquet(folder)
         self.block_pairs = cut(self.blocks.mapInPandas(pairs_of(*self.sizes), "block long, pair long, links long"))
 
