@@ -26,6 +26,7 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,6 +96,11 @@ def id_type(sizes) -> type:
     return np.uint16 if len(sizes) <= 1 << 16 else np.int32
 
 
+def squeezed(ids: np.ndarray) -> bytes:
+    """Packed ids of a block, compressed: they are written once and shuffled once."""
+    return zstandard.compress(ids.tobytes(), 3)
+
+
 class Side:
     """Ids of the remembered chunks on one side, one chunk after the other, and whether they spell their chunks."""
 
@@ -194,7 +200,7 @@ def encoded(a_file, b_file, block_letters: int = BLOCK_LETTERS):
                 (a, n_a), (b, n_b) = encode(texts[start:stop])
                 ids = np.array([int(d or 0) for d in documents[start:stop]], np.int64)
                 nulls = np.array([d is None for d in documents[start:stop]], np.uint8)
-                yield pd.DataFrame({"block": [number], **{k: [x.tobytes()] for k, x in (("documents", ids), ("nulls", nulls), ("a_lengths", n_a), ("b_lengths", n_b), ("a", a), ("b", b))}})
+                yield pd.DataFrame({"block": [number], **{k: [x.tobytes()] for k, x in (("documents", ids), ("nulls", nulls), ("a_lengths", n_a), ("b_lengths", n_b))}, "a": [squeezed(a)], "b": [squeezed(b)]})
                 number += 1
 
     return run
@@ -206,7 +212,7 @@ class Aligned:
     def __init__(self, row, a_sizes: np.ndarray, b_sizes: np.ndarray) -> None:
         self.documents, self.nulls = np.frombuffer(row.documents, np.int64), np.frombuffer(row.nulls, np.uint8).astype(bool)
         self.n_a, self.n_b = np.frombuffer(row.a_lengths, np.int64), np.frombuffer(row.b_lengths, np.int64)
-        self.a, self.b = (np.frombuffer(x, id_type(sizes)).astype(np.int32) for x, sizes in ((row.a, a_sizes), (row.b, b_sizes)))
+        self.a, self.b = (np.frombuffer(zstandard.decompress(x), id_type(sizes)).astype(np.int32) for x, sizes in ((row.a, a_sizes), (row.b, b_sizes)))
         a_ends, b_ends = np.cumsum(a_sizes[self.a]), np.cumsum(b_sizes[self.b])
         #: Both lists are sorted already; a stable sort merges them.
         merged = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
