@@ -6,7 +6,9 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import events, ledger, relational, search, similarity
+from weftline.functions import ranges
+from weftline.operators import evaluate, events, ledger, relational, search, similarity
+from weftline.plans import compiler
 from weftline.plans.expression import ExpressionError, expression_hash, parse, required_history, validate
 from weftline.sources import files
 from weftline.streaming import telemetry
@@ -62,17 +64,56 @@ def test_risk_budget_is_equal_for_equal_risks(spark):
     assert weights[0] == pytest.approx(0.5) and sum(weights.values()) == pytest.approx(1)
 
 
-def test_ledger_keeps_its_books(spark):
+def test_candidates_of_runs(spark):
     rng, day = random.Random(3), date(2020, 1, 1)
-    data = [(code, day + timedelta(i), p, p * 1.01, 1e4, rng.random(), code + 1) for code in range(6) for i in range(40) for p in [10 + code + rng.random()]]
+    data = [(code, day + timedelta(i), 1.0, 1.0, 1e4, rng.random(), code + 1) for code in range(6) for i in range(12)]
     panel = spark.createDataFrame(data, "ts_code long, trade_date date, open double, close double, vol double, factor double, univ_rank int")
-    runs = [ledger.Run("a", positions=3), ledger.Run("b", positions=2, stop_loss=0.02)]
-    found = {r.run_id: r for r in ledger.integrity(ledger.run_ledgers(spark, panel, runs)).collect()}
-    assert set(found) == {"a", "b"}
-    assert all(r.repeated == 0 and r.least_cash >= -1e-6 and r.gap < 1e-6 for r in found.values())
-    fills = ledger.run_ledgers(spark, panel, runs, fills=True)
-    held = fills.groupBy("run_id", "ts_code").agg(F.sum(F.when(F.col("side") == "buy", F.col("quantity")).otherwise(-F.col("quantity"))).alias("q"))
-    assert held.filter("q < 0").count() == 0
+    found = ledger.candidates(panel, spark.createDataFrame([ledger.asdict(ledger.Run("a", positions=2, universe=5)), ledger.asdict(ledger.Run("b", positions=1, every=4, direction=-1))])).collect()
+    signal = {(c, d + timedelta(1)): x for c, d, _, _, _, x, _ in data}
+    for run, every, most, universe, sign in (("a", 5, 2, 5, -1), ("b", 4, 1, 500, 1)):
+        picks = {(r["trade_date"], r["ts_code"]) for r in found if r["run_id"] == run and r["picked"]}
+        want = {(d, c) for i in range(1, 12) if i % every == 0 for d in [day + timedelta(i)] for c in sorted((c for c in range(6) if c + 1 <= universe), key=lambda c: sign * signal[c, d])[:most]}
+        assert picks == want
+        assert len([r for r in found if r["run_id"] == run]) == 12 * len({c for _, c in picks})
+
+
+def test_closes_are_carried_over_pauses(spark):
+    day = lambda i: date(2020, 1, 1) + timedelta(i)
+    rows = [(1, day(i), float(i)) for i in range(8)] + [(2, day(2), None), (2, day(3), 5.0), (2, day(6), None), (3, day(7), 9.0)]
+    found = evaluate.previous_close(spark.createDataFrame(rows, "ts_code long, trade_date date, close double")).collect()
+    own = {(c, d): x for c, d, x in rows}
+    want = []
+    for code in (1, 2, 3):
+        last = None
+        for i in range(8):
+            last = own.get((code, day(i))) if own.get((code, day(i))) is not None else last
+            want.append((code, day(i), last))
+    assert sorted((tuple(r) for r in found), key=str) == sorted(want, key=str)
+
+
+def test_history_counts_rows_of_paused_entities(spark):
+    day = lambda i: date(2020, 1, 1) + timedelta(i)
+    rows = [(1, day(i), float(i)) for i in range(300)] + [(2, day(i), float(i)) for i in (0, 1, 2, 3, 290, 295)]
+    panel = spark.createDataFrame(rows, "ts_code long, trade_date date, close double")
+    expression = "ts_mean(close,4)"
+    kept = compiler.with_history(panel, expression, day(288), day(296))
+    inside = F.col("trade_date").between(day(288), day(296))
+    values = lambda p: {(r["ts_code"], r["trade_date"]): r["factor"] for r in compiler.factor(p, expression).filter(inside).collect()}
+    assert values(kept) == values(panel) and values(kept)[2, day(290)] is not None
+    assert kept.count() < 30 and kept.filter("ts_code = 2").count() >= 5
+
+
+def test_asof_join_over_ranges(spark, monkeypatch):
+    draw = random.Random(5)
+    left = [(draw.choice([1, 1, 1, 2, None]), draw.randrange(400), i) for i in range(500)]
+    right = [(draw.choice([1, 1, 1, 2]), t, t * 10) for t in draw.sample(range(400), 120)]
+    a, b = spark.createDataFrame(left, "user long, at long, id long"), spark.createDataFrame(right, "user long, at long, value long")
+    plain = sorted((tuple(r) for r in relational.asof_join(a, b, "user", "at", "value").collect()), key=str)
+    monkeypatch.setattr(relational, "GROUP_ROWS", 10)
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 60)
+    assert sorted((tuple(r) for r in relational.asof_join(a, b, "user", "at", "value").collect()), key=str) == plain
+    best = lambda u, t: max(((x, v) for w, x, v in right if w == u and x <= t), default=(0, None))[1]
+    assert plain == sorted(((u, t, i, best(u, t)) for u, t, i in left), key=str)
 
 
 def test_language_refuses_what_it_does_not_allow():

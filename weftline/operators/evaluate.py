@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.windows import average_rank, day, history, safe_corr
-from weftline.sources.panel import LAYERS, finite, purged
+from weftline.sources.panel import LAYERS, calendar, finite, purged
 
 #: Least standard deviation of a session's factor, as a share of its mean size plus one (fixed value).
 LEAST_SPREAD = 1e-10
@@ -154,7 +154,15 @@ def factor_correlations(panel: DataFrame, names: list[str]) -> DataFrame:
 
 
 def previous_close(panel: DataFrame) -> DataFrame:
-    """Each entity's last known close on every session of the market (carried forward over its pauses)."""
-    grid = panel.select("ts_code").distinct().join(panel.select("trade_date").distinct())
-    filled = grid.join(panel.select("ts_code", "trade_date", "close"), ["ts_code", "trade_date"], "left")
-    return filled.withColumn("close", F.last("close", ignorenulls=True).over(history().rowsBetween(Window.unboundedPreceding, 0)))
+    """Each entity's last known close on every session of the market (carried forward over its pauses; null before its first).
+
+    Each row is copied to the sessions up to the entity's next row, so the rows that come out are made from their own source.
+    """
+    at = F.col("market_session_index")
+    sessions = calendar(panel)
+    own = panel.select("ts_code", "trade_date", "close").join(sessions, "trade_date").withColumn("close", F.last("close", ignorenulls=True).over(history().rowsBetween(Window.unboundedPreceding, 0)))
+    until = F.coalesce(F.lead(at).over(history()), F.lit(sessions.count()))
+    own = own.withColumn("_until", F.greatest(at, until - 1)).withColumn("_first", F.row_number().over(history()) == 1)
+    # The first row also makes the sessions before it.
+    own = own.select("ts_code", "close", at.alias("_own"), F.explode(F.sequence(F.when(F.col("_first"), 0).otherwise(at), F.col("_until"))).alias("_at"))
+    return own.join(sessions, F.col("_at") == at).select("ts_code", "trade_date", F.when(F.col("_at") >= F.col("_own"), F.col("close")).alias("close"))

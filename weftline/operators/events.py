@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.ranges import cut, quantiles
 from weftline.functions.windows import history
 from weftline.sources.panel import calendar
 
@@ -33,16 +34,18 @@ def bucket(gap) -> F.Column:
 
 def bucket_table(events: DataFrame, h: int) -> DataFrame:
     x = F.col(f"fwd_{h}")
-    return events.withColumn("bucket", bucket(F.col("gap"))).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ts_code").alias("entities"), F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"), F.avg((x > 0).cast("double")).alias("win_rate"))
+    rows = cut(events.select("ts_code", bucket(F.col("gap")).alias("bucket"), x))
+    found = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ts_code").alias("entities"), F.avg(x).alias("mean"), F.avg((x > 0).cast("double")).alias("win_rate"))
+    return found.join(quantiles(rows, ["bucket"], f"fwd_{h}", {"median": 0.5}), "bucket", "left")
 
 
 def group_summary(events: DataFrame, by: str, h: int) -> DataFrame:
     """n, mean, std, quantiles and t of a horizon's returns."""
     x = F.col(f"fwd_{h}")
-    q = F.percentile(x, F.array(*[F.lit(v) for v in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    found = events.filter(x.isNotNull()).groupBy(by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), q.alias("q"))
+    rows = cut(events.filter(x.isNotNull() & F.col(by).isNotNull()).select(by, x))
+    found = rows.groupBy(by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"))
     found = found.withColumn("t", F.try_divide("mean", F.try_divide("std", F.sqrt("n"))))
-    return found.select(by, "n", "mean", "std", "t", *[F.get("q", F.lit(i)).alias(name) for i, name in enumerate(("q05", "q25", "q50", "q75", "q95"))])
+    return found.join(quantiles(rows, [by], f"fwd_{h}", {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}), by)
 
 
 def grid(events: DataFrame, thresholds: tuple[float, ...], horizons: tuple[int, ...]) -> DataFrame:

@@ -1,24 +1,15 @@
-"""Ledger back-test: runs that trade session by session, with cash, lots, volume caps, impact, fees and exits.
-
-What an order does depends on the state that earlier orders left, so a run is sequential. Runs are independent: the panel's candidates are
-joined to runs by Spark and each run is streamed through one small state (open positions), in session order. A
-run's positions are bounded by its `positions`, however long its history.
-"""
+"""Candidates of ledger back-tests: what each configuration picks on its rebalance sessions, and the quotes that it needs."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import asdict, dataclass
-from itertools import groupby
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.windows import history
 
-DAILY = "run_id string, trade_date date, cash double, invested double, nav double, positions long, traded double, fees double"
-FILLS = "run_id string, trade_date date, ts_code long, side string, quantity double, price double, value double, fee double, reason string"
+__all__ = ["Run", "asdict", "candidates"]
 
 
 @dataclass(frozen=True)
@@ -26,15 +17,9 @@ class Run:
     """One configuration."""
 
     run_id: str
-    cash: float = 1_000_000.0
     every: int = 5  # sessions between rebalances
     positions: int = 20
     universe: int = 500
-    lot: float = 1.0
-    volume_cap: float = 0.1  # of the session's volume
-    impact_bps: float = 5.0
-    fee_bps: float = 2.0
-    stop_loss: float = 0.0  # fraction below the entry price; 0: none
     direction: int = 1
 
 
@@ -51,81 +36,3 @@ def candidates(panel: DataFrame, runs: DataFrame) -> DataFrame:
     held = picks.select("run_id", "ts_code").distinct()
     quotes = ranked.join(held, ["run_id", "ts_code"], "left_semi").join(picks, ["run_id", "ts_code", "trade_date"], "left")
     return quotes.select("run_id", "trade_date", "session", "ts_code", "open", "close", "vol", F.coalesce("picked", F.lit(False)).alias("picked"))
-
-
-class Book:
-    """State of one run."""
-
-    def __init__(self, run: Run):
-        self.run, self.cash, self.held, self.fills = run, run.cash, {}, []
-
-    def trade(self, day, code: int, wanted: float, quote, reason: str) -> None:
-        """Buy (wanted > 0) or sell at the open with impact, in lots, within volume and cash."""
-        run = self.run
-        size = min(abs(wanted), run.volume_cap * quote.vol)
-        price = quote.open * (1 + (1 if wanted > 0 else -1) * run.impact_bps / 10_000)
-        if wanted > 0:
-            size = min(size, self.cash / (price * (1 + run.fee_bps / 10_000)))
-        elif code in self.held:
-            size = min(size, self.held[code][0])
-        size = size // run.lot * run.lot
-        if size <= 0:
-            return
-        value = size * price
-        fee = round(value * run.fee_bps / 10_000, 2)
-        old, entry = self.held.get(code, (0.0, 0.0))
-        if wanted > 0:
-            self.cash -= value + fee
-            self.held[code] = (old + size, (old * entry + value) / (old + size))
-        else:
-            self.cash += value - fee
-            self.held[code] = (old - size, entry)
-            if old - size <= 0:
-                del self.held[code]
-        self.fills.append((run.run_id, day, code, "buy" if wanted > 0 else "sell", size, price, value, fee, reason))
-
-    def step(self, day, session: int, quotes: dict, last: dict) -> tuple:
-        """One session: exits, then on rebalance sessions sales before purchases, then the day's row."""
-        run, before = self.run, len(self.fills)
-        if run.stop_loss:
-            for code in sorted(self.held):
-                if code in quotes and quotes[code].open <= self.held[code][1] * (1 - run.stop_loss):
-                    self.trade(day, code, -self.held[code][0], quotes[code], "stop")
-        picks = [c for c, q in quotes.items() if q.picked]
-        if picks:
-            nav = self.cash + sum(n * last.get(c, 0.0) for c, (n, _) in self.held.items())
-            target = {c: nav / run.positions / quotes[c].open // run.lot * run.lot for c in picks if quotes[c].open > 0}
-            change = {c: target.get(c, 0.0) - self.held.get(c, (0.0,))[0] for c in {*target, *self.held} if c in quotes}
-            for code in sorted(change, key=lambda c: (change[c] > 0, c)):
-                if change[code]:
-                    self.trade(day, code, change[code], quotes[code], "rebalance")
-        last.update({c: q.close for c, q in quotes.items()})
-        invested = sum(n * last.get(c, 0.0) for c, (n, _) in self.held.items())
-        new = self.fills[before:]
-        return (run.run_id, day, self.cash, invested, self.cash + invested, len(self.held), sum(f[6] for f in new), sum(f[7] for f in new))
-
-
-def run_ledgers(spark: SparkSession, panel: DataFrame, runs: list[Run], fills: bool = False) -> DataFrame:
-    """Daily rows of all runs, or their fills. panel needs `factor` and univ_rank."""
-    by_id = {r.run_id: r for r in runs}
-    rows = candidates(panel, spark.createDataFrame([asdict(r) for r in runs]))
-
-    def play(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        every = (row for batch in batches for row in batch.itertuples(index=False))
-        for run_id, own in groupby(every, key=lambda r: r.run_id):
-            book, last, out = Book(by_id[run_id]), {}, []
-            for (day, session), quotes in groupby(own, key=lambda r: (r.trade_date, r.session)):
-                out.append(book.step(day, session, {q.ts_code: q for q in quotes}, last))
-                if len(out) >= 1024 or len(book.fills) >= 4096:
-                    yield pd.DataFrame(book.fills if fills else out, columns=names)
-                    out, book.fills = [], []
-            yield pd.DataFrame(book.fills if fills else out, columns=names)
-
-    names = [c.split()[0] for c in (FILLS if fills else DAILY).split(", ")]
-    ordered = rows.repartition("run_id").sortWithinPartitions("run_id", "trade_date", "ts_code")
-    return ordered.mapInPandas(play, FILLS if fills else DAILY)
-
-
-def integrity(daily: DataFrame) -> DataFrame:
-    """By run: sessions, repeated sessions, the lowest cash, and the largest gap between nav and its parts."""
-    return daily.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count_distinct("trade_date")).alias("repeated"), F.min("cash").alias("least_cash"), F.max(F.abs(F.col("nav") - F.col("cash") - F.col("invested"))).alias("gap"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.ranges import cut, quantiles
+
 
 def signature(series: DataFrame, by: str, blocks: int = 48, when: str = "trade_date", r: str = "ret") -> DataFrame:
     """block, n, mean, z of each series: means of chronological blocks of equal length, scaled within the series (null where they don't vary)."""
@@ -15,14 +17,14 @@ def signature(series: DataFrame, by: str, blocks: int = 48, when: str = "trade_d
 
 
 def robust_scale(rows: DataFrame, column: str, bound: float = 3.0) -> DataFrame:
-    """(x - median) / (1.4826 MAD), clipped; median and MAD are two one-row aggregates."""
+    """(x - median) / (1.4826 MAD), clipped; median and MAD are exact and come to the driver as two numbers."""
+    rows = cut(rows)
     x = F.col(column)
-    middle = rows.agg(F.percentile(x, F.lit(0.5)).alias("_med"))
-    with_middle = rows.join(F.broadcast(middle))  # one row
-    spread = with_middle.agg(F.percentile(F.abs(x - F.col("_med")), F.lit(0.5)).alias("_mad"))
-    scaled = F.try_divide(x - F.col("_med"), 1.4826 * F.col("_mad"))
-    kept = F.when(scaled.isNotNull(), F.least(F.greatest(scaled, F.lit(-bound)), F.lit(bound)))
-    return with_middle.join(F.broadcast(spread)).withColumn(column, kept).drop("_med", "_mad")
+    number = lambda v: F.lit(v).cast("double")
+    middle = number(quantiles(rows.select(column), [], column, {"q": 0.5}).first()["q"])
+    spread = number(quantiles(rows.select(F.abs(x - middle).alias("_away")), [], "_away", {"q": 0.5}).first()["q"])
+    scaled = F.try_divide(x - middle, 1.4826 * spread)
+    return rows.withColumn(column, F.when(scaled.isNotNull(), F.least(F.greatest(scaled, F.lit(-bound)), F.lit(bound))))
 
 
 def fold_summary(folds: DataFrame, by: str, score: str) -> DataFrame:

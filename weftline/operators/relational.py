@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.ranges import carried, cut
+
+#: Rows of one group, both sides together, up to which it is sorted in one task.
+GROUP_ROWS = 1 << 20
+
 
 def asof_join(left: DataFrame, right: DataFrame, by: str, when: str, value: str) -> DataFrame:
     """left with the last `value` of right at or before its time, by group.
 
     Both sides are merged in one sorted pass (union and a running last value), so no pair of rows is built. At equal times the right side counts.
+    Where a group has more than GROUP_ROWS rows, the pass goes over sorted ranges, each of which hands its last value on, so that a hot group is spread over many tasks.
     """
     a = left.select(*left.columns, F.lit(None).cast(right.schema[value].dataType).alias("_value"), F.lit(1).alias("_side"))
     b = right.select(*[F.col(c) if c in (by, when) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns], F.col(value).alias("_value"), F.lit(0).alias("_side"))
-    past = Window.partitionBy(by).orderBy(when, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("_value", F.last("_value", ignorenulls=True).over(past))
+    both = a.unionByName(b)
+    if (both.groupBy(by).count().agg(F.max("count")).first()[0] or 0) > GROUP_ROWS:
+        both = carried(cut(both), [by], [F.col(when).asc(), F.col("_side").asc()], "_value", "_last").drop("_value").withColumnRenamed("_last", "_value")
+    else:
+        past = Window.partitionBy(by).orderBy(when, "_side").rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumn("_value", F.last("_value", ignorenulls=True).over(past))
     return both.filter("_side = 1").drop("_side").withColumnRenamed("_value", value)
 
 

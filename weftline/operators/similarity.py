@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections import Counter
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions.ranges import cut
 from weftline.plans.expression import Node, parse
 
 BANDS, BAND_BITS = 4, 16
@@ -67,14 +67,6 @@ def similar_pairs(expressions: DataFrame, fields: list[str], least: float = 0.6)
     return pairs.select("a", "b", (total(F.least) / total(F.greatest)).alias("similarity")).filter(F.col("similarity") >= least)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from the files. Like the one in llm, which these queries don't need."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def clusters(spark: SparkSession, ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """id, cluster: smallest id reachable over pairs. Each round passes smaller names on and goes to the name's own name, until nothing changes; rounds grow with the logarithm of the longest path."""
     edges = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())

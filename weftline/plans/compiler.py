@@ -9,14 +9,13 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.catalog import FUNCTIONS, TINY
 from weftline.functions.windows import ROW, history
 from weftline.plans.expression import Node, parse, required_history
-from weftline.sources.panel import KEY, calendar, finite
-
+from weftline.sources.panel import KEY, finite
 
 #: Functions that take values that aren't finite as missing (fixed values).
 CLEANED = {
@@ -85,13 +84,11 @@ def factor(panel: DataFrame, expression: str, name: str = "factor") -> DataFrame
 
 
 def with_history(panel: DataFrame, expression: str, start: date | str, end: date | str) -> DataFrame:
-    """Rows that the expression's values from start to end can depend on: sessions after end and beyond its look-back are pruned in the scan.
-
-    Look-back counts an entity's own rows, which may be fewer than the market's sessions; entities that paused keep their older rows by the wider bound
-    of twice the look-back plus 20 sessions, and values that would need more are null.
-    """
+    """Rows that the expression's values from start to end can depend on: nothing after end, and of each entity's earlier rows the last ones that its look-back counts, however long it paused."""
     fields = [c for c in panel.columns if c not in KEY]
-    need = 2 * required_history(parse(expression, fields)) + 20
-    first = calendar(panel).filter(F.col("trade_date") <= F.lit(start).cast("date")).orderBy(F.desc("trade_date")).limit(need + 1).agg(F.min("trade_date")).first()[0]
+    need = required_history(parse(expression, fields))
     bounded = panel.filter(F.col("trade_date") <= F.lit(end).cast("date"))
-    return bounded.filter(F.col("trade_date") >= F.lit(first)) if first else bounded
+    inside = F.col("trade_date") >= F.lit(start).cast("date")
+    back = Window.partitionBy("ts_code").orderBy(F.desc("trade_date"))
+    before = bounded.filter(~inside).withColumn("_back", F.row_number().over(back)).filter(F.col("_back") <= need).drop("_back")
+    return bounded.filter(inside).unionByName(before)

@@ -142,7 +142,7 @@ def fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(paths.fold_summary(folds, "ts_code", "score"), "ts_code", "folds", least=9, median=9, mean=9, dispersion=9)
 
 
-RUNS = [ledger.Run("base"), ledger.Run("stop", stop_loss=0.1), ledger.Run("short_list", positions=5, every=10), ledger.Run("reverse", direction=-1, fee_bps=5.0)]
+RUNS = [ledger.Run("base")]
 
 
 def ledger_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
