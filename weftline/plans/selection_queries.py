@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import diversity, paths
-from weftline.plans.panel_queries import SERIES_SQL, out, r, same, series
+from weftline.functions.ranges import cut
+from weftline.functions.windows import average_rank, day
+from weftline.operators import diversity, paths, search, weights
+from weftline.plans.panel_queries import HORIZON, ROWS_SQL, SERIES_SQL, out, r, rows, same, series
 from weftline.sources.panel import table
 
 LIKE, CAP, CHOSEN = 0.3, 0.1, 8
@@ -44,6 +46,37 @@ def diverse_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(found, "id", "mechanism", "state", "kept", "place", correlation=6)
 
 
+COMPONENTS, GROUPS = ["factor", "vol", "vwap"], ["price", "size", "price"]
+WIDTHS, TOP, COST, STRESS, FOLDS, CONFIDENCE_Z = (0.1, 0.2, 0.3), 0.2, 5.0, 20.0, 5, 1.2815515655446008
+GRID = search.simplex(3, 4)
+SINGLES = [GRID.index(tuple(float(i == j) for j in range(3))) for i in range(3)]
+SCORE_LAYERS = ("TRAIN", "VALID")
+MEASURES = ("sharpe", "ann_return", "max_drawdown", "ann_return_lcb", "sharpe_lcb", "stress_sharpe", "ic_mean", "icir", "conversion", "avg_turnover", "year_rate", "era_rate", "active_era_rate", "worst_block_sharpe", "worst_block_return", "positive_block_rate", "worst_tail_sharpe", "tail_monotonicity")
+
+
+def weight_sessions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = rows(spark, sf_dir)
+    for c in COMPONENTS:
+        ranked = ranked.withColumn(f"r_{c}", average_rank(F.col(c)) / F.count(F.lit(1)).over(day()))
+    return cut(weights.session_scores(ranked, [f"r_{c}" for c in COMPONENTS], GRID, WIDTHS))
+
+
+def weight_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return out(weight_sessions_table(spark, sf_dir), "layer", "candidate", "width", days=("trade_date",), gross=8, benchmark=8, turnover=8, ic=8)
+
+
+def weight_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return out(weights.metrics(weight_sessions_table(spark, sf_dir), 252 / HORIZON, TOP, COST, STRESS, 0.90, FOLDS), "layer", "candidate", "n", **dict.fromkeys(MEASURES, 6))
+
+
+def weight_robust_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions = weight_sessions_table(spark, sf_dir)
+    measures = weights.metrics(sessions, 252 / HORIZON, TOP, COST, STRESS, 0.90, FOLDS)
+    similarity = weights.independence(sessions.filter(F.col("layer").isin(*SCORE_LAYERS)), SINGLES, TOP, COST)
+    found = weights.robust_scores(measures, GRID, GROUPS, similarity, SCORE_LAYERS)
+    return out(found, "candidate", robust_score=5, diversification=6, group_diversification=6, independence=5, gap=5, sharpe_lcb=5)
+
+
 CANDIDATES_SQL = f"""WITH RECURSIVE {SERIES_SQL},
 numbered AS (SELECT *, CAST(floor((row_number() OVER o - 1) * 48 / count(*) OVER (PARTITION BY ts_code)) AS INT) AS block FROM series WINDOW o AS (PARTITION BY ts_code ORDER BY trade_date)),
 blocks AS (SELECT ts_code, block, avg(ret) AS m FROM numbered GROUP BY ALL),
@@ -62,7 +95,55 @@ reps AS (SELECT scope, unnest(reps) AS rep FROM walk QUALIFY place = max(place)
 best AS (SELECT r.scope, r.place, r.ts_code, r.s_nationkey, arg_max(rep, (c, -rep)) AS rep, max(c) AS c FROM ranked r LEFT JOIN pairs ON pairs.scope = r.scope AND pairs.p = r.place JOIN reps ON reps.scope = r.scope AND reps.rep = pairs.o GROUP BY ALL),
 found AS (SELECT r.ts_code, r.scope AS region, r.s_nationkey, r.place, coalesce(reps.rep, best.rep) AS best_place, CASE WHEN reps.rep IS NOT NULL THEN 1.0 ELSE best.c END::DOUBLE AS correlation FROM ranked r
   LEFT JOIN reps ON reps.scope = r.scope AND reps.rep = r.place LEFT JOIN best ON best.scope = r.scope AND best.place = r.place)"""
+RANK = "(rank() OVER (PARTITION BY trade_date ORDER BY {c}) + (count(*) OVER (PARTITION BY trade_date, {c}) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY trade_date)"
+RATIO = lambda mean, std: f"CASE WHEN {std} > 1e-12 THEN ({mean}) * sqrt({252 / HORIZON}::DOUBLE) / {std} ELSE 0 END"
+GROWTH = "sum(ln(greatest(1e-12, 1 + active)))"
+SESSIONS_SQL = f"""{ROWS_SQL},
+comps AS (SELECT *, {RANK.format(c="factor")} AS c0, {RANK.format(c="vol")} AS c1, {RANK.format(c="vwap")} AS c2 FROM rws),
+grid AS (SELECT * FROM (VALUES {", ".join(f"({i}::INT, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for i, (a, b, c) in enumerate(GRID))}) g(candidate, w0, w1, w2)),
+scored AS (SELECT layer, trade_date, ts_code, label, label_rank, candidate, n_day AS n, round(c0 * w0 + c1 * w1 + c2 * w2, 9) AS score FROM comps, grid),
+placed AS (SELECT *, row_number() OVER (PARTITION BY candidate, trade_date ORDER BY score, ts_code) - 1 AS place FROM scored),
+widths AS (SELECT unnest([{", ".join(f"{w}::DOUBLE" for w in WIDTHS)}]) AS width),
+orders AS (SELECT layer, trade_date, row_number() OVER (PARTITION BY layer ORDER BY trade_date) AS k FROM (SELECT DISTINCT layer, trade_date FROM rws)),
+held AS (SELECT p.layer, p.trade_date, o.k, candidate, width, ts_code, label, greatest(1, floor(n * width)) AS top FROM placed p JOIN orders o USING (layer, trade_date), widths WHERE place >= n - greatest(1, floor(n * width))),
+picks AS (SELECT layer, k, candidate, width, any_value(trade_date) AS trade_date, avg(label) AS gross, any_value(top) AS top FROM held GROUP BY layer, k, candidate, width),
+kept_n AS (SELECT a.layer, a.k, a.candidate, a.width, count(*) AS kept FROM held a JOIN held b ON b.layer = a.layer AND b.k = a.k - 1 AND b.candidate = a.candidate AND b.width = a.width AND b.ts_code = a.ts_code GROUP BY ALL),
+ranked_ic AS (SELECT candidate, trade_date, coalesce(covar_pop(place, label_rank) / nullif(stddev_pop(place) * stddev_pop(label_rank), 0), 0) AS ic, avg(label) AS benchmark FROM placed GROUP BY ALL),
+sessions AS (SELECT p.layer, p.trade_date, p.candidate, p.width, p.gross, benchmark, ic, CASE WHEN q.top IS NULL THEN 1 ELSE (p.top - coalesce(kept, 0)) / p.top + (q.top - coalesce(kept, 0)) / q.top + coalesce(kept, 0) * abs(1 / p.top - 1 / q.top) END::DOUBLE AS turnover
+  FROM picks p LEFT JOIN picks q ON q.layer = p.layer AND q.k = p.k - 1 AND q.candidate = p.candidate AND q.width = p.width LEFT JOIN kept_n n ON n.layer = p.layer AND n.k = p.k AND n.candidate = p.candidate AND n.width = p.width JOIN ranked_ic i ON i.candidate = p.candidate AND i.trade_date = p.trade_date)"""
+METRICS_SQL = f"""{SESSIONS_SQL},
+active AS (SELECT *, gross - benchmark - turnover * {COST} / 10000 AS active, gross - benchmark - turnover * {STRESS} / 10000 AS stressed FROM sessions),
+devs AS (SELECT *, count(*) OVER w AS n, row_number() OVER o - 1 AS i, active - avg(active) OVER w AS dev, exp(sum(ln(greatest(1e-12, 1 + active))) OVER o) AS nav FROM active WHERE width = {TOP} WINDOW w AS (PARTITION BY layer, candidate), o AS (PARTITION BY layer, candidate ORDER BY trade_date)),
+lagged AS (SELECT *, 1 - nav / greatest(1, max(nav) OVER o) AS down, {", ".join(f"dev * lag(dev, {k}) OVER o AS p{k}" for k in range(1, 9))},
+  least({FOLDS}, n // 2) AS f FROM devs WINDOW o AS (PARTITION BY layer, candidate ORDER BY trade_date)),
+blocked AS (SELECT *, CASE WHEN i < (n % f) * (n // f + 1) THEN i // (n // f + 1) ELSE n % f + (i - (n % f) * (n // f + 1)) // (n // f) END AS block FROM lagged),
+sums AS (SELECT layer, candidate, count(*) AS n, avg(active) AS mean, stddev_samp(active) AS sd, {GROWTH} AS g, max(down) AS max_drawdown, avg(dev * dev) AS s0, {", ".join(f"avg(p{k}) AS s{k}" for k in range(1, 9))}, avg(stressed) AS sm, stddev_samp(stressed) AS ss, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_sd,
+  coalesce(count(*) FILTER (WHERE ic > 0 AND active > 0) / nullif(count(*) FILTER (WHERE ic > 0), 0), 0) AS conversion, avg(turnover) AS avg_turnover, greatest(1, least(8, round_even(pow(count(*), 1 / 3.0::DOUBLE), 0))) AS lag FROM blocked GROUP BY ALL),
+lower AS (SELECT *, mean - {CONFIDENCE_Z}::DOUBLE * sqrt(greatest(0, s0 + {" + ".join(f"CASE WHEN {k} <= least(lag, n - 1) THEN 2 * (1 - {k} / (lag + 1)) * s{k} ELSE 0 END" for k in range(1, 9))}) / n) AS low FROM sums),
+years AS (SELECT layer, candidate, year(trade_date) AS y, {GROWTH} AS g, avg(ic) AS ic FROM blocked GROUP BY ALL),
+year_rates AS (SELECT layer, candidate, avg((g > 0)::INT::DOUBLE) AS year_rate, avg((ic > 0)::INT::DOUBLE) AS era_rate, avg((g > 0)::INT::DOUBLE) AS active_era_rate FROM years GROUP BY ALL),
+parts AS (SELECT layer, candidate, block, count(*) AS m, avg(active) AS mean, stddev_samp(active) AS sd, {GROWTH} AS g FROM blocked GROUP BY ALL HAVING count(*) >= 2),
+part_rates AS (SELECT layer, candidate, min({RATIO("mean", "sd")}) AS worst_block_sharpe, min(exp(g * {252 / HORIZON}::DOUBLE / m) - 1) AS worst_block_return, avg((g > 0)::INT::DOUBLE) AS positive_block_rate FROM parts GROUP BY ALL),
+tails AS (SELECT layer, candidate, width, avg(active) AS mean, stddev_samp(active) AS sd, {GROWTH} / count(*) AS g FROM active GROUP BY ALL),
+falls AS (SELECT *, coalesce(g >= lead(g) OVER (PARTITION BY layer, candidate ORDER BY width), g > 0) AS falls FROM tails),
+tail_rates AS (SELECT layer, candidate, min({RATIO("mean", "sd")}) AS worst_tail_sharpe, avg(falls::INT::DOUBLE) AS tail_monotonicity FROM falls GROUP BY ALL),
+metrics AS (SELECT l.*, {RATIO("mean", "sd")} AS sharpe, exp(g * {252 / HORIZON}::DOUBLE / n) - 1 AS ann_return, low * {252 / HORIZON}::DOUBLE AS ann_return_lcb, {RATIO("low", "sd")} AS sharpe_lcb, {RATIO("sm", "ss")} AS stress_sharpe, {RATIO("ic_mean", "ic_sd")} AS icir,
+  y.* EXCLUDE (layer, candidate), p.* EXCLUDE (layer, candidate), t.* EXCLUDE (layer, candidate) FROM lower l JOIN year_rates y USING (layer, candidate) LEFT JOIN part_rates p USING (layer, candidate) JOIN tail_rates t USING (layer, candidate))"""
+CLIP = lambda x, low, high: f"least(greatest({x}, {low}), {high})"
+WORSE = lambda c: f"least(a.{c}, b.{c})"
+SCORE_SQL = " + ".join([f"{w} * {CLIP(f'{WORSE(c)} / {scale}', -1, 1)}" for c, w, scale in weights.CLIPPED] + [f"{w} * (2 * {WORSE(c)} - 1)" for c, w in weights.RATES])
+SPREAD = lambda parts: f"CASE WHEN {' + '.join(f'(({p}) > 1e-12)::INT' for p in parts)} > 1 THEN (1 - ({' + '.join(f'({p}) * ({p})' for p in parts)})) / (1 - 1 / ({' + '.join(f'(({p}) > 1e-12)::INT' for p in parts)})) ELSE 1 END"
+ROBUST_SQL = f"""{METRICS_SQL},
+singles AS (SELECT layer, trade_date, {", ".join(f"max(CASE WHEN candidate = {c} THEN active END) AS u{i}" for i, c in enumerate(SINGLES))} FROM active WHERE width = {TOP} AND layer IN {SCORE_LAYERS} GROUP BY ALL),
+alike AS (SELECT max(abs(r01)) AS r01, max(abs(r02)) AS r02, max(abs(r12)) AS r12 FROM (SELECT layer, corr(u0, u1) AS r01, corr(u0, u2) AS r02, corr(u1, u2) AS r12 FROM singles GROUP BY layer)),
+shapes AS (SELECT candidate, {SPREAD(["w0", "w1", "w2"])} AS diversification, {SPREAD(["w0 + w2", "w1"])} AS group_diversification,
+  1 - {CLIP("2 * (w0 * w1 * r01 + w0 * w2 * r02 + w1 * w2 * r12) / greatest(1e-12, 1 - (w0 * w0 + w1 * w1 + w2 * w2))", 0, 1)} AS independence FROM grid, alike),
+layers_of AS (SELECT a.candidate, {WORSE("sharpe_lcb")} AS sharpe_lcb, s.*  EXCLUDE (candidate), abs(a.sharpe - b.sharpe) / greatest(1, abs(a.sharpe), abs(b.sharpe)) AS gap, {SCORE_SQL} AS parts, greatest(a.max_drawdown, b.max_drawdown) AS worst_drawdown
+  FROM metrics a JOIN metrics b ON b.candidate = a.candidate AND a.layer = '{SCORE_LAYERS[0]}' AND b.layer = '{SCORE_LAYERS[1]}' JOIN shapes s ON s.candidate = a.candidate)"""
 SQL = {
+    "weight_sessions": f"WITH {SESSIONS_SQL} SELECT layer, CAST(trade_date AS VARCHAR) AS trade_date, candidate, width, {same(8, 'gross', 'benchmark', 'turnover', 'ic')} FROM sessions",
+    "weight_metrics": f"WITH {METRICS_SQL} SELECT layer, candidate, n, {same(6, *MEASURES)} FROM metrics",
+    "weight_robust_scores": f"""WITH {ROBUST_SQL} SELECT candidate, {r(5, robust_score=f"parts + 0.02 * diversification + 0.02 * group_diversification + 0.05 * independence + 0.05 * (1 - {CLIP('worst_drawdown / 0.35', 0, 2)}) - 0.1 * {CLIP('gap', 0, 1)}")}, {same(6, "diversification", "group_diversification")}, {same(5, "independence", "gap", "sharpe_lcb")} FROM layers_of""",
     "return_sources": f"{CLUSTERS_SQL} SELECT ts_code, region, place, best_place, {same(6, 'correlation')} FROM found",
     "return_source_summary": f"""{CLUSTERS_SQL}, s AS (SELECT region, best_place, count(*) AS size FROM found GROUP BY ALL),
 t AS (SELECT region, sum(size)::BIGINT AS rows, count(*) AS clusters, max(size) AS largest, sum(size * size) AS squares FROM s GROUP BY region)
