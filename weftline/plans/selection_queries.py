@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.ranges import cut
 from weftline.functions.windows import average_rank, day
-from weftline.operators import diversity, paths, search, weights
+from weftline.operators import diversity, paths, residuals, search, weights
 from weftline.plans.panel_queries import HORIZON, ROWS_SQL, SERIES_SQL, out, r, rows, same, series
 from weftline.sources.panel import table
 
@@ -77,6 +77,17 @@ def weight_robust_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(found, "candidate", robust_score=5, diversification=6, group_diversification=6, independence=5, gap=5, sharpe_lcb=5)
 
 
+RIDGE, RIDGE_FOLDS, RIDGE_EMBARGO = 1.0, 6, 1
+
+
+def ridge_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ranks of the factor and of volume don't explain of the label, sessions before teaching sessions after."""
+    ranked = rows(spark, sf_dir).withColumn("c0", F.col("pct")).withColumn("c1", average_rank(F.col("vol")) / F.col("n_day"))
+    ranked = cut(ranked.select("ts_code", "trade_date", "label_exit_date_5", "label", "c0", "c1"))
+    found = residuals.forward_residuals(ranked, "label", ["c0", "c1"], RIDGE_FOLDS, RIDGE, RIDGE_EMBARGO, exit="label_exit_date_5")
+    return out(found, "ts_code", "fold", days=("trade_date",), prediction=8, residual=8)
+
+
 CANDIDATES_SQL = f"""WITH RECURSIVE {SERIES_SQL},
 numbered AS (SELECT *, CAST(floor((row_number() OVER o - 1) * 48 / count(*) OVER (PARTITION BY ts_code)) AS INT) AS block FROM series WINDOW o AS (PARTITION BY ts_code ORDER BY trade_date)),
 blocks AS (SELECT ts_code, block, avg(ret) AS m FROM numbered GROUP BY ALL),
@@ -140,7 +151,18 @@ shapes AS (SELECT candidate, {SPREAD(["w0", "w1", "w2"])} AS diversification, {S
   1 - {CLIP("2 * (w0 * w1 * r01 + w0 * w2 * r02 + w1 * w2 * r12) / greatest(1e-12, 1 - (w0 * w0 + w1 * w1 + w2 * w2))", 0, 1)} AS independence FROM grid, alike),
 layers_of AS (SELECT a.candidate, {WORSE("sharpe_lcb")} AS sharpe_lcb, s.*  EXCLUDE (candidate), abs(a.sharpe - b.sharpe) / greatest(1, abs(a.sharpe), abs(b.sharpe)) AS gap, {SCORE_SQL} AS parts, greatest(a.max_drawdown, b.max_drawdown) AS worst_drawdown
   FROM metrics a JOIN metrics b ON b.candidate = a.candidate AND a.layer = '{SCORE_LAYERS[0]}' AND b.layer = '{SCORE_LAYERS[1]}' JOIN shapes s ON s.candidate = a.candidate)"""
+RIDGE_SQL = f"""{SESSIONS_SQL},
+numbered AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS i, count(*) OVER () AS n, least({RIDGE_FOLDS}, count(*) OVER ()) AS f FROM (SELECT DISTINCT trade_date FROM comps)),
+folds AS (SELECT *, CAST(CASE WHEN i < (n % f) * (n // f + 1) THEN i // (n // f + 1) ELSE n % f + (i - (n % f) * (n // f + 1)) // (n // f) END AS INT) AS fold FROM numbered),
+starts AS (SELECT fold, min(trade_date) AS start, min(i) AS first FROM folds GROUP BY fold),
+sums AS (SELECT fold, count(*) AS n, sum(label) AS y, sum(c0) AS x0, sum(c1) AS x1, sum(c0 * c0) AS x00, sum(c0 * c1) AS x01, sum(c1 * c1) AS x11, sum(c0 * label) AS y0, sum(c1 * label) AS y1 FROM starts JOIN comps ON greatest(trade_date, exit5) < start WHERE fold > 0 GROUP BY fold HAVING count(*) >= 4),
+spreads AS (SELECT *, sqrt(x00 / n - (x0 / n) * (x0 / n)) AS d0, sqrt(x11 / n - (x1 / n) * (x1 / n)) AS d1 FROM sums),
+grams AS (SELECT *, (x00 - x0 * x0 / n) / (d0 * d0) + {RIDGE} AS g00, (x01 - x0 * x1 / n) / (d0 * d1) AS g01, (x11 - x1 * x1 / n) / (d1 * d1) + {RIDGE} AS g11, (y0 - y * x0 / n) / d0 AS h0, (y1 - y * x1 / n) / d1 AS h1 FROM spreads),
+slopes AS (SELECT *, (h0 * g11 - h1 * g01) / (g00 * g11 - g01 * g01) / d0 AS b0, (h1 * g00 - h0 * g01) / (g00 * g11 - g01 * g01) / d1 AS b1 FROM grams),
+predicted AS (SELECT ts_code, f.fold, trade_date, label, CASE WHEN f.i >= s.first + {RIDGE_EMBARGO} THEN y / n_fit - b0 * x0 / n_fit - b1 * x1 / n_fit + b0 * c0 + b1 * c1 END AS prediction
+  FROM comps JOIN folds f USING (trade_date) JOIN starts s ON s.fold = f.fold LEFT JOIN (SELECT * EXCLUDE (n), n AS n_fit FROM slopes) b ON b.fold = f.fold)"""
 SQL = {
+    "ridge_residuals": f"WITH {RIDGE_SQL} SELECT ts_code, fold, CAST(trade_date AS VARCHAR) AS trade_date, {r(8, prediction='prediction', residual='label - prediction')} FROM predicted",
     "weight_sessions": f"WITH {SESSIONS_SQL} SELECT layer, CAST(trade_date AS VARCHAR) AS trade_date, candidate, width, {same(8, 'gross', 'benchmark', 'turnover', 'ic')} FROM sessions",
     "weight_metrics": f"WITH {METRICS_SQL} SELECT layer, candidate, n, {same(6, *MEASURES)} FROM metrics",
     "weight_robust_scores": f"""WITH {ROBUST_SQL} SELECT candidate, {r(5, robust_score=f"parts + 0.02 * diversification + 0.02 * group_diversification + 0.05 * independence + 0.05 * (1 - {CLIP('worst_drawdown / 0.35', 0, 2)}) - 0.1 * {CLIP('gap', 0, 1)}")}, {same(6, "diversification", "group_diversification")}, {same(5, "independence", "gap", "sharpe_lcb")} FROM layers_of""",
