@@ -90,6 +90,35 @@ def task_summary(records: DataFrame, task: str, valid: Column, passed: Column, s
     )
 
 
+def feedback_summary(records: DataFrame, task: str, order: str, valid: Column, passed: Column, score: str, expression: str, reasons: str, numbers: str, most: int = 12) -> DataFrame:
+    """By task: records, valid, errors, passed, pass_rate (of the valid), score_mean, score_std, score_best, duplicate_rate (of expressions without blanks and case), reasons (the `most` most frequent
+    with their counts, of equals the one that came first), means (of each finite number by name).
+
+    reasons: an array column; numbers: a map column; order: tells which record came first. All are sums by (task, reason), (task, name) and (task, expression) before they meet by task. A
+    null task is `unknown`; a null score counts as 0; only valid records count but for `records`.
+    """
+    rows = records.withColumns({"_task": F.coalesce(F.col(task).cast("string"), F.lit("unknown")), "_v": F.coalesce(valid, F.lit(False))})
+    x = F.when(F.col("_v"), F.coalesce(F.col(score), F.lit(0.0)))
+    whole = rows.groupBy("_task").agg(
+        F.count(F.lit(1)).alias("records"), F.count(x).alias("valid"), F.count(F.when(F.col("_v") & F.coalesce(passed, F.lit(False)), 1)).alias("passed"),
+        F.coalesce(F.avg(x), F.lit(0.0)).alias("score_mean"), F.coalesce(F.stddev_pop(x), F.lit(0.0)).alias("score_std"), F.coalesce(F.max(x), F.lit(0.0)).alias("score_best"),
+    )
+    good = rows.filter("_v")
+    plain = F.lower(F.regexp_replace(expression, r"\s+", ""))
+    texts = good.filter(plain != "").groupBy("_task", plain.alias("_text")).agg(F.count(F.lit(1)).alias("_n"))
+    texts = texts.groupBy("_task").agg((1 - F.count(F.lit(1)) / F.sum("_n")).alias("duplicate_rate"))
+    named = good.select("_task", order, F.posexplode(reasons).alias("_at", "reason")).groupBy("_task", "reason").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct(order, "_at")).alias("_first"))
+    place = F.row_number().over(Window.partitionBy("_task").orderBy(F.desc("count"), "_first"))
+    top = named.withColumn("_place", place).filter(F.col("_place") <= most).groupBy("_task").agg(F.sort_array(F.collect_list(F.struct("_place", "reason", "count"))).alias("reasons"))
+    top = top.withColumn("reasons", F.transform("reasons", lambda r: F.struct(r["reason"].alias("reason"), r["count"].alias("count"))))
+    value = F.col("_value").cast("double")
+    means = good.select("_task", F.explode(numbers).alias("_name", "_value")).filter(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))).groupBy("_task", "_name").agg(F.avg(value).alias("_mean"))
+    means = means.groupBy("_task").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_name", "_mean")))).alias("means"))
+    found = whole.join(texts, "_task", "left").join(top, "_task", "left").join(means, "_task", "left")
+    rate = F.coalesce(F.try_divide(F.col("passed").cast("double"), F.col("valid")), F.lit(0.0))
+    return found.select(F.col("_task").alias(task), "records", "valid", (F.col("records") - F.col("valid")).alias("errors"), "passed", rate.alias("pass_rate"), "score_mean", "score_std", "score_best", F.coalesce("duplicate_rate", F.lit(0.0)).alias("duplicate_rate"), "reasons", "means")
+
+
 def evidence(results: DataFrame, gates: list[tuple[str, Column]], first: str = "candidate") -> DataFrame:
     """Add state: the name of the last gate passed in a row from the first one, which a result without any hasn't left. gates: (state reached, condition); a null condition doesn't pass."""
     passed = [F.coalesce(c, F.lit(False)) for _, c in gates]

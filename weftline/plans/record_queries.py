@@ -61,6 +61,17 @@ def task_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("sources", text)
 
 
+def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as attempts at tasks (their types); users below 100 are tried twice as often in a day, and reasons come from values and props."""
+    rows = table(spark, sf_dir, "events")
+    why = F.array_compact(F.array(F.when(F.col("value") < 5, "small"), F.when(F.col("user_id") % 3 == 0, "third"), F.when(F.get_json_object("props", "$.k").cast("int") > 50, "late"), F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string"))))
+    text = F.concat(F.lit("Rank( "), F.floor("value").cast("string"), F.lit(" )"))
+    rows = rows.withColumns({"reasons": why, "text": text, "numbers": F.create_map(F.lit("k"), F.get_json_object("props", "$.k").cast("double"), F.lit("value"), F.col("value"))})
+    found = records.feedback_summary(rows, "event_type", "event_id", F.col("value") > 1, F.col("value") > 20, "value", "text", "reasons", "numbers", 5)
+    told = F.array_join(F.transform("reasons", lambda x: F.concat_ws("=", x["reason"], x["count"].cast("string"))), ",")
+    return out(found.withColumn("reasons", told).withColumn("k", F.col("means")["k"]), "event_type", "records", "valid", "errors", "passed", "reasons", pass_rate=6, score_mean=6, score_std=6, score_best=4, duplicate_rate=6, k=6)
+
+
 def evidence_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     gates = [("screened", F.col("p_size") > 10), ("validated", F.col("p_retailprice") > 950), ("confirmed", F.col("p_partkey") % 4 == 0)]
     return records.evidence(table(spark, sf_dir, "part"), gates).groupBy("p_brand", "state").agg(F.count(F.lit(1)).alias("n"))
@@ -171,6 +182,14 @@ f AS (SELECT c_mktsegment, max(n) AS n, {CORR('rs', 'ro')} AS spearman, avg(good
 SELECT c_mktsegment, n, coalesce(spearman >= 0.25 AND top_good >= all_good AND top_good > bottom_good AND monotonicity > 0, false) AS calibrated, {same(7, 'spearman', 'top_good', 'bottom_good', 'all_good')}, {same(6, 'monotonicity')} FROM f JOIN m USING (c_mktsegment)""",
     "task_summary": """WITH s AS (SELECT coalesce(event_type, 'unknown') AS event_type, 'u' || (user_id % 3) AS source, count(*) AS records, sum((coalesce(value > 10, false))::INT) AS valid, sum((coalesce(value > 50, false))::INT) AS passed, max(value) FILTER (WHERE value > 10) AS best FROM events GROUP BY ALL)
 SELECT event_type, sum(records)::BIGINT AS records, sum(valid)::BIGINT AS valid, sum(passed)::BIGINT AS passed, coalesce(max(best), 0.0) AS best, string_agg(source || '=' || records, ',' ORDER BY source) AS sources FROM s GROUP BY event_type""",
+    "feedback": """WITH v AS (SELECT *, (props::JSON ->> '$.k')::INT AS k, 'rank(' || CAST(floor(value) AS BIGINT) || ')' AS text FROM events WHERE value > 1),
+w AS (SELECT coalesce(event_type, 'unknown') AS t, count(*) AS records, count(*) FILTER (WHERE value > 1) AS valid, count(*) FILTER (WHERE value > 20) AS passed, avg(value) FILTER (WHERE value > 1) AS score_mean, stddev_pop(value) FILTER (WHERE value > 1) AS score_std, max(value) FILTER (WHERE value > 1) AS score_best FROM events GROUP BY ALL),
+d AS (SELECT coalesce(event_type, 'unknown') AS t, 1 - count(DISTINCT text) / count(text) AS duplicate_rate, avg(k) AS k FROM v GROUP BY ALL),
+e AS (SELECT coalesce(event_type, 'unknown') AS t, event_id, unnest(list_filter([CASE WHEN value < 5 THEN 'small' END, CASE WHEN user_id % 3 = 0 THEN 'third' END, CASE WHEN k > 50 THEN 'late' END, 'u' || (user_id % 10)], lambda x: x IS NOT NULL)) AS reason, generate_subscripts(list_filter([CASE WHEN value < 5 THEN 'small' END, CASE WHEN user_id % 3 = 0 THEN 'third' END, CASE WHEN k > 50 THEN 'late' END, 'u' || (user_id % 10)], lambda x: x IS NOT NULL), 1) AS pos FROM v),
+c AS (SELECT t, reason, count(*) AS n, min((event_id, pos)) AS first FROM e GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n DESC, first) AS place FROM c QUALIFY place <= 5)
+SELECT w.t AS event_type, records, valid, records - valid AS errors, passed, round(passed / nullif(valid, 0), 6) + 0.0 AS pass_rate, round(score_mean, 6) + 0.0 AS score_mean, round(score_std, 6) + 0.0 AS score_std, round(score_best, 4) + 0.0 AS score_best,
+  round(duplicate_rate, 6) + 0.0 AS duplicate_rate, (SELECT string_agg(reason || '=' || n, ',' ORDER BY place) FROM top WHERE top.t = w.t) AS reasons, round(k, 6) + 0.0 AS k FROM w LEFT JOIN d ON d.t = w.t""",
     "evidence_states": "SELECT p_brand, CASE WHEN p_size > 10 AND p_retailprice > 950 AND p_partkey % 4 = 0 THEN 'confirmed' WHEN p_size > 10 AND p_retailprice > 950 THEN 'validated' WHEN p_size > 10 THEN 'screened' ELSE 'candidate' END AS state, count(*) AS n FROM part GROUP BY ALL",
     "event_cluster_bounds": f"""WITH {SERIES_SQL}, sums AS (SELECT year(trade_date)::INT AS year, ts_code, sum(ret) AS s, count(ret) AS c FROM series GROUP BY ALL),
 u AS (SELECT *, ('0x' || substr(md5('1729/' || rep || '/' || year || '/' || ts_code), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM sums, (SELECT unnest(range(1, 101)) AS rep)),
@@ -193,7 +212,7 @@ SELECT ts_code, {DAY}, {r(9, label='(rank() OVER (PARTITION BY s.trade_date ORDE
 
 def queries() -> dict:
     found = (
-        result_groups, result_leaderboard, library_merge, report_catalogue, search_progress, rating_calibration, task_summary, evidence_states, event_cluster_bounds,
+        result_groups, result_leaderboard, library_merge, report_catalogue, search_progress, rating_calibration, task_summary, feedback, evidence_states, event_cluster_bounds,
         sessions_latest, sessions_even, sessions_common, scale_clipped, label_centred, stats_rolling_sharpe, stats_path_returns, walk_forward, eval_daily, eval_layers, eval_eras,
     )
     return {f.__name__: f for f in found}
