@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.plans.compiler import factor, factors
-from weftline.plans.features import library
+from weftline.plans.features import WINDOWS, library
 from weftline.sources.panel import supplier_panel
 
 #: The supplier panel in SQL; `sector` is a group for tests, rn a row's place in its entity's history.
@@ -116,8 +116,8 @@ def run_expression(spark: SparkSession, sf_dir: str, text: str, digits: int) ->
 
 
 def rolling_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole library of features at two windows: mean and number of values by feature."""
-    names = library((5, 10))
+    """The whole library of features at its five windows: number and mean of the values of each."""
+    names = library()
     wide = factors(panel(spark, sf_dir), names)
     long = wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("value")) for n in names])).alias("x")).select("x.feature", "x.value")
     return long.groupBy("feature").agg(F.count("value").alias("n"), rounded(F.avg("value"), 4).alias("mean"))
@@ -129,10 +129,50 @@ def bar_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BAR_SQL = {
-    "kmid": "(close - open) / (open + 1e-12)", "klen": "(high - low) / (open + 1e-12)", "kmid2": "(close - open) / (high - low + 1e-12)", "kup": "(high - greatest(open, close)) / (open + 1e-12)", "kup2": "(high - greatest(open, close)) / (high - low + 1e-12)",
-    "klow": "(least(open, close) - low) / (open + 1e-12)", "klow2": "(least(open, close) - low) / (high - low + 1e-12)", "ksft": "(2 * close - high - low) / (open + 1e-12)", "ksft2": "(2 * close - high - low) / (high - low + 1e-12)",
+    "kmid": "(close - open) / (open + 1e-12)", "klen": "(high - low) / (open + 1e-12)", "kmid2": "(close - open) / (high - low + 1e-12 + 1e-12)", "kup": "(high - greatest(open, close)) / (open + 1e-12)", "kup2": "(high - greatest(open, close)) / (high - low + 1e-12 + 1e-12)",
+    "klow": "(least(open, close) - low) / (open + 1e-12)", "klow2": "(least(open, close) - low) / (high - low + 1e-12 + 1e-12)", "ksft": "(2 * close - high - low) / (open + 1e-12)", "ksft2": "(2 * close - high - low) / (high - low + 1e-12 + 1e-12)",
     "open0": "open / (close + 1e-12)", "high0": "high / (close + 1e-12)", "low0": "low / (close + 1e-12)", "vwap0": "vwap / (close + 1e-12)",
 }
+GUARD = lambda a, b: f"({a}) / (({b}) + 1e-12)"
+
+
+def rolling_sql(w: int) -> dict[str, str]:
+    """SQL of the features of a window, over `stepped` with the window w."""
+    whole = lambda e, x="close": f"CASE WHEN count({x}) OVER w = {w} THEN {e} END"
+    square = w * (w * w - 1) / 12
+    line = f"(covar_pop(close, rn) OVER w * {w})"
+    slope = f"({line} / ({square} + 1e-12))"
+    agg = lambda f, x: whole(f"{f}({x}) OVER w", x)
+    at = lambda f, x: whole(f"list_position(list({x}) OVER w, {f}({x}) OVER w)::DOUBLE", x)
+    corr = lambda a, b: f"CASE WHEN count({a} + {b}) OVER w = {w} THEN least(greatest(covar_pop({a}, {b}) OVER w / nullif(stddev_pop({a}) OVER w * stddev_pop({b}) OVER w, 0), -1), 1) END"
+    shares = lambda up, down, size: {"P": GUARD(agg("sum", up), f"{agg('sum', size)} + 1e-12"), "N": GUARD(agg("sum", down), f"{agg('sum', size)} + 1e-12"), "D": GUARD(f"{agg('sum', up)} - {agg('sum', down)}", f"{agg('sum', size)} + 1e-12")}
+    return {
+        "ROC": GUARD(f"lag(close, {w}) OVER h", "close"), "MA": GUARD(agg("avg", "close"), "close"), "STD": GUARD(agg("stddev_samp", "close"), "close"), "BETA": GUARD(whole(slope), "close"),
+        "RSQR": whole(f"{line} * {line} / ({square} * (var_pop(close) OVER w * {w}) + 1e-12)"), "RESI": GUARD(whole(f"close - avg(close) OVER w - {slope} * {(w - 1) / 2}"), "close"),
+        "MAX": GUARD(agg("max", "high"), "close"), "MIN": GUARD(agg("min", "low"), "close"), "QTLU": GUARD(whole("quantile_cont(close, 0.8) OVER w"), "close"), "QTLD": GUARD(whole("quantile_cont(close, 0.2) OVER w"), "close"),
+        "RANK": whole(f"len(list_filter(list(close) OVER w, lambda v: v <= close)) / {w}.0::DOUBLE"), "RSV": GUARD(f"close - {agg('min', 'low')}", f"{agg('max', 'high')} - {agg('min', 'low')} + 1e-12"),
+        "IMAX": GUARD(at("max", "high"), w), "IMIN": GUARD(at("min", "low"), w), "IMXD": GUARD(f"{at('max', 'high')} - {at('min', 'low')}", w), "CORR": corr("close", "log_vol"), "CORD": corr("step", "vol_step"),
+        "CNTP": agg("avg", "rose"), "CNTN": agg("avg", "fell"), "CNTD": f"{agg('avg', 'rose')} - {agg('avg', 'fell')}", **{f"SUM{k}": v for k, v in shares("up", "down", "size").items()},
+        "VMA": GUARD(agg("avg", "vol"), "vol + 1e-12"), "VSTD": GUARD(agg("stddev_samp", "vol"), "vol + 1e-12"), "WVMA": GUARD(agg("stddev_samp", "moved"), f"{agg('avg', 'moved')} + 1e-12"), **{f"VSUM{k}": v for k, v in shares("vol_up", "vol_down", "vol_size").items()},
+    }
+
+
+def features_sql() -> str:
+    parts = [("bar", {name.upper(): sql for name, sql in BAR_SQL.items()}, 1, "")] + [(f"f{w}", rolling_sql(w), w, str(w)) for w in WINDOWS]
+    tables = ",\n".join(
+        f"{name} AS (SELECT {', '.join(f'{sql} AS {c}' for c, sql in found.items())} FROM stepped WINDOW h AS (PARTITION BY ts_code ORDER BY trade_date), w AS (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW))"
+        for name, found, w, _ in parts
+    )
+    rows = " UNION ALL ".join(f"SELECT unnest([{', '.join(repr(c + end) for c in found)}]) AS feature, unnest([{', '.join(f'{c}::DOUBLE' for c in found)}]) AS value FROM {name}" for name, found, _, end in parts)
+    return f"""WITH {PANEL_SQL},
+before AS (SELECT *, row_number() OVER h AS rn, lag(close) OVER h AS lc, lag(vol) OVER h AS lv FROM panel WINDOW h AS (PARTITION BY ts_code ORDER BY trade_date)),
+stepped AS (SELECT *, ln(abs(vol + 1) + 1e-9) AS log_vol, close / (lc + 1e-12 + 1e-12) AS step, ln(abs(vol / (lv + 1e-12 + 1e-12) + 1) + 1e-9) AS vol_step, abs(close / (lc + 1e-12 + 1e-12) - 1) * vol AS moved,
+  CASE WHEN close > lc THEN 1.0 WHEN lc IS NOT NULL THEN 0.0 END::DOUBLE AS rose, CASE WHEN close < lc THEN 1.0 WHEN lc IS NOT NULL THEN 0.0 END::DOUBLE AS fell, CASE WHEN lc IS NOT NULL THEN greatest(close - lc, 0) END AS up, CASE WHEN lc IS NOT NULL THEN greatest(lc - close, 0) END AS down, abs(close - lc) AS size,
+  CASE WHEN lv IS NOT NULL THEN greatest(vol - lv, 0) END AS vol_up, CASE WHEN lv IS NOT NULL THEN greatest(lv - vol, 0) END AS vol_down, abs(vol - lv) AS vol_size FROM before),
+{tables}
+SELECT feature, count(value) AS n, {rounded_sql("avg(value)", 4)} AS mean FROM ({rows}) GROUP BY feature"""
+
+
 NESTED: dict[str, tuple[str, str, int]] = {
     "rank_of_returns": ("rank(returns(close,4))", "WITH {base}, s AS (SELECT *, close / (lag(close, 4) OVER (PARTITION BY ts_code ORDER BY trade_date) + 1e-12) - 1 AS x FROM base) SELECT ts_code, CAST(trade_date AS VARCHAR) AS trade_date, round(CASE WHEN x IS NOT NULL THEN (rank() OVER (PARTITION BY trade_date ORDER BY x NULLS LAST) + (count(*) OVER (PARTITION BY trade_date, x) - 1) / 2.0::DOUBLE) / (count(x) OVER (PARTITION BY trade_date) + 1e-12) END, 9) AS factor FROM s", 9),
     "mean_of_rank": ("ts_mean(rank(close),5)", "WITH {base}, s AS (SELECT *, (rank() OVER (PARTITION BY trade_date ORDER BY close) + (count(*) OVER (PARTITION BY trade_date, close) - 1) / 2.0::DOUBLE) / (count(close) OVER d + 1e-12) AS x FROM base WINDOW d AS (PARTITION BY trade_date)) SELECT ts_code, CAST(trade_date AS VARCHAR) AS trade_date, round(CASE WHEN count(x) OVER w = 5 THEN avg(x) OVER w END, 9) AS factor FROM s WINDOW w AS (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)", 9),
@@ -149,4 +189,5 @@ def oracle_sql() -> dict[str, str]:
     found = {f"dsl_{name}": f"WITH {BASE_SQL} SELECT ts_code, CAST(trade_date AS VARCHAR) AS trade_date, {rounded_sql(sql, digits)} AS factor FROM base {WINDOWS_SQL}" for name, (_, sql, digits) in DSL.items()}
     found |= {f"dsl_{name}": sql.replace("{base}", BASE_SQL) for name, (_, sql, _) in NESTED.items()}
     found["features_bar"] = f"WITH {PANEL_SQL} SELECT ts_code, CAST(trade_date AS VARCHAR) AS trade_date, {', '.join(f'round({sql}, 6) + 0.0 AS {name}' for name, sql in BAR_SQL.items())} FROM panel"
+    found["features_rolling"] = features_sql()
     return found
