@@ -119,9 +119,14 @@ def layer_metrics(daily: DataFrame, horizon: int, costs: tuple[float, ...] = (0.
     )
 
 
+def hashed(text: Column, modulus: int) -> Column:
+    """A number below modulus from the text's MD5, the same in every engine."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % modulus
+
+
 def signal_sketch(rows: DataFrame, buckets: int = 32) -> DataFrame:
     """Mean centred rank by layer and hashed bucket of (entity, session): a short signature of a factor's signal."""
-    bucket = F.pmod(F.xxhash64("ts_code", "trade_date"), F.lit(buckets)).cast("int")
+    bucket = hashed(F.concat_ws("/", F.col("ts_code").cast("string"), F.col("trade_date").cast("string")), buckets).cast("int")
     return rows.groupBy("layer", bucket.alias("bucket")).agg(F.avg(F.col("pct") - 0.5).alias("signal"), F.count(F.lit(1)).alias("n"))
 
 
@@ -140,7 +145,7 @@ def preflight_decision(daily: DataFrame, coverage: float = 0.02, sessions: int =
 
 def sampled_entities(panel: DataFrame, modulus: int) -> DataFrame:
     """One entity in `modulus` by hash, with its whole history."""
-    return panel.filter(F.pmod(F.xxhash64("ts_code"), F.lit(modulus)) == 0)
+    return panel.filter(hashed(F.col("ts_code").cast("string"), modulus) == 0)
 
 
 def factor_correlations(panel: DataFrame, names: list[str]) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
-from math import e, log, sqrt
+from math import e, sqrt
 from statistics import NormalDist
 
 import numpy as np
@@ -105,13 +105,14 @@ def expected_best_sharpe(trials: int, variance: float) -> float:
     return sqrt(variance) * ((1 - euler) * z(1 - 1 / trials) + euler * z(1 - 1 / (trials * e)))
 
 
-def effective_trials(correlations: np.ndarray) -> float:
-    """Participation ratio of a correlation matrix's eigenvalues."""
-    values = np.clip(np.linalg.eigvalsh(correlations), 0, None)
-    return float(values.sum() ** 2 / (values**2).sum())
+def effective_trials(pairs: DataFrame, names: int, correlation: str = "correlation") -> DataFrame:
+    """One row, trials and effective: the participation ratio of a correlation matrix's eigenvalues, from the correlations of its pairs. Eigenvalues sum to the number of names, and their squares to the sum of all squared entries."""
+    squares = names + 2 * F.coalesce(F.sum(F.col(correlation) * F.col(correlation)), F.lit(0.0))
+    return pairs.agg(F.lit(names).alias("trials"), (F.lit(float(names)) * names / squares).alias("effective"))
 
 
-def information(counts: list[int]) -> float:
-    """Entropy of a composition in nats: how evenly mechanisms are represented."""
-    total = sum(counts)
-    return -sum(c / total * log(c / total) for c in counts if c)
+def information(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """by, n, names, entropy (in nats), effective (its exponential): how evenly a group's rows are spread over names."""
+    counts = rows.groupBy(by, name).agg(F.count(F.lit(1)).alias("_c"))
+    found = counts.groupBy(by).agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("names"), F.sum(F.col("_c") * F.log("_c")).alias("_s"))
+    return found.withColumn("entropy", F.log("n") - F.col("_s") / F.col("n")).withColumn("effective", F.exp("entropy")).drop("_s")

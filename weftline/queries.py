@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftline.plans import dsl_queries, panel_queries, record_queries, research_queries, selection_queries
+from weftline.plans import dsl_queries, loading_queries, panel_queries, record_queries, research_queries, selection_queries
 
-MODULES = (dsl_queries, panel_queries, research_queries, record_queries, selection_queries)
+MODULES = (dsl_queries, panel_queries, research_queries, record_queries, selection_queries, loading_queries)
 
 
 def queries() -> dict:
