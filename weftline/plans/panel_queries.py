@@ -250,6 +250,9 @@ w AS (SELECT *, CASE WHEN best <= k THEN 1.0 / k WHEN worst <= k THEN -1.0 / k E
 p AS (SELECT coalesce(a.period, b.period + 1) AS period, sum(coalesce(a.weight * a.label, 0)) AS gross, sum(abs(coalesce(a.weight, 0) - coalesce(b.weight, 0))) AS turnover, count(a.weight) AS n FROM w a FULL JOIN w b ON a.ts_code = b.ts_code AND a.period = b.period + 1 GROUP BY 1),
 m AS (SELECT trade_date, period, avg(label) AS benchmark FROM sig GROUP BY ALL)
 SELECT n, {DAY}, c.cost_bps, {same(7, 'gross', 'turnover')}, round(gross - turnover * c.cost_bps / 10000, 7) + 0.0 AS net, {same(7, 'benchmark')} FROM p JOIN m USING (period), (SELECT unnest([0.0, 5.0, 10.0, 20.0]::DOUBLE[]) AS cost_bps) c WHERE n > 0""",
+    "fees": """WITH l AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'sell' ELSE 'buy' END AS side, l_extendedprice AS v, l_quantity AS q, CAST(CAST(l_shipdate AS DATE) + INTERVAL 288 MONTH AS DATE) AS d FROM lineitem)
+SELECT side, CAST(sum(round((v * 0.0002::DOUBLE)::DECIMAL(38,10), 2) + round((CASE WHEN side = 'sell' THEN v * CASE WHEN d < DATE '2023-08-28' THEN 0.001::DOUBLE ELSE 0.0005::DOUBLE END ELSE 0 END)::DECIMAL(38,10), 2)
+  + round((v * CASE WHEN d < DATE '2022-04-29' THEN 0.00002::DOUBLE ELSE 0.00001::DOUBLE END)::DECIMAL(38,10), 2)) AS DOUBLE) AS a_share, CAST(sum(round(least(greatest(q * 0.005::DOUBLE, 1.0), v * 0.01::DOUBLE)::DECIMAL(38,10), 2)) AS DOUBLE) AS us FROM l GROUP BY side""",
     "vector_direction": f"WITH {ROWS_SQL} SELECT CASE WHEN avg(rank_ic) < 0 THEN -1 ELSE 1 END AS direction, round(avg(rank_ic), 7) + 0.0 AS mean FROM ics WHERE layer = 'TRAIN'",
 }
 

@@ -190,6 +190,21 @@ means AS (SELECT ts_code, block, count(*) AS n, avg(ret) AS mean FROM placed GRO
     "robust_scale": f"""WITH {PANEL_SQL}, m AS (SELECT median(vol) AS med FROM panel), d AS (SELECT median(abs(vol - med)) AS mad FROM panel, m)
 SELECT ts_code, CAST(trade_date AS VARCHAR) AS trade_date, {r(6, vol='least(greatest((p.vol - med) / nullif(1.4826::DOUBLE * mad, 0), -3), 3)')} FROM panel p, m, d""",
     "fold_scores": f"WITH {SERIES_SQL}, f AS (SELECT ts_code, year(trade_date) AS fold, avg(ret) AS score FROM series GROUP BY ALL) SELECT ts_code, count(*) AS folds, {r(9, least='min(score)', median='median(score)', mean='avg(score)', dispersion='stddev_pop(score)')} FROM f GROUP BY ts_code",
+    "weight_search": f"""WITH {PANEL_SQL},
+x AS (SELECT *, close / (lag(close, 4) OVER h + 1e-12) - 1 AS a, ln(abs(amount) + 1e-9) AS b, high / (low + 1e-12) AS c, close / (lag(close, 1) OVER h + 1e-12) - 1 AS label FROM panel WINDOW h AS (PARTITION BY ts_code ORDER BY trade_date)),
+k AS (SELECT trade_date, label, {', '.join(f"CASE WHEN {c} IS NOT NULL THEN (rank() OVER (PARTITION BY trade_date ORDER BY {c} NULLS LAST) + (count(*) OVER (PARTITION BY trade_date, {c}) - 1) / 2.0::DOUBLE) / count({c}) OVER (PARTITION BY trade_date) END AS {c}" for c in 'abc')} FROM x),
+g(candidate, u, v, w) AS (VALUES {', '.join(f"({i}::INT, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for i, (a, b, c) in enumerate(search.simplex(3, 4)))}),
+s AS (SELECT candidate, u, v, w, trade_date, label, a * u + b * v + c * w AS score FROM k, g), f AS (SELECT * FROM s WHERE score IS NOT NULL AND label IS NOT NULL),
+d AS (SELECT candidate, u, v, w, trade_date, covar_pop(score, label) / nullif(stddev_pop(score) * stddev_pop(label), 0) AS ic FROM f GROUP BY ALL)
+SELECT candidate, printf('%.2f,%.2f,%.2f', u, v, w) AS weights, count(ic) AS n, round(avg(ic), 9) + 0.0 AS mean_ic, round(avg(ic) / nullif(stddev_samp(ic), 0), 7) + 0.0 AS ir FROM d GROUP BY candidate, u, v, w""",
+    "overfit_probability": f"""WITH {SERIES_SQL}, p AS (SELECT ts_code % 5 AS sector, trade_date, avg(ret) AS ret FROM series GROUP BY ALL),
+b AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY sector ORDER BY trade_date) - 1) * 8 / count(*) OVER (PARTITION BY sector)) AS INT) AS block FROM p),
+s AS (SELECT sector, block, sum(ret) AS s, sum(ret * ret) AS q, count(*) AS n FROM b GROUP BY ALL),
+h AS (SELECT i::INT AS split FROM range(256) t(i) WHERE bit_count(i::INT) = 4),
+v AS (SELECT split, sector, ((split >> block) & 1) = 1 AS inside, sum(s) AS s, sum(q) AS q, sum(n) AS n FROM s, h GROUP BY ALL),
+r AS (SELECT split, sector, max((s / n) / nullif(sqrt(greatest(q / n - (s / n) * (s / n), 0)), 0)) FILTER (WHERE inside) AS a, max((s / n) / nullif(sqrt(greatest(q / n - (s / n) * (s / n), 0)), 0)) FILTER (WHERE NOT inside) AS o FROM v GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY a DESC NULLS LAST, sector) AS first, rank() OVER (PARTITION BY split ORDER BY o NULLS FIRST) AS place, count(*) OVER (PARTITION BY split) AS m FROM r)
+SELECT count(*) AS splits, avg((place / (m + 1) <= 0.5)::INT::DOUBLE) AS below FROM k WHERE first = 1""",
     "ledger_candidates": f"""WITH {UNI_SQL}, f AS (SELECT ts_code, trade_date, univ_rank, close / (lag(close, 4) OVER (PARTITION BY ts_code ORDER BY trade_date) + 1e-12) - 1 AS factor FROM uni),
 s AS (SELECT f.*, c.idx AS session, lag(factor) OVER (PARTITION BY ts_code ORDER BY f.trade_date) AS signal FROM f JOIN cal c USING (trade_date))
 SELECT 'base' AS run_id, CAST(trade_date AS VARCHAR) AS trade_date, session, ts_code FROM s WHERE signal IS NOT NULL AND univ_rank <= 500 AND session % 5 = 0 QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY signal DESC, ts_code) <= 20""",
