@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.ranges import cut
 from weftline.functions.windows import average_rank, day
-from weftline.operators import diversity, paths, residuals, search, weights
-from weftline.plans.panel_queries import HORIZON, ROWS_SQL, SERIES_SQL, out, r, rows, same, series
+from weftline.operators import diversity, paths, rating, residuals, search, stats, weights
+from weftline.plans.panel_queries import CDF, HORIZON, ROWS_SQL, SERIES_SQL, out, r, rows, same, series
 from weftline.sources.panel import table
 
 LIKE, CAP, CHOSEN = 0.3, 0.1, 8
@@ -77,6 +79,23 @@ def weight_robust_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(found, "candidate", robust_score=5, diversification=6, group_diversification=6, independence=5, gap=5, sharpe_lcb=5)
 
 
+def candidate_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weightings rated: VALID is the rating window, TRAIN the reference, HOLDOUT what came after; gates and blends by their measures."""
+    m = cut(weights.metrics(weight_sessions_table(spark, sf_dir), 252 / HORIZON, TOP, COST, STRESS, 0.90, FOLDS))
+    of = lambda layer, **names: m.filter(F.col("layer") == layer).select("candidate", *[F.col(c).alias(k) for k, c in names.items()])
+    found = m.filter("layer = 'VALID'").join(of("TRAIN", train_sharpe="sharpe", train_ic="ic_mean"), "candidate").join(of("HOLDOUT", holdout_sharpe="sharpe", holdout_ic="ic_mean", holdout_drawdown="max_drawdown"), "candidate")
+    t = F.try_divide(F.col("sharpe") * CONFIDENCE_Z, F.col("sharpe") - F.col("sharpe_lcb"))
+    cost = F.col("avg_turnover") * COST / 10000 * 252 / HORIZON
+    found = found.withColumn("return_t", t).withColumns({
+        "calmar": F.try_divide("ann_return", "max_drawdown"), "psr": stats.normal_cdf(F.col("return_t")), "era_rate": F.col("active_era_rate"), "worst_era_sharpe": F.col("worst_block_sharpe"), "turnover": F.col("avg_turnover") / HORIZON, "participation": F.lit(0.01),
+        "cost_cushion": F.try_divide(F.col("ann_return_lcb") + cost, cost), "monotonicity": F.col("tail_monotonicity"), "direction_kept": (F.col("ic_mean") > 0) & (F.col("train_ic") > 0) & (F.col("holdout_ic") > 0),
+        "research_pass": F.col("icir") > -1, "holdout_pass": F.col("holdout_sharpe") > -1, "vault_pass": F.col("holdout_drawdown") < 0.5, "capacity_pass": F.col("avg_turnover") < 1.2,
+    })
+    found = rating.gated(rating.rated(found, len(GRID)), [("ic", F.col("icir") > 0), ("sharpe", F.col("sharpe_lcb") > -2), ("turnover", F.col("avg_turnover") < 0.9)])
+    found = rating.blended(found, "state", {"raw_score": 0.5, "sharpe": 0.3, "turnover": 0.2}).withColumn("reasons", F.array_join("reasons", ","))
+    return out(found, "candidate", "state", "reasons", "passes", **dict.fromkeys([*rating.WEIGHTS, "raw_score", "score"], 4), blend=6)
+
+
 RIDGE, RIDGE_FOLDS, RIDGE_EMBARGO = 1.0, 6, 1
 
 
@@ -151,6 +170,19 @@ shapes AS (SELECT candidate, {SPREAD(["w0", "w1", "w2"])} AS diversification, {S
   1 - {CLIP("2 * (w0 * w1 * r01 + w0 * w2 * r02 + w1 * w2 * r12) / greatest(1e-12, 1 - (w0 * w0 + w1 * w1 + w2 * w2))", 0, 1)} AS independence FROM grid, alike),
 layers_of AS (SELECT a.candidate, {WORSE("sharpe_lcb")} AS sharpe_lcb, s.*  EXCLUDE (candidate), abs(a.sharpe - b.sharpe) / greatest(1, abs(a.sharpe), abs(b.sharpe)) AS gap, {SCORE_SQL} AS parts, greatest(a.max_drawdown, b.max_drawdown) AS worst_drawdown
   FROM metrics a JOIN metrics b ON b.candidate = a.candidate AND a.layer = '{SCORE_LAYERS[0]}' AND b.layer = '{SCORE_LAYERS[1]}' JOIN shapes s ON s.candidate = a.candidate)"""
+UNIT = lambda x: f"least(greatest({x}, 0.0), 1.0)"
+HURDLE = NormalDist().inv_cdf(1 - 0.10 / len(GRID))
+RATINGS_SQL = f"""{METRICS_SQL},
+sides AS (SELECT v.*, t.sharpe AS train_sharpe, t.ic_mean AS train_ic, h.sharpe AS holdout_sharpe, h.ic_mean AS holdout_ic, h.max_drawdown AS holdout_drawdown, v.sharpe * {CONFIDENCE_Z}::DOUBLE / nullif(v.sharpe - v.sharpe_lcb, 0) AS t, v.avg_turnover * {COST} / 10000 * {252 / HORIZON}::DOUBLE AS cost
+  FROM metrics v JOIN metrics t ON t.candidate = v.candidate AND t.layer = 'TRAIN' JOIN metrics h ON h.candidate = v.candidate AND h.layer = 'HOLDOUT' WHERE v.layer = 'VALID'),
+rated AS (SELECT *, 0.45 * {UNIT("sharpe_lcb / 1.5")} + 0.35 * {UNIT("ann_return_lcb / 0.12")} + 0.2 * {UNIT("coalesce(ann_return / nullif(max_drawdown, 0), -99) / 1.5")} AS profitability,
+  0.65 * {UNIT(f"coalesce(t, -99) / {HURDLE}::DOUBLE")} + 0.35 * {UNIT(f"coalesce({CDF('t')}, 0)")} AS confidence,
+  0.4 * {UNIT("(stress_sharpe + 0.25) / 1.75")} + 0.25 * active_era_rate + 0.15 * year_rate + 0.2 * {UNIT("(worst_block_sharpe + 0.5) / 2")} AS robustness,
+  0.75 * {UNIT("holdout_sharpe / greatest(0.25, train_sharpe)")} + 0.25 * (ic_mean > 0 AND train_ic > 0 AND holdout_ic > 0)::INT AS generalization,
+  0.45 * {UNIT("coalesce((ann_return_lcb + cost) / nullif(cost, 0), 0) / 3")} + 0.3 * exp(-avg_turnover / {HORIZON} / 0.5) + 0.25 * exp(-0.01::DOUBLE / 0.05::DOUBLE) AS implementation, 0.6 * {UNIT("icir / 2")} + 0.4 * tail_monotonicity AS signal FROM sides),
+raw AS (SELECT *, 100 * (0.35 * profitability + 0.2 * confidence + 0.2 * robustness + 0.1 * generalization + 0.1 * implementation + 0.05 * signal) * (0.7 + 0.3 * least(profitability, confidence, robustness, implementation)) AS raw_score FROM rated),
+capped AS (SELECT *, CASE WHEN icir <= -1 THEN 'research_rejected' WHEN holdout_sharpe <= -1 THEN 'holdout_rejected' WHEN holdout_drawdown >= 0.5 THEN 'vault_rejected' WHEN avg_turnover >= 1.2 THEN 'capacity_limited' WHEN raw_score >= 75 THEN 'capital_priority_non_pit' WHEN raw_score >= 60 THEN 'paper_priority' ELSE 'passed_low_conviction' END AS state FROM raw),
+shares AS (SELECT *, count(*) OVER s AS m, {", ".join(f"(rank() OVER (PARTITION BY state ORDER BY {c}) - 1 + (count(*) OVER (PARTITION BY state, {c}) - 1) / 2.0::DOUBLE) AS p_{c}" for c in ("raw_score", "sharpe", "avg_turnover"))} FROM capped WINDOW s AS (PARTITION BY state))"""
 RIDGE_SQL = f"""{SESSIONS_SQL},
 numbered AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS i, count(*) OVER () AS n, least({RIDGE_FOLDS}, count(*) OVER ()) AS f FROM (SELECT DISTINCT trade_date FROM comps)),
 folds AS (SELECT *, CAST(CASE WHEN i < (n % f) * (n // f + 1) THEN i // (n // f + 1) ELSE n % f + (i - (n % f) * (n // f + 1)) // (n // f) END AS INT) AS fold FROM numbered),
@@ -162,6 +194,9 @@ slopes AS (SELECT *, (h0 * g11 - h1 * g01) / (g00 * g11 - g01 * g01) / d0 AS b0,
 predicted AS (SELECT ts_code, f.fold, trade_date, label, CASE WHEN f.i >= s.first + {RIDGE_EMBARGO} THEN y / n_fit - b0 * x0 / n_fit - b1 * x1 / n_fit + b0 * c0 + b1 * c1 END AS prediction
   FROM comps JOIN folds f USING (trade_date) JOIN starts s ON s.fold = f.fold LEFT JOIN (SELECT * EXCLUDE (n), n AS n_fit FROM slopes) b ON b.fold = f.fold)"""
 SQL = {
+    "candidate_ratings": f"""WITH {RATINGS_SQL} SELECT candidate, state, concat_ws(',', CASE WHEN icir <= 0 THEN 'ic' END, CASE WHEN sharpe_lcb <= -2 THEN 'sharpe' END, CASE WHEN avg_turnover >= 0.9 THEN 'turnover' END) AS reasons, icir > 0 AND sharpe_lcb > -2 AND avg_turnover < 0.9 AS passes,
+  {same(4, *rating.WEIGHTS, 'raw_score')}, {r(4, score="least(raw_score, CASE state WHEN 'research_rejected' THEN 24.9 WHEN 'holdout_rejected' THEN 49.9 WHEN 'vault_rejected' THEN 64.9 WHEN 'capacity_limited' THEN 79.9 ELSE 100 END)")},
+  {r(6, blend="CASE WHEN m = 1 THEN 1 ELSE (0.5 * p_raw_score + 0.3 * p_sharpe + 0.2 * p_avg_turnover) / (m - 1) END")} FROM shares""",
     "ridge_residuals": f"WITH {RIDGE_SQL} SELECT ts_code, fold, CAST(trade_date AS VARCHAR) AS trade_date, {r(8, prediction='prediction', residual='label - prediction')} FROM predicted",
     "weight_sessions": f"WITH {SESSIONS_SQL} SELECT layer, CAST(trade_date AS VARCHAR) AS trade_date, candidate, width, {same(8, 'gross', 'benchmark', 'turnover', 'ic')} FROM sessions",
     "weight_metrics": f"WITH {METRICS_SQL} SELECT layer, candidate, n, {same(6, *MEASURES)} FROM metrics",
