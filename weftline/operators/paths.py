@@ -16,6 +16,17 @@ def signature(series: DataFrame, by: str, blocks: int = 48, when: str = "trade_d
     return means.withColumn("z", F.try_divide(F.col("mean") - F.avg("mean").over(own), F.stddev_pop("mean").over(own)))
 
 
+def monthly_path(monthly: DataFrame, by: str, value: str, months: int = 24) -> DataFrame:
+    """by, last (its last month), path (values of the `months` months that end there, null where there is none) and fingerprint of each series. monthly: by, month (its first day), value; a month once."""
+    ends = monthly.groupBy(by).agg(F.max("month").alias("last"))
+    place = F.months_between("last", "month").cast("int")
+    held = monthly.join(ends, by).withColumn("_place", place).filter(F.col("_place") < months)
+    found = held.groupBy(by, "last").agg(F.map_from_entries(F.collect_list(F.struct("_place", value))).alias("_m"))
+    path = F.transform(F.sequence(F.lit(months - 1), F.lit(0), F.lit(-1)), lambda k: F.try_element_at("_m", k))
+    text = F.array_join(F.transform(path, lambda x: F.when(x.isNotNull(), F.format_string("%.6f", x + 0.0)).otherwise("-")), "|")
+    return found.select(by, "last", path.alias("path"), F.substring(F.sha2(text.cast("binary"), 256), 1, 16).alias("fingerprint"))
+
+
 def robust_scale(rows: DataFrame, column: str, bound: float = 3.0) -> DataFrame:
     """(x - median) / (1.4826 MAD), clipped; median and MAD are exact and come to the driver as two numbers."""
     rows = cut(rows)

@@ -39,6 +39,19 @@ def covariance(series: DataFrame, name: str, when: str, r: str) -> DataFrame:
     return left.join(right, "_t").filter("a <= b").groupBy("a", "b").agg(F.covar_samp("_a", "_b").alias("cov"), F.count(F.lit(1)).alias("n"))
 
 
+def rolling_correlation(series: DataFrame, name: str, when: str, r: str, window: int, least: int) -> DataFrame:
+    """a, b, when, n, correlation of each pair of names with a < b over the last `window` common periods, null below `least` of them or without spread; names are a portfolio's sleeves.
+
+    A period's values are gathered by period (a value a sleeve) and paired there, so no series is joined with another.
+    """
+    days = series.groupBy(when).agg(F.array_sort(F.collect_list(F.struct(F.col(name).alias("n"), F.col(r).alias("r")))).alias("_s"))
+    paired = days.select(when, F.posexplode("_s").alias("_i", "_a"), "_s").select(when, "_a", F.explode(F.slice("_s", F.col("_i") + 2, F.size("_s"))).alias("_b"))
+    rows = paired.select(F.col("_a.n").alias("a"), F.col("_b.n").alias("b"), when, F.col("_a.r").alias("_x"), F.col("_b.r").alias("_y")).filter("_x is not null and _y is not null")
+    last = Window.partitionBy("a", "b").orderBy(when).rowsBetween(-(window - 1), 0)
+    n = F.count(F.lit(1)).over(last)
+    return rows.withColumn("n", n).withColumn("correlation", F.when(n >= least, safe_corr(F.col("_x"), F.col("_y"), last))).drop("_x", "_y")
+
+
 def risk_budget(cov: pd.DataFrame, shrink: float = 0.2, cap: float = 0.25, rounds: int = 200) -> dict:
     """Weights that carry equal risk under a covariance shrunk to its diagonal, by cyclic coordinate descent, capped; from covariance()'s collected rows."""
     names = sorted({*cov["a"], *cov["b"]})

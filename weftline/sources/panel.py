@@ -52,9 +52,10 @@ def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
 
 
-def load_panel(spark: SparkSession, path: str, spec: PanelSpec = PanelSpec()) -> DataFrame:
-    """Read, check and complete a panel: contract, quality filters, defaults for raw prices, adjustment and tradability, vwap."""
+def load_panel(spark: SparkSession, path: str, spec: PanelSpec = PanelSpec(), years: tuple[int, ...] | None = None) -> DataFrame:
+    """Read, check and complete a panel: contract, quality filters, defaults for raw prices, adjustment and tradability, vwap. years: which partitions (trade_year) to read."""
     frame = spark.read.option("mergeSchema", "false").parquet(path)
+    frame = frame if years is None else frame.filter(F.col("trade_year").isin(*years))
     have = set(frame.columns)
     if missing := [c for c in spec.required if c not in have]:
         raise SchemaContractError(f"columns missing: {', '.join(missing)}")
@@ -71,6 +72,13 @@ def load_panel(spark: SparkSession, path: str, spec: PanelSpec = PanelSpec()) ->
     return frame.withColumn("vwap", F.try_divide("amount", "vol"))
 
 
+def panel_points(spark: SparkSession, path: str, points: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
+    """Rows of a stored panel at points (ts_code, trade_date): only the partitions of the points' years are read. Points that repeat give a row once."""
+    points = points.select(*KEY).distinct()
+    years = tuple(r["y"] for r in points.select(F.year("trade_date").alias("y")).distinct().filter("y is not null").collect())  # a panel has few years
+    return load_panel(spark, path, spec, years or (0,)).join(points, list(KEY), "left_semi")
+
+
 def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier by week from lineitem. Open and close are the first and last unit price in a total order of the week's lines."""
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
