@@ -52,7 +52,8 @@ def scored(components: list[str], weights: np.ndarray, widths: tuple[float, ...]
         label, goal = now["label"].to_numpy(float), now["label_rank"].to_numpy(float)
         ranks, goal = places - (n - 1) / 2, goal - goal.mean()
         spread = np.sqrt((ranks * ranks).sum(axis=0) * (goal * goal).sum())
-        ic = np.divide((ranks * goal[:, None]).sum(axis=0), spread, out=np.zeros(len(own)), where=spread > FLAT)
+        # Ranks of few rows often don't correlate at all: the last digits of their sums don't count.
+        ic = np.round(np.divide((ranks * goal[:, None]).sum(axis=0), spread, out=np.zeros(len(own)), where=spread > FLAT), 12)
         out = []
         for width in widths:
             top, top_old = max(1, int(np.floor(n * width))), max(1, int(np.floor(m * width)))
@@ -121,7 +122,8 @@ def metrics(sessions: DataFrame, periods: float, width: float, cost_bps: float,
     years = years.groupBy(*by).agg(rate(F.col("g") > 0).alias("year_rate"), rate(F.col("ic") > 0).alias("era_rate"), rate(F.col("g") > 0).alias("active_era_rate"))
     parts = rows.groupBy(*by, "block").agg(F.count(F.lit(1)).alias("m"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), growth(x).alias("g")).filter("m >= 2")
     parts = parts.groupBy(*by).agg(F.min(ratio(F.col("mean"), F.col("std"), periods)).alias("worst_block_sharpe"), F.min(F.exp(F.col("g") * periods / F.col("m")) - 1).alias("worst_block_return"), rate(F.col("g") > 0).alias("positive_block_rate"))
-    tails = every.groupBy(*by, "width").agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), (growth(x) / F.count(F.lit(1))).alias("g"))
+    # Widths that choose the same rows tie; the last digits of their sums don't count.
+    tails = every.groupBy(*by, "width").agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.round(growth(x) / F.count(F.lit(1)), 12).alias("g"))
     wider = F.lead("g").over(Window.partitionBy(*by).orderBy("width"))
     tails = tails.withColumn("falls", F.when(wider.isNull(), F.col("g") > 0).otherwise(F.col("g") >= wider))
     tails = tails.groupBy(*by).agg(F.min(ratio(F.col("mean"), F.col("std"), periods)).alias("worst_tail_sharpe"), rate(F.col("falls")).alias("tail_monotonicity"))

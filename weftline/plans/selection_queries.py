@@ -138,7 +138,7 @@ orders AS (SELECT layer, trade_date, row_number() OVER (PARTITION BY layer ORDER
 held AS (SELECT p.layer, p.trade_date, o.k, candidate, width, ts_code, label, greatest(1, floor(n * width)) AS top FROM placed p JOIN orders o USING (layer, trade_date), widths WHERE place >= n - greatest(1, floor(n * width))),
 picks AS (SELECT layer, k, candidate, width, any_value(trade_date) AS trade_date, avg(label) AS gross, any_value(top) AS top FROM held GROUP BY layer, k, candidate, width),
 kept_n AS (SELECT a.layer, a.k, a.candidate, a.width, count(*) AS kept FROM held a JOIN held b ON b.layer = a.layer AND b.k = a.k - 1 AND b.candidate = a.candidate AND b.width = a.width AND b.ts_code = a.ts_code GROUP BY ALL),
-ranked_ic AS (SELECT candidate, trade_date, coalesce(covar_pop(place, label_rank) / nullif(stddev_pop(place) * stddev_pop(label_rank), 0), 0) AS ic, avg(label) AS benchmark FROM placed GROUP BY ALL),
+ranked_ic AS (SELECT candidate, trade_date, round(coalesce(covar_pop(place, label_rank) / nullif(stddev_pop(place) * stddev_pop(label_rank), 0), 0), 12) AS ic, avg(label) AS benchmark FROM placed GROUP BY ALL),
 sessions AS (SELECT p.layer, p.trade_date, p.candidate, p.width, p.gross, benchmark, ic, CASE WHEN q.top IS NULL THEN 1 ELSE (p.top - coalesce(kept, 0)) / p.top + (q.top - coalesce(kept, 0)) / q.top + coalesce(kept, 0) * abs(1 / p.top - 1 / q.top) END::DOUBLE AS turnover
   FROM picks p LEFT JOIN picks q ON q.layer = p.layer AND q.k = p.k - 1 AND q.candidate = p.candidate AND q.width = p.width LEFT JOIN kept_n n ON n.layer = p.layer AND n.k = p.k AND n.candidate = p.candidate AND n.width = p.width JOIN ranked_ic i ON i.candidate = p.candidate AND i.trade_date = p.trade_date)"""
 METRICS_SQL = f"""{SESSIONS_SQL},
@@ -154,7 +154,7 @@ years AS (SELECT layer, candidate, year(trade_date) AS y, {GROWTH} AS g, avg(ic)
 year_rates AS (SELECT layer, candidate, avg((g > 0)::INT::DOUBLE) AS year_rate, avg((ic > 0)::INT::DOUBLE) AS era_rate, avg((g > 0)::INT::DOUBLE) AS active_era_rate FROM years GROUP BY ALL),
 parts AS (SELECT layer, candidate, block, count(*) AS m, avg(active) AS mean, stddev_samp(active) AS sd, {GROWTH} AS g FROM blocked GROUP BY ALL HAVING count(*) >= 2),
 part_rates AS (SELECT layer, candidate, min({RATIO("mean", "sd")}) AS worst_block_sharpe, min(exp(g * {252 / HORIZON}::DOUBLE / m) - 1) AS worst_block_return, avg((g > 0)::INT::DOUBLE) AS positive_block_rate FROM parts GROUP BY ALL),
-tails AS (SELECT layer, candidate, width, avg(active) AS mean, stddev_samp(active) AS sd, {GROWTH} / count(*) AS g FROM active GROUP BY ALL),
+tails AS (SELECT layer, candidate, width, avg(active) AS mean, stddev_samp(active) AS sd, round({GROWTH} / count(*), 12) AS g FROM active GROUP BY ALL),
 falls AS (SELECT *, coalesce(g >= lead(g) OVER (PARTITION BY layer, candidate ORDER BY width), g > 0) AS falls FROM tails),
 tail_rates AS (SELECT layer, candidate, min({RATIO("mean", "sd")}) AS worst_tail_sharpe, avg(falls::INT::DOUBLE) AS tail_monotonicity FROM falls GROUP BY ALL),
 metrics AS (SELECT l.*, {RATIO("mean", "sd")} AS sharpe, exp(g * {252 / HORIZON}::DOUBLE / n) - 1 AS ann_return, low * {252 / HORIZON}::DOUBLE AS ann_return_lcb, {RATIO("low", "sd")} AS sharpe_lcb, {RATIO("sm", "ss")} AS stress_sharpe, {RATIO("ic_mean", "ic_sd")} AS icir,
