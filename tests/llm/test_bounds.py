@@ -2,16 +2,19 @@
 
 import hashlib
 import math
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations, product
+from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftline.llm import attention_lm, chat_format, decontaminate, jaccard_join, kneser_ney, language_id, line_dedup, mixing, search
+from weftline.llm import attention_lm, chat_format, common, decontaminate, jaccard_join, kneser_ney, language_id, line_dedup, mixing, search
 
 DATA = "/root/testdata/sf0.001"
 UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -263,3 +266,37 @@ def test_languages_whose_rows_repeat_are_learned(spark):
         rows = rows.unionByName(spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit(f"{english} "), F.col("id") + k).alias("text"), F.lit("en").alias("lang")))
         sample = Counter(lang for lang, _ in language_id.training_sample(rows, F.lit(True), 50, 100, 10))
         assert sample == {"de": 1, "en": 50}
+
+
+def test_links_that_come_out_otherwise_when_they_are_made_again(spark):
+    """Each reading of the links gives other stars over the same parts, as links between pieces do whose rows come in another order."""
+
+    def stars(frames):
+        rng = np.random.default_rng()
+        for frame in frames:
+            for part in frame["id"]:
+                head = int(rng.integers(9))
+                yield pd.DataFrame({"a": [part * 9 + k for k in range(9) if k != head], "b": part * 9 + head})
+
+    nodes, links = spark.range(360).select(F.col("id").alias("key")), spark.range(40).mapInPandas(stars, "a long, b long")
+    assert {r["key"]: r["group"] for r in jaccard_join.connected(nodes, links).collect()} == {k: k // 9 * 9 for k in range(360)}
+
+
+def test_a_cut_leaves_no_shuffled_files(spark):
+    files = lambda: set(Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data"))
+    old, texts = files(), spark.range(2000).select((F.col("id") % 7).alias("k"), F.col("id").cast("string").alias("t"))
+    rows = common.cut(texts.groupBy("k").agg(F.max("t").alias("t")))
+    for _ in range(50):
+        if not (left := files() - old):
+            break
+        time.sleep(0.1)
+    assert not left and rows.count() == 7
+
+
+def test_near_duplicates_too_many_to_send_along(spark, monkeypatch):
+    base = " ".join(f"w{k}" for k in range(40))
+    texts = [f"{base} v{i % 7} x{i}" for i in range(60)] + [f"{base[:60]} u{i}" for i in range(20)] + [base, base, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard_join, "BROADCAST", 0)
+    found = jaccard_join.near_duplicates(docs)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == components(range(len(texts)), {i: shingles(t) for i, t in enumerate(texts)})

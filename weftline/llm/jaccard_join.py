@@ -192,14 +192,6 @@ def shared_tokens(hot):
     return run
 
 
-def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text -> key, tokens (packed)."""
-    tokens_of = Shingler()
-    for piece in pieces(batches, 0, SCORE_BYTES):
-        sets = [tokens_of(t) for t in piece.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([longs([key_of(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "tokens"])
-
-
 def may_link(low: np.ndarray, high: np.ndarray, bins: np.ndarray, to_low: np.ndarray, to_high: np.ndarray, to_bins: np.ndarray) -> np.ndarray:
     """Whether a set of size low..high may link with one of size to_low..to_high, by the most tokens that each has in a bin."""
     full = (bins == 255).any(axis=1) | (to_bins == 255).any(axis=1)
@@ -232,8 +224,8 @@ def open_piece(rows: pa.Table) -> pa.Table:
     asks = rows.column("query").to_numpy()
     asking, held = np.flatnonzero(asks), np.flatnonzero(~asks)
     if len(asking) and len(held):
-        names_of, groups_of = rows.column("key").to_numpy(), rows.column("group").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in rows.column("tokens").to_pylist()]
+        names_of, groups_of, tokens_of = rows.column("key").to_numpy(), rows.column("group").to_numpy(), Shingler()
+        sets = [tokens_of(x.as_py()) for x in rows.column("text")]
         members = [sets[i] for i in held]
         sizes = np.array([len(s) for s in members])
         keys, groups, names = names_of[held], groups_of[held], {}
@@ -297,11 +289,10 @@ def try_pieces(trials: DataFrame, members: DataFrame, rows: DataFrame, classes:
     queries = left.join(opened, "piece").select("key", "piece", F.pmod(F.xxhash64("key"), "slices").alias("slice"), F.lit(True).alias("query"))
     inside = members.join(opened, "piece").select("key", "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(False).alias("query"))
     roles = cut(queries.unionByName(inside).join(classes.select("key", "group", "doc_id", "text_hash"), "key"))
-    # Whose text is needed: a row each, so that the roles meet a set once.
-    wanted = few(cut(roles.select("doc_id", "text_hash").distinct()))
-    some = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["text_hash"] == wanted["text_hash"]), "left_semi")
-    sets = (some if repeats is None else each_once(some, repeats)).select("text").mapInArrow(sets_of, "key long, tokens binary")
-    return sets.join(few(roles.select("key", "group", "piece", "slice", "query")), "key").groupBy("piece", "slice").applyInArrow(open_piece, "a long, b long")
+    # Texts travel, not their tokens: these take more than twice the room.
+    same = texts["doc_id"].eqNullSafe(roles["doc_id"]) & (texts["text_hash"] == roles["text_hash"])
+    asked = (texts if repeats is None else each_once(texts, repeats)).select("doc_id", "text_hash", "text").join(few(roles), same)
+    return asked.select(roles["key"], roles["group"], "piece", "slice", "query", "text").groupBy("piece", "slice").applyInArrow(open_piece, "a long, b long")
 
 
 def most_in_bins(bins: pd.Series) -> pd.Series:
@@ -309,8 +300,9 @@ def most_in_bins(bins: pd.Series) -> pd.Series:
 
 
 def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """key -> group, the smallest key that it reaches by links (a, b). Each round hangs every node below the smallest node near it, then shortens the paths; rounds grow with the logarithm of the longest path."""
-    edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    """key -> group, the smallest key that it reaches by links (a, b). links may come out otherwise when they are made again, so both directions come from one reading. Each round hangs every node below the smallest node near it, then shortens the paths; rounds grow with the logarithm of the longest path."""
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = cut(links.select(F.explode(both).alias("x")).select("x.a", "x.b").distinct())
     group = cut(edges.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("group")))
     while True:
         near = edges.join(group, edges["b"] == group["key"]).groupBy(F.col("a").alias("near")).agg(F.min("group").alias("low"))
@@ -348,9 +340,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     frequent = cut(plain.groupBy("shard").applyInPandas(frequent_tokens, "token long, times long, key long"))
     late = frequent.filter("token is not null").orderBy(F.desc("times"), "token").limit(HOT).select("token").toPandas()["token"].to_numpy()
     hot = context.broadcast(np.sort(late.astype(np.int64).view(np.uint64)))
-    affected = few(cut(frequent.filter("key is not null").select("key").distinct().join(classes, "key").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))))
-    anew = texts.join(affected, texts["doc_id"].eqNullSafe(affected["d"]) & (texts["text_hash"] == affected["h"]), "left_semi").mapInArrow(described(hot, shards), f"{ABOUT}, {PACKED}")
-    both = plain.unionByName(anew.filter("shard is not null").select(*packed, F.lit(True).alias("again")))
+    affected = cut(frequent.filter("key is not null").select("key").distinct().join(classes, "key").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")))
+    few_affected = affected.count() <= BROADCAST
+    # Where they are too many to send along, all texts' prefixes are made anew rather than the texts moved.
+    some = texts.join(F.broadcast(affected), texts["doc_id"].eqNullSafe(affected["d"]) & (texts["text_hash"] == affected["h"]), "left_semi") if few_affected else texts
+    both = some.mapInArrow(described(hot, shards), f"{ABOUT}, {PACKED}").filter("shard is not null").select(*packed, F.lit(True).alias("again"))
+    both = plain.unionByName(both) if few_affected else both
     shared = cut(both.groupBy("shard").applyInPandas(shared_tokens(hot), "token long, key long"))
 
     # Each class is tried against the class that leads most of its tokens. A token's leader is the class with most shared tokens: of a text and its edited copies, the text.
