@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,3 +289,25 @@ def test_links_and_groups(aligned):
 def test_no_documents(spark):
     none = token_alignment.Alignment(spark.createDataFrame([], "doc_id long, text string"))
     assert none.documents().count() == none.pairs().count() == none.links().count() == 0
+
+
+def test_digests_of_blocks_come_from_a_table_of_decimals():
+    rng, sizes = np.random.default_rng(4), np.array([1, 2, 3] * 4000)
+    table = token_alignment.Aligned.decimals(10_001)
+    assert [bytes(r[r > 0]).decode() for r in table] == [str(k) for k in range(10_001)]
+    sides, want = ([], []), []
+    for n in (7, 0, 1, 300):
+        own = [list(rng.integers(0, 12_000, n)) for _ in "ab"]
+        for x, y in (own, own[::-1]):  # the shorter side ends with tokens of one byte
+            x += [0] * max(0, int(sizes[np.array(y, int)].sum() - sizes[np.array(x, int)].sum()))
+        ends = [np.cumsum(sizes[np.array(x, int)]).tolist() for x in own]
+        both = sorted(set(ends[0]) & set(ends[1]))
+        cuts = [[e.index(k) + 1 for k in both] for e in ends]
+        groups = ["|".join(",".join(str(i) for i in own[s][(c[g - 1] if g else 0) : c[g]]) for s, c in enumerate(cuts)) for g in range(len(both))]
+        want.append(hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else "")
+        for side, x in zip(sides, own):
+            side.append(x)
+    lengths = [np.array([len(x) for x in side], np.int64).tobytes() for side in sides]
+    packed = [token_alignment.squeezed(np.array([i for x in side for i in x], np.uint16)) for side in sides]
+    block = pd.Series({"documents": np.arange(4).tobytes(), "nulls": bytes(4), "a_lengths": lengths[0], "b_lengths": lengths[1], "a": packed[0], "b": packed[1]})
+    assert token_alignment.Aligned(block, sizes, sizes).digests() == want

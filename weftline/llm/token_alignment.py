@@ -214,13 +214,15 @@ class Aligned:
         self.n_a, self.n_b = np.frombuffer(row.a_lengths, np.int64), np.frombuffer(row.b_lengths, np.int64)
         self.a, self.b = (np.frombuffer(zstandard.decompress(x), id_type(sizes)).astype(np.int32) for x, sizes in ((row.a, a_sizes), (row.b, b_sizes)))
         a_ends, b_ends = np.cumsum(a_sizes[self.a]), np.cumsum(b_sizes[self.b])
-        #: Both lists are sorted already; a stable sort merges them.
-        merged = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
-        last = np.append(merged[1:] != merged[:-1], True) if len(merged) else np.empty(0, bool)
-        self.ends = merged[last]
+        #: A bit for each byte at which a side's token ends.
+        n_bytes = int(a_ends[-1]) if len(a_ends) else 0
+        a_bit, b_bit = np.zeros(n_bytes + 1, bool), np.zeros(n_bytes + 1, bool)
+        a_bit[a_ends], b_bit[b_ends] = True, True
+        self.ends = np.flatnonzero(a_bit | b_bit)
+        a_bit, b_bit = a_bit[self.ends], b_bit[self.ends]
+        self.closes = a_bit & b_bit
         #: Tokens of either side that end before a link's end, so the number of the token in which the link lies.
-        self.link_a, self.link_b = np.searchsorted(a_ends, self.ends), np.searchsorted(b_ends, self.ends)
-        self.closes = (a_ends[self.link_a] == self.ends) & (b_ends[self.link_b] == self.ends) if len(self.ends) else np.empty(0, bool)
+        self.link_a, self.link_b = np.cumsum(a_bit) - a_bit, np.cumsum(b_bit) - b_bit
         self.pairs = self.a[self.link_a].astype(np.int64) << SHIFT | self.b[self.link_b]
         #: Links up to and with each document's last one.
         stops = np.searchsorted(self.link_a, np.cumsum(self.n_a)) if len(self.ends) else np.zeros(len(self.n_a), np.int64)
@@ -234,22 +236,34 @@ class Aligned:
         """Of each document's groups as text, a side's ids joined by commas, the sides by a bar, groups by semicolons."""
         at = np.flatnonzero(self.closes)
         a_stops, b_stops = self.link_a[at] + 1, self.link_b[at] + 1  # of each group
-        a_group, b_group = np.searchsorted(a_stops, np.arange(len(self.a)), "right"), np.searchsorted(b_stops, np.arange(len(self.b)), "right")
+        a_group, b_group = (np.repeat(np.arange(len(x)), np.diff(x, prepend=0)) for x in (a_stops, b_stops))
         # A's ids of a group stand before B's: each token's place, and the mark after it.
         a_place = np.arange(len(self.a)) + np.concatenate([[0], b_stops])[a_group]
         b_place = np.arange(len(self.b)) + a_stops[b_group]
-        ids, marks = np.empty(len(self.a) + len(self.b), np.int64), np.zeros(len(self.a) + len(self.b), np.int64)
+        ids, marks = np.empty(len(self.a) + len(self.b), np.int32), np.full(len(self.a) + len(self.b), ord(","), np.uint8)
         ids[a_place], ids[b_place] = self.a, self.b
-        marks[a_place[a_stops - 1]], marks[b_place[b_stops - 1]] = 1, 2
+        marks[a_place[a_stops - 1]], marks[b_place[b_stops - 1]] = ord("|"), ord(";")
         ends = np.cumsum(self.n_a + self.n_b)
-        marks[ends[(self.n_a > 0)] - 1] = 3
-        values, where = np.unique(ids * 4 + marks, return_inverse=True)
-        texts = [f"{v >> 2}{(',', '|', ';', '')[v & 3]}".encode() for v in values.tolist()]
+        marks[ends[(self.n_a > 0)] - 1] = 0
+        # Each token's digits and its mark, from a table by id; zeros between them go.
+        rows = self.decimals(int(ids.max(initial=0)) + 1)[ids]
+        rows[:, -1] = marks
+        text, stops = rows[rows > 0].tobytes(), np.concatenate([[0], np.cumsum(np.count_nonzero(rows, axis=1))])
         starts, found = ends - self.n_a - self.n_b, []
-        for start, stop in zip(starts.tolist(), ends.tolist(), strict=True):
-            found.append(hashlib.sha256(b"".join(map(texts.__getitem__, where[start:stop].tolist()))).hexdigest() if stop > start else "")
+        for start, stop in zip(stops[starts].tolist(), stops[ends].tolist(), strict=True):
+            found.append(hashlib.sha256(text[start:stop]).hexdigest() if stop > start else "")
         return found
 
+    @staticmethod
+    def decimals(n: int) -> np.ndarray:
+        """A row for each number below n: its decimal digits as letters, zeros before them, and room for a mark."""
+        width, numbers = len(str(n - 1)), np.arange(n)
+        rows = np.zeros((n, width + 1), np.uint8)
+        for k in range(width):
+            power = 10 ** (width - 1 - k)
+            rows[:, k] = np.where((numbers >= power) | (power == 1), numbers // power % 10 + ord("0"), 0)
+        return rows
+
 
 def listed(a_sizes: np.ndarray, b_sizes: np.ndarray, what: str):
     """Rows of LINKS or GROUPS, a document's in order; places are of bytes of the text with its space, and of tokens."""
