@@ -300,3 +300,16 @@ def test_near_duplicates_too_many_to_send_along(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BROADCAST", 0)
     found = jaccard_join.near_duplicates(docs)
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == components(range(len(texts)), {i: shingles(t) for i, t in enumerate(texts)})
+
+
+def test_texts_go_to_their_trials_in_rounds(spark, monkeypatch):
+    """Rows of trials that are too many to send along go in rounds; no round joins all texts by a shuffle."""
+    base = [" ".join(f"w{g}_{k}" for k in range(40)) for g in range(12)]
+    texts = [f"{base[i % 12]} x{i}" for i in range(240)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    joined, few = [], jaccard_join.few
+    monkeypatch.setattr(jaccard_join, "BROADCAST", 100)
+    monkeypatch.setattr(jaccard_join, "few", lambda df: (joined.append(df.count()) if "slice" in df.columns else None, few(df))[1])
+    found = jaccard_join.near_duplicates(docs).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: i % 12 for i in range(240)}
+    assert sum(joined) > 200 and max(joined) <= 100 and len(joined) >= 5

@@ -47,6 +47,8 @@ SHARD_BYTES = 1 << 25
 PIECE = 256
 SLICE = 1024
 BROADCAST = 1 << 20
+#: Most rounds in which texts go to their trials, each reading all texts once; and rounds where texts are shuffled for it.
+ROUNDS, SHUFFLED = 48, 4
 #: Text that is cut into shingles at a time, for a bounded memory of the tasks.
 SCORE_BYTES = 1 << 22
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -289,10 +291,25 @@ def try_pieces(trials: DataFrame, members: DataFrame, rows: DataFrame, classes:
     queries = left.join(opened, "piece").select("key", "piece", F.pmod(F.xxhash64("key"), "slices").alias("slice"), F.lit(True).alias("query"))
     inside = members.join(opened, "piece").select("key", "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(False).alias("query"))
     roles = cut(queries.unionByName(inside).join(classes.select("key", "group", "doc_id", "text_hash"), "key"))
-    # Texts travel, not their tokens: these take more than twice the room.
-    same = texts["doc_id"].eqNullSafe(roles["doc_id"]) & (texts["text_hash"] == roles["text_hash"])
-    asked = (texts if repeats is None else each_once(texts, repeats)).select("doc_id", "text_hash", "text").join(few(roles), same)
-    return asked.select(roles["key"], roles["group"], "piece", "slice", "query", "text").groupBy("piece", "slice").applyInArrow(open_piece, "a long, b long")
+    # Texts travel, not their tokens: these take more than twice the room. They travel once, to their trials, and only those of a round lie on disks at a time.
+    rounds = rounds_for(roles.count())
+    texts, links = (texts if repeats is None else each_once(texts, repeats)).select("doc_id", "text_hash", "text"), None
+    for k in range(rounds):
+        own = roles.filter(F.pmod(F.xxhash64("piece", "slice"), F.lit(rounds)) == k)
+        same = texts["doc_id"].eqNullSafe(own["doc_id"]) & (texts["text_hash"] == own["text_hash"])
+        asked = texts.join(few(own), same).select(own["key"], own["group"], "piece", "slice", "query", "text")
+        found = asked.groupBy("piece", "slice").applyInArrow(open_piece, "a long, b long")
+        found = found if rounds == 1 else cut(found)
+        links = found if links is None else links.unionByName(found)
+    return links
+
+
+def rounds_for(rows: int) -> int:
+    """Rounds in which so many rows are joined with texts: as many as let a round's rows be sent along, so that the texts need no shuffle for the join, or a few with a shuffled join where that would be more than ROUNDS."""
+    if rows <= BROADCAST:
+        return 1
+    enough = -(-2 * rows // max(BROADCAST, 1))
+    return enough if enough <= ROUNDS else SHUFFLED
 
 
 def most_in_bins(bins: pd.Series) -> pd.Series:
