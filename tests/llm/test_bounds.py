@@ -313,3 +313,17 @@ def test_texts_go_to_their_trials_in_rounds(spark, monkeypatch):
     found = jaccard_join.near_duplicates(docs).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == {i: i % 12 for i in range(240)}
     assert sum(joined) > 200 and max(joined) <= 100 and len(joined) >= 5
+
+
+def test_a_search_leaves_alone_what_only_its_block_could_raise():
+    import pyarrow as pa
+
+    texts = ["alpha beta gamma delta", "alpha", *[f"w{i} v{i}" for i in range(98)]]
+    terms, docs, counts, lengths = search.term_counts(texts)
+    starts = search.runs(terms)
+    row = {"ids": np.arange(100), "missing": np.zeros(100, bool), "terms": terms[starts], "starts": starts, "docs": docs.astype(np.int32), "counts": counts.astype(np.int32), "lengths": lengths.astype(np.int32)}
+    shard = search.Shard({k: pa.scalar(v.tobytes()) for k, v in row.items()}, 2.0)
+    asked = np.sort(search.term_counts(texts[:1])[0])
+    one = lambda limit: next(shard.search(asked, np.arange(4), np.array([0, 4]), np.ones(4), np.array([limit]), 10))
+    assert sorted(one(-1.0)[0]) == [0, 1] and list(one(2.0)[0]) == [0]
+    assert [search.turns(n) for n in (1, 2, 5, 33)] == [[1], [1, 2], [1, 3, 5], [1, 6, 33]]
