@@ -327,3 +327,35 @@ def test_a_search_leaves_alone_what_only_its_block_could_raise():
     one = lambda limit: next(shard.search(asked, np.arange(4), np.array([0, 4]), np.ones(4), np.array([limit]), 10))
     assert sorted(one(-1.0)[0]) == [0, 1] and list(one(2.0)[0]) == [0]
     assert [search.turns(n) for n in (1, 2, 5, 33)] == [[1], [1, 2], [1, 3, 5], [1, 6, 33]]
+
+
+def test_a_training_step_is_the_gradient_and_keeps_little_in_memory():
+    import tracemalloc
+
+    rng, pad = np.random.default_rng(5), attention_lm.INPUTS
+    counts = np.ones(500)
+    plan = attention_lm.Plan(np.arange(500), np.arange(500) % 130, np.zeros(500), 1)
+    p = plan.weights(counts)
+    p["R"] = rng.normal(0, 0.3, len(p["R"])).astype(np.float32)
+    window, aim = rng.integers(0, 500, (768, 2 * attention_lm.STRIDE)), rng.integers(0, 130, (768, attention_lm.STRIDE))
+    window[::7, : attention_lm.STRIDE], aim[5, 9:] = pad, -1
+    tracemalloc.start()
+    whole = attention_lm.gradients(p, window, aim, pad)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20, peak
+
+    def loss(p):
+        p = {k: v.astype(float) for k, v in p.items()}
+        x = p["E"][window]
+        now, distance = x[:, attention_lm.STRIDE :], attention_lm.DISTANCE
+        s = (now @ p["Q"]) @ (x @ p["K"]).transpose(0, 2, 1) * attention_lm.WIDTH**-0.5 + p["R"][np.maximum(distance, 0)]
+        s = np.where((distance >= 0) & (window != pad)[:, None, :], np.exp(s), 0)
+        h = np.maximum(s / s.sum(axis=2, keepdims=True) @ (x @ p["V"]) + now @ p["U"] + p["z"], 0) @ p["W"] + p["b"]
+        log_p = np.take_along_axis(h - np.log(np.exp(h).sum(axis=2, keepdims=True)), np.maximum(aim, 0)[:, :, None], 2)[:, :, 0]
+        return -log_p[aim >= 0].mean()
+
+    for name, grad in whole.items():
+        step = np.sign(grad) * 1e-4
+        change = loss({**p, name: p[name].astype(float) + step}) - loss({**p, name: p[name].astype(float) - step})
+        assert change == pytest.approx(2e-4 * np.abs(grad).sum(), rel=2e-2), name

@@ -52,6 +52,8 @@ ALONE, GROUPS = 96, 32
 #: Blocks of a step, doubled each round, and least steps.
 STEPS, BLOCKS = 600, 96
 ROUNDS = 4
+#: Windows whose gradients are worked out together.
+AT_ONCE = 96
 #: Weights are averaged in this many groups first.
 BUCKETS = 8
 #: Weight of the distribution of word counts.
@@ -120,11 +122,6 @@ def blocks(symbols: np.ndarray, targets: np.ndarray, lengths: np.ndarray, pad: i
 DISTANCE = STRIDE + np.arange(STRIDE)[:, None] - np.arange(2 * STRIDE)[None, :]
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
-    return x / x.sum(axis=-1, keepdims=True)
-
-
 @dataclass
 class Model:
     symbols: np.ndarray  # input symbol of each subword id
@@ -274,9 +271,18 @@ class Plan:
                 step, seen = step + 1, seen + len(pick)
                 rate = 0.01 * min(1, step / 30) * (1 - 0.9 * part / max(ROUNDS - 1, 1))
                 for name, grad in gradients(p, np.concatenate([inputs[before[pick]], inputs[pick]], axis=1), wanted[pick], pad).items():
-                    m1[name] += 0.1 * (grad - m1[name])
-                    m2[name] += 0.01 * (grad * grad - m2[name])
-                    p[name] -= rate * (m1[name] / (1 - 0.9**step)) / (np.sqrt(m2[name] / (1 - 0.99**step)) + 1e-8)
+                    change = grad - m1[name]
+                    change *= 0.1
+                    m1[name] += change
+                    grad *= grad
+                    grad -= m2[name]
+                    grad *= 0.01
+                    m2[name] += grad
+                    np.sqrt(np.divide(m2[name], 1 - 0.99**step, out=grad), out=grad)
+                    grad += 1e-8
+                    np.divide(m1[name], grad, out=change)
+                    change *= rate / (1 - 0.9**step)
+                    p[name] -= change
         return p, seen
 
     def model(self, p: dict[str, np.ndarray]) -> Model:
@@ -297,32 +303,64 @@ def planned(counts: np.ndarray, order: np.ndarray, at: np.ndarray, near_by: np.n
 
 
 def gradients(p: dict[str, np.ndarray], window: np.ndarray, aim: np.ndarray, pad: int) -> dict[str, np.ndarray]:
-    """Gradients of the mean loss over windows of input symbols, where aim has the classes of the second half."""
-    legal, near, scale = DISTANCE >= 0, np.maximum(DISTANCE, 0), np.float32(WIDTH**-0.5)
-    x = p["E"][window]
-    now = x[:, STRIDE:]
-    q, k, v = now @ p["Q"] * scale, x @ p["K"], x @ p["V"]
-    masked = legal[None] & (window != pad)[:, None, :]
-    a = softmax(np.where(masked, np.matmul(q, k.transpose(0, 2, 1)) + p["R"][near], np.float32(-1e9)))
-    z = np.matmul(a, v) + now @ p["U"] + p["z"]
-    h = np.maximum(z, 0)
-    valid = aim >= 0
-    d = softmax(h @ p["W"] + p["b"])
-    np.put_along_axis(d, np.maximum(aim, 0)[:, :, None], np.take_along_axis(d, np.maximum(aim, 0)[:, :, None], 2) - 1, 2)
-    d *= valid[:, :, None] / np.float32(max(valid.sum(), 1))
-    flat = lambda y: y.reshape(-1, y.shape[-1])
-    g = {"W": flat(h).T @ flat(d), "b": flat(d).sum(axis=0)}
-    dz = (d @ p["W"].T) * (z > 0)
-    g["U"], g["z"] = flat(now).T @ flat(dz), flat(dz).sum(axis=0)
-    da, dv = np.matmul(dz, v.transpose(0, 2, 1)), np.matmul(a.transpose(0, 2, 1), dz)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    g["R"] = np.bincount(near.ravel(), (ds * masked).sum(axis=0).ravel(), 2 * STRIDE).astype(np.float32)
-    dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q)
-    g["Q"], g["K"], g["V"] = flat(now).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-    dx = dk @ p["K"].T + dv @ p["V"].T
-    dx[:, STRIDE:] += dq @ p["Q"].T + dz @ p["U"].T
-    g["E"] = np.zeros_like(p["E"])
-    np.add.at(g["E"], window.ravel(), flat(dx))
+    """Gradients of the mean loss over windows of input symbols, where aim has the classes of the second half.
+
+    Windows are gone through a few at a time, so that what is computed for them stays in the processor's cache.
+    """
+    g, scale = {k: np.zeros_like(v) for k, v in p.items()}, np.float32(WIDTH**-0.5)
+    at_once = [(p["Q"] * scale, p["U"]), (p["K"], p["V"])]
+    qu, kv = (np.hstack(x) for x in at_once)
+    distance = np.where(DISTANCE >= 0, p["R"][np.maximum(DISTANCE, 0)], np.float32(-1e9)).astype(np.float32)
+    g_qu, g_kv, near, n = np.zeros_like(qu), np.zeros_like(kv), np.zeros(DISTANCE.shape, np.float32), np.float32(max((aim >= 0).sum(), 1))
+    for start in range(0, len(window), AT_ONCE):
+        symbols, wanted = window[start : start + AT_ONCE], aim[start : start + AT_ONCE].ravel()
+        b, weight = len(symbols), (wanted >= 0) / n
+        x = p["E"][symbols]
+        now, x = x[:, STRIDE:].reshape(-1, WIDTH), x.reshape(-1, WIDTH)
+        asks, gives = (now @ qu).reshape(b, STRIDE, -1), (x @ kv).reshape(b, 2 * STRIDE, -1)
+        q, k, v = asks[:, :, :WIDTH], gives[:, :, :WIDTH], gives[:, :, WIDTH:]
+        a = np.matmul(q, k.transpose(0, 2, 1))
+        a += distance
+        a += np.where(symbols == pad, np.float32(-1e9), np.float32(0))[:, None, :]
+        a -= a.max(axis=2, keepdims=True)
+        np.exp(a, out=a)
+        a /= a.sum(axis=2, keepdims=True)
+        h = np.matmul(a, v)
+        h += asks[:, :, WIDTH:]
+        h += p["z"]
+        np.maximum(h, 0, out=h)
+        flat = h.reshape(-1, HIDDEN)
+        d = flat @ p["W"]
+        d += p["b"]
+        d -= d.max(axis=1, keepdims=True)
+        np.exp(d, out=d)
+        ones = np.ones(max(d.shape), np.float32)
+        d *= (weight / (d @ ones[: d.shape[1]]))[:, None]
+        d[np.arange(len(d)), np.maximum(wanted, 0)] -= weight
+        g["W"] += flat.T @ d
+        g["b"] += ones[: len(d)] @ d
+        dz = d @ p["W"].T
+        dz *= flat > 0
+        g["z"] += ones[: len(dz)] @ dz
+        d_asks, d_gives = np.empty_like(asks), np.empty_like(gives)
+        d_asks[:, :, WIDTH:] = dz = dz.reshape(b, STRIDE, HIDDEN)
+        ds = np.matmul(dz, v.transpose(0, 2, 1))
+        ds -= np.matmul((ds * a).reshape(-1, 2 * STRIDE), ones[: 2 * STRIDE]).reshape(b, STRIDE, 1)
+        ds *= a
+        near += (ones[:b] @ ds.reshape(b, -1)).reshape(near.shape)
+        d_asks[:, :, :WIDTH], d_gives[:, :, :WIDTH] = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
+        d_gives[:, :, WIDTH:] = np.matmul(a.transpose(0, 2, 1), dz)
+        d_asks, d_gives = d_asks.reshape(len(now), -1), d_gives.reshape(len(x), -1)
+        g_qu += now.T @ d_asks
+        g_kv += x.T @ d_gives
+        dx = d_gives @ kv.T
+        dx.reshape(b, 2 * STRIDE, WIDTH)[:, STRIDE:] += (d_asks @ qu.T).reshape(b, STRIDE, WIDTH)
+        order = np.argsort(symbols.ravel().astype(np.uint16), kind="stable")
+        place = symbols.ravel()[order]
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        g["E"][place[first]] += np.add.reduceat(dx[order], first, axis=0)
+    g["Q"], g["U"], g["K"], g["V"] = g_qu[:, :WIDTH] * scale, g_qu[:, WIDTH:], g_kv[:, :WIDTH], g_kv[:, WIDTH:]
+    g["R"] = np.bincount(np.maximum(DISTANCE, 0).ravel(), (near * (DISTANCE >= 0)).ravel(), 2 * STRIDE).astype(np.float32)
     return g
 
 
