@@ -101,15 +101,22 @@ class Subwords:
         return self.ids[expand(self.starts[numbers], sizes)], per_text
 
 
+def places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """expand() of a piece's runs, in half the memory."""
+    at = np.repeat((starts - (np.cumsum(lengths) - lengths)).astype(np.int32), lengths)
+    at += np.arange(len(at), dtype=np.int32)
+    return at
+
+
 def blocks(symbols: np.ndarray, targets: np.ndarray, lengths: np.ndarray, pad: int, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Inputs and targets by block of STRIDE positions, the block before each (block 0 is padding), and the text of each. The input at a position is the symbol before its target; targets past the end are -1."""
     n_blocks = -(-lengths // STRIDE)
     first = np.cumsum(n_blocks) - n_blocks + 1
-    at = expand(first * STRIDE, lengths)
+    at = places(first * STRIDE, lengths)
     total = (int(n_blocks.sum()) + 1) * STRIDE
-    inputs, wanted = np.full(total, pad, dtype=np.int64), np.full(total, -1, dtype=np.int64)
+    inputs, wanted = np.full(total, pad, dtype=np.int32), np.full(total, -1, dtype=np.int32)
     wanted[at] = targets
-    inputs[at] = np.concatenate([[begin], symbols[:-1]]) if len(symbols) else symbols
+    inputs[at[1:]] = symbols[:-1]
     inputs[first * STRIDE] = begin
     before = np.arange(len(inputs) // STRIDE) - 1
     before[first] = 0
@@ -283,6 +290,7 @@ class Plan:
                     np.divide(m1[name], grad, out=change)
                     change *= rate / (1 - 0.9**step)
                     p[name] -= change
+            del inputs, wanted, before  # before the next piece is laid out
         return p, seen
 
     def model(self, p: dict[str, np.ndarray]) -> Model:
@@ -293,11 +301,11 @@ class Plan:
 
 def planned(counts: np.ndarray, order: np.ndarray, at: np.ndarray, near_by: np.ndarray, end: int, n_blocks: int) -> Plan:
     """counts: subwords of all training documents."""
-    classes = choose_classes(counts, order, at, near_by, end, np.random.default_rng(13))
+    classes = choose_classes(counts, order, at, near_by, end, np.random.default_rng(13)).astype(np.int32)
     seen = counts + 0.5
     shares = np.log(seen) - np.log(np.maximum(np.bincount(classes, seen), 1e-300))[classes]
     first = np.argsort(-counts, kind="stable")[: INPUTS - 1]
-    symbols = np.full(len(counts), INPUTS - 1, dtype=np.int64)
+    symbols = np.full(len(counts), INPUTS - 1, dtype=np.int32)
     symbols[first] = np.arange(len(first))
     return Plan(symbols, classes, shares, max(1, -(-STEPS * BLOCKS // max(n_blocks, 1))))
 
