@@ -1,7 +1,9 @@
 """The quality classifier against a plain implementation of interpolated modified Kneser-Ney."""
 
 import math
+import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -97,3 +99,34 @@ def test_the_model_learns_from_all_trusted_documents(spark):
     trusted = docs.filter("pmod(xxhash64(5, doc_id), 4) <> 0")
     assert trusted.count() > 1100
     assert got == pytest.approx({r["doc_id"]: r["perplexity"] for r in kn.perplexities(docs, trusted).collect()})
+
+
+def test_rounds_keep_less_on_disk_than_the_text_and_give_the_plain_model(spark, monkeypatch):
+    draw = random.Random(3)
+    texts = [" ".join(f"word{int(draw.random() ** 2 * 300)}" for _ in range(draw.randrange(1, 400))) for _ in range(150)]
+    size = sum(map(len, texts))
+    trusted = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(2)
+    docs = spark.createDataFrame([(i, "en", t, "x") for i, t in enumerate([*texts[:9], "word1 unseen word2 word3 word4"])], DOCS)
+    written, cut = [], kn.cut
+
+    def weighed(df):
+        folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")) if spark.sparkContext.getCheckpointDir() else None
+        known = set(folder.rglob("part-*")) if folder else set()
+        out = cut(df)
+        folder = folder or Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+        written.append(sum(p.stat().st_size for p in set(folder.rglob("part-*")) - known))
+        return out
+
+    monkeypatch.setattr(kn, "cut", weighed)
+    monkeypatch.setattr(kn, "ROUNDS", 5, raising=False)
+    monkeypatch.setattr(kn, "ROUND_BYTES", 1 << 8, raising=False)
+    monkeypatch.setattr(kn, "PER_SHARD", 1 << 10)
+    monkeypatch.setattr(kn, "BITS", 1 << 10)
+    monkeypatch.setattr(kn, "HOT", 40)
+    got = {r["doc_id"]: r["perplexity"] for r in kn.perplexities(docs, trusted).collect()}
+    assert 0 < max(written) < 1.5 * size
+    p, _ = brute_force(texts, 3)
+    for r in docs.collect():
+        seq = ["<s>", *r["text"].split(), "</s>"]
+        total = sum(math.log(p(tuple(seq[max(0, j - 2) : j]), seq[j])) for j in range(1, len(seq)))
+        assert got[r["doc_id"]] == pytest.approx(math.exp(-total / (len(seq) - 1)), rel=1e-9)
