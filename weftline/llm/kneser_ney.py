@@ -204,7 +204,7 @@ def occurring(order: int, turn: int, rounds: int, shards: int, valued: bool):
                 out["gram"], out["suffix"], out["c"] = gram[first], suffix[first], c
                 if valued:
                     out["context"] = pair(x[first], y[first])
-                    words = [np.frombuffer(row[name], np.float64) for name in ("p", "total", "back")]
+                    words = [np.frombuffer(pa.decompress(row[name], len(hashes) * 8, "zstd", asbytes=True), np.float64) for name in ("p", "total", "back")]
                     for name, values, code in zip(("p", "total", "back"), words, (codes[at], codes[at - 1], codes[at - 1]), strict=True):
                         out[name] = values[code[first]]
                 else:
@@ -361,7 +361,7 @@ def word_answers(weights: Weights):
 
 def with_words(piece: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     order = np.argsort(read(answers["places"], np.dtype("i4")))
-    return piece.assign(**{name: [read(answers[name], np.dtype("f8"))[order].tobytes()] for name in ("p", "total", "back")})
+    return piece.assign(**{name: [pa.compress(read(answers[name], np.dtype("f8"))[order].tobytes(), "zstd", asbytes=True)] for name in ("p", "total", "back")})
 
 
 def by_context(weights: Weights, shards: int):
@@ -517,6 +517,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
         answers = answers.applyInPandas(word_answers(weights), "base long, places binary, p binary, total binary, back binary")
         learned = cut(learned.groupBy("base").cogroup(answers.groupBy("base")).applyInPandas(with_words, f"{PIECE}, p binary, total binary, back binary"))
         del answers, index
+        drop_unused(docs.sparkSession)
         for turn in range(rounds):
             grams = learned.mapInArrow(occurring(order, turn, rounds, shards, True), "shard int, rows binary")
             grams = grams.groupBy("shard").applyInPandas(by_context(weights, shards), "shard int, rows binary, keys binary, values binary, often binary")
