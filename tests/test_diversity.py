@@ -2,11 +2,13 @@
 
 import math
 import random
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import diversity
+from weftline.plans import panel_queries, selection_queries
 
 
 def plain_correlation(a, b):
@@ -109,3 +111,14 @@ def test_nothing_to_choose(spark):
     none = spark.createDataFrame([], "id long, structure string, mechanism string, scope string, quality double, path array<double>")
     assert diversity.representative_clusters(none, "scope", [F.desc("quality")], "path").count() == 0
     assert diversity.diverse_candidates(none, "id", "structure", "mechanism", [-F.col("quality")], "path").count() == 0
+
+
+def test_quality_does_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    """Most returns are clipped, so means tie: rounding that follows the shuffle would order them by chance."""
+    sf, found = "/root/testdata/sf0.001", {}
+    series = panel_queries.series(spark, sf)
+    for r in series.orderBy("ts_code", "trade_date").collect():
+        found.setdefault(r["ts_code"], []).append(r["ret"])
+    want = {code: reduce(lambda a, b: a + b, own, 0.0) / len(own) for code, own in found.items()}
+    monkeypatch.setattr(selection_queries, "series", lambda *_: series.repartition(3).sortWithinPartitions(F.xxhash64("ts_code", "trade_date")))
+    assert {r["ts_code"]: r["quality"] for r in selection_queries.candidates(spark, sf).select("ts_code", "quality").collect()} == want

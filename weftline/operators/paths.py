@@ -16,6 +16,12 @@ def signature(series: DataFrame, by: str, blocks: int = 48, when: str = "trade_d
     return means.withColumn("z", F.try_divide(F.col("mean") - F.avg("mean").over(own), F.stddev_pop("mean").over(own)))
 
 
+def ordered_mean(series: DataFrame, by: str, name: str, when: str = "trade_date", r: str = "ret") -> DataFrame:
+    """by and the mean of each series, summed in its order: however rows are dealt, equal series have equal means to the last digit."""
+    so_far = Window.partitionBy(by).orderBy(when).rowsBetween(Window.unboundedPreceding, 0)
+    return series.withColumn("_mean", F.avg(r).over(so_far)).groupBy(by).agg(F.max_by("_mean", when).alias(name))
+
+
 def monthly_path(monthly: DataFrame, by: str, value: str, months: int = 24) -> DataFrame:
     """by, last (its last month), path (values of the `months` months that end there, null where there is none) and fingerprint of each series. monthly: by, month (its first day), value; a month once."""
     ends = monthly.groupBy(by).agg(F.max("month").alias("last"))

@@ -20,7 +20,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers with the path of their returns in 48 blocks, region, quality (mean return), and what diverse choice asks for."""
     own = series(spark, sf_dir)
     blocks = paths.signature(own, "ts_code").groupBy("ts_code").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "mean"))), lambda x: x["mean"]).alias("path"))
-    quality = own.groupBy("ts_code").agg(F.avg("ret").alias("quality"))
+    quality = paths.ordered_mean(own, "ts_code", "quality")
     about = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("ts_code"), F.col("n_regionkey").alias("region"), "s_nationkey", F.col("s_acctbal").alias("rating"))
     return blocks.join(quality, "ts_code").join(about, "ts_code")
 
