@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import ranges
 from weftline.operators import evaluate, events, ledger, relational, search, similarity
-from weftline.plans import compiler
+from weftline.plans import compiler, panel_queries
 from weftline.plans.expression import ExpressionError, expression_hash, parse, required_history, validate
 from weftline.sources import files
 from weftline.streaming import telemetry
@@ -209,3 +209,12 @@ def test_values_that_are_not_finite_count_as_missing(spark):
     assert value["a", 6, 1] is None and value["a", 7, 1] == 1
     found = {(r["ts_code"], r["trade_date"].day, r["trade_date"].month): r["factor"] for r in factor(panel, "ts_median(close,5)").collect()}
     assert found["a", 8, 1] is None or found["a", 8, 1] < float("inf")
+
+
+def test_universe_ties_by_code(spark, monkeypatch):
+    """The same amounts in another order have the same mean, though their sums as doubles differ."""
+    amounts = [round(17.13 * 1.9**i + 0.01 * i, 2) for i in range(20)]
+    data = [(code, date(2020, 1, 1) + timedelta(i), a) for code in range(6) for i, a in enumerate(random.Random(code).sample(amounts, 20))]
+    monkeypatch.setattr(panel_queries, "panel", lambda *_: spark.createDataFrame(data, "ts_code long, trade_date date, amount double"))
+    found = panel_queries.universe(spark, "").filter("amt60 is not null").collect()
+    assert {r["ts_code"]: r["univ_rank"] for r in found} == {code: code + 1 for code in range(6)}

@@ -20,7 +20,7 @@ def out(df: DataFrame, *plain: str, days: tuple[str, ...] = (), **digits: int) -
 
 
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out(with_universe(panel(spark, sf_dir)), "ts_code", "univ_rank", "era", "layer", days=("trade_date",), amt60=SINGLE)
+    return out(with_universe(panel(spark, sf_dir), decimals=2), "ts_code", "univ_rank", "era", "layer", days=("trade_date",), amt60=SINGLE)
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ready(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return factor(with_labels(with_universe(panel(spark, sf_dir)), (HORIZON,)), EXPRESSION)
+    return factor(with_labels(with_universe(panel(spark, sf_dir), decimals=2), (HORIZON,)), EXPRESSION)
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def market_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def screen_both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = screener.screen(with_universe(panel(spark, sf_dir)), [("returns(close,4)", 2.0, 1), ("ts_mean(vol,5)", 1.0, -1)], "2000-06-30", k=15, universe=80)
+    found = screener.screen(with_universe(panel(spark, sf_dir), decimals=2), [("returns(close,4)", 2.0, 1), ("ts_mean(vol,5)", 1.0, -1)], "2000-06-30", k=15, universe=80)
     return out(found, "ts_code", "side", "place", score=7, rank_1=7, rank_2=7)
 
 

@@ -146,7 +146,7 @@ RUNS = [ledger.Run("base")]
 
 
 def ledger_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return factor(with_universe(panel(spark, sf_dir)), "returns(close,4)")
+    return factor(with_universe(panel(spark, sf_dir), decimals=2), "returns(close,4)")
 
 
 def ledger_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

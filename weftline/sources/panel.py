@@ -110,10 +110,16 @@ def layer_of(day: Column, layers: tuple[Layer, ...] = LAYERS) -> Column:
     return out
 
 
-def with_universe(panel: DataFrame, layers: tuple[Layer, ...] = LAYERS, window: int = 60, least: int = 20) -> DataFrame:
-    """Add amt60 (mean amount of 60 sessions, 20 at least), univ_rank (1 = most liquid on the day), era (year) and layer."""
+def with_universe(panel: DataFrame, layers: tuple[Layer, ...] = LAYERS, window: int = 60, least: int = 20, decimals: int | None = None) -> DataFrame:
+    """Add amt60 (mean amount of 60 sessions, 20 at least), univ_rank (1 = most liquid on the day), era (year) and layer.
+
+    decimals: amounts have no more of them. They are then summed as whole numbers, so that equal means are equal to the last digit and tie.
+    """
     last = Window.partitionBy("ts_code").orderBy("trade_date").rowsBetween(-(window - 1), 0)
-    panel = panel.withColumn("amt60", F.when(F.count("amount").over(last) >= least, F.avg("amount").over(last)))
+    n, mean = F.count("amount").over(last), F.avg("amount").over(last)
+    if decimals is not None:
+        mean = F.sum(F.round(F.col("amount") * 10**decimals).cast("long")).over(last) / (n * 10**decimals)
+    panel = panel.withColumn("amt60", F.when(n >= least, mean))
     day = Window.partitionBy("trade_date").orderBy(F.col("amt60").desc_nulls_last(), "ts_code")
     return (
         panel.withColumn("univ_rank", F.when(F.col("amt60").isNotNull(), F.row_number().over(day)))
