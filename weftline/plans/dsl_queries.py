@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.plans.compiler import factor, factors
 from weftline.plans.features import WINDOWS, library
+from weftline.plans.ordered import value_summary
 from weftline.sources.panel import supplier_panel
 
 #: The supplier panel in SQL; `sector` is a group for tests, rn a row's place in its entity's history.
@@ -117,10 +118,7 @@ def run_expression(spark: SparkSession, sf_dir: str, text: str, digits: int) ->
 
 def rolling_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole library of features at its five windows: number and mean of the values of each."""
-    names = library()
-    wide = factors(panel(spark, sf_dir), names)
-    long = wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("value")) for n in names])).alias("x")).select("x.feature", "x.value")
-    return long.groupBy("feature").agg(F.count("value").alias("n"), rounded(F.avg("value"), 4).alias("mean"))
+    return value_summary(panel(spark, sf_dir), library()).select("feature", "n", rounded(F.col("mean"), 4).alias("mean"))
 
 
 def bar_features(spark: SparkSession, sf_dir: str) -> DataFrame:
